@@ -1,0 +1,224 @@
+"""Each operator against a plain Python version, on hard small rows and on the smallest table."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+
+from trendloom.llm import ann, jaccard, langid, licenses, mixing, packing, pii, sharding, syncmers, wrapper_html
+from trendloom.llm.queries import tokenizer_path
+
+SF = "/root/testdata/sf0.001"
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module", params=["hard", "table", "empty"])
+def some(request, spark, docs):
+    if request.param == "hard":
+        return docs
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    return (df if request.param == "table" else df.limit(0)).cache()
+
+
+def luhn(d):
+    return sum(x if i % 2 == 0 else (2 * x - 9 if x > 4 else 2 * x) for i, x in enumerate(int(c) for c in reversed(d))) % 10 == 0
+
+
+def base_spans(t):
+    out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m.group().split("."))]
+    out += [("card", m.start(), m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(d := re.sub("[^0-9]", "", m.group())) <= 19 and luhn(d)]
+    out += [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+    return out
+
+
+def test_pii(some):
+    got = sorted(tuple(r)[:6] for r in pii.digest(pii.find(some)).collect())
+    want = []
+    for r in some.collect():
+        b = base_spans(r.text or "")
+        c = Counter(k for k, _, _ in b)
+        want.append((r.doc_id, c["email"], c["ip"], c["card"], c["phone"], hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in b).encode()).hexdigest()))
+    assert got == sorted(want)
+
+
+def test_redact_removes_base_spans(some):
+    out = pii.redact(some)
+    assert out.columns == some.columns and out.count() == some.count()
+    assert not any(base_spans(r.text or "") for r in out.collect())
+
+
+def test_packing(some):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    want = Counter()
+    for r in some.collect():
+        want[r.doc_id, tuple(tok.encode(r.text or "", add_special_tokens=False).ids + [0])] += 1
+    ids = {k[0]: k[1] for k in want}
+    seqs = defaultdict(list)
+    seen = Counter()
+    for r in packing.pack(some, tokenizer_path()).collect():
+        piece = ids[r.doc_id][r.start:r.start + r.length]
+        assert r.ids_crc32 == zlib.crc32(np.array(piece, "<u4").tobytes()) and r.doc_tokens == len(ids[r.doc_id])
+        seqs[r.sequence_id].append((r.offset, r.length))
+        seen[r.doc_id] += r.length
+    for s, parts in seqs.items():
+        at = 0
+        for o, n in sorted(parts):
+            assert o == at
+            at += n
+        assert at == 1024 or s == max(seqs)
+    assert seen == Counter({d: sum(len(i) * c for (e, i), c in want.items() if e == d) for d in ids})
+
+
+def test_sharding(some):
+    rows = sharding.shard(some, max_rows=20).collect()
+    want = sorted((r.doc_id, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in some.collect())
+    assert sorted((r.doc_id, r["size"], r.text_crc32) for r in rows) == want
+    slots, sizes = defaultdict(list), Counter()
+    for r in rows:
+        slots[r.shard].append(r.slot)
+        sizes[r.shard] += r["size"]
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(40))
+    if rows:
+        big = max(r["size"] for r in rows)
+        assert all(abs(sizes[i] - sum(sizes.values()) / 40) <= 2 * big for i in range(40))
+
+
+def targets(size):
+    names = sorted((s for s in size if s is not None), key=lambda s: s.encode()) + [s for s in size if s is None]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    left, full, open_ = 1.5 * sum(size.values()), {}, set(names)
+    while open_:
+        t = {s: left * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = {s for s in open_ if t[s] > 2 * size[s]}
+        if not over:
+            return full | t
+        for s in over:
+            full[s] = 2.0 * size[s]
+            left -= full[s]
+            open_.discard(s)
+    return full
+
+
+def test_mixing(some):
+    size = Counter()
+    for r in some.collect():
+        size[r.source] += len(WORDS.findall(r.text or ""))
+    rows = mixing.mix(some.withColumnRenamed("lang", "size")).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, mixing.mix(some).collect()))
+    want = targets(size)
+    by_target = Counter()
+    source_of = {r.doc_id: r.source for r in some.collect()}
+    assert len(rows) == some.count()
+    for r in rows:
+        s = source_of[r.doc_id]
+        assert r.source_size == size[s] and r.target == pytest.approx(want[s]) and 0 <= r.taken <= 2 * r["size"]
+        by_target[s] += r.taken
+    for s in by_target:
+        assert abs(by_target[s] - want[s]) <= 48
+
+
+def test_shard_quotas_sum(some):
+    per = some.selectExpr("source", "1000L as source_size").distinct()
+    q = mixing.apportion(mixing.source_targets(per), 16, 2.0)
+    total = Counter({r.source: r.quota for r in q.collect()})
+    got = Counter()
+    for r in mixing.shard_quotas(q).collect():
+        got[r.source] += r.quota
+    assert got == total
+
+
+def shingles(t):
+    w = [bytes(x) for x in (t or "").encode().lower().split()]
+    return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+@pytest.mark.parametrize("frequent", [64, 0])
+def test_jaccard(some, frequent):
+    rows = [(r.doc_id, shingles(r.text)) for r in some.collect()]
+    comp = {d: d for d, _ in rows}
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for i, (a, x) in enumerate(rows):
+        for b, y in rows[:i]:
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                p, q = find(a), find(b)
+                comp[max(p, q)] = min(p, q)
+    got = sorted(tuple(r) for r in jaccard.join_components(some, frequent=frequent).collect())
+    assert got == sorted((d, len(s), find(d)) for d, s in rows)
+
+
+def test_syncmers(some):
+    rows = sorted(((r.doc_id, r.text or "") for r in some.collect()), reverse=True)
+    got = {(r.doc_id, r.edited_sha256): r for r in syncmers.fingerprint_edits(some).collect()}
+    plain = {}
+    for i, (d, t) in enumerate(rows):
+        c = len(t) // 3
+        edited = t[:len(t) - c] + rows[(i + 1) % len(rows)][1][:c]
+        r = got[d, hashlib.sha256(edited.encode()).hexdigest()]
+        assert r.n_chars == len(t) and 0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1
+        assert plain.setdefault(t, r.fingerprint) == r.fingerprint
+
+
+def test_licenses(some):
+    got = sorted(tuple(r)[:6] for r in licenses.scan(some).collect())
+    want = []
+    for r in some.collect():
+        t = (r.text or "").translate(licenses.LOWER)
+        w = re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t)
+        hits = [(i, x) for p, x in licenses.PHRASES.items() for i in range(len(w)) if w[i:i + len(p.split())] == p.split()]
+        at = [i for i, _ in hits]
+        want.append((r.doc_id, len(w), len(hits), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in hits}))))
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_langid_holds_out(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = langid.identify(df).filter("held_out and text is not null and lang_pred <> 'und'").collect()
+    assert sum(r.lang == r.lang_pred for r in rows) / len(rows) > 0.95
+
+
+def test_langid_defined_cases(docs):
+    rows = langid.identify(docs).collect()
+    assert len(rows) == 12 and all(r.lang_pred == "und" for r in rows if not (r.text or "").strip())
+
+
+def test_ann_recall(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    rows = df.collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=float)
+    found, want = defaultdict(set), 0
+    for r in ann.search(df).collect():
+        found[r.query_id].add(r.vec_id)
+    hit = 0
+    for i in np.flatnonzero(ids % 20 == 0):
+        s = x @ x[i]
+        s[i] = -np.inf
+        best = set(ids[np.lexsort((ids, -s))[:20]])
+        hit, want = hit + len(best & found[ids[i]]), want + len(best)
+    assert hit / want >= 0.9
+
+
+def test_ann_defined_cases(spark):
+    bad = [(0, [1.0, 2.0]), (20, None), (1, [0.0, 0.0]), (2, [float("nan"), 1.0]), (3, [1.0]), (4, [2.0, 1.0]), (5, [1.0, None])]
+    df = spark.createDataFrame(bad, "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in ann.search(df).collect()] == [(0, 1, 4, 4.0)]
+    assert ann.search(df.limit(0)).count() == 0
+
+
+def test_html(spark):
+    page = "<html><body><nav>Menu</nav><div class='cookie-notice'>We use</div><article><h1>T&amp;t</h1><p>a <b>b\n c</b><p>d<br>e</article><div class=comments><p>no</p></div><footer>f</footer></body></html>"
+    df = spark.createDataFrame([(1, "http://h/x", page), (2, None, None), (3, "http://h/y", "")], "page_id long, url string, html string")
+    got = {r.page_id: (r.text, r.n_chars) for r in wrapper_html.extract_pages(df).collect()}
+    t = "T&t\n\na b c\n\nd e"
+    assert got == {1: (t, len(t)), 2: ("", 0), 3: ("", 0)}

@@ -55,7 +55,7 @@ def search_block(ids, x, qids, q, proj, top, k, share, votes):
     return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, m: int = 32, votes: int = 16, share: float = 0.15, block: int = 8192, chunk_bytes: int = 32 << 20, seed: int = 3) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = 20, m: int = 48, votes: int = 24, share: float = 0.25, block: int = 8192, chunk_bytes: int = 32 << 20, seed: int = 3) -> DataFrame:
     """``query_id, rank, vec_id, score``; queries are rows whose vec_id is divisible by ``every``."""
     spark = vectors.sparkSession
     v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).filter("vec_id is not null and v is not null")
