@@ -1 +1,89 @@
-QUERIES, SQL = {}, {}
+"""Registered queries over the given tables, each with its DuckDB equivalent."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import audit, clusters, features, trends
+
+CELLS = ["quantity", "discount", "flag"]
+DIRTY = """select l_orderkey, l_returnflag, case when l_linenumber = 1 and l_quantity < 10 then '' when l_quantity < 12 then '-4' else cast(cast(l_quantity as int) as varchar(9)) end as quantity,
+ case when l_discount < 0.015 then 'NA' when l_discount > 0.095 then '-1' else 'd' end as discount, case when l_linestatus = 'F' and l_linenumber > 5 then '  ' else l_linestatus end as flag from lineitem"""
+LONG = f"with dirty as ({DIRTY}), long as (select l_returnflag, 'quantity' as variable, quantity as value from dirty union all select l_returnflag, 'discount', discount from dirty union all select l_returnflag, 'flag', flag from dirty), cat as (select *, case when value = '' then 'blank' when trim(value) = '' then 'whitespace' when upper(trim(value)) in ('NA','N/A','NAN','NULL','NONE','MISSING','UNKNOWN') then 'text_code' when trim(value) in ('-4','-1') then 'sentinel' end as category from long)"
+DESCRIBED = "count({0}) as n, round(avg({0}), 6) as mean, round(stddev_samp({0}), 6) as sd, round(min({0}), 6) as min, round(quantile_cont({0}, 0.25), 6) as q1, round(quantile_cont({0}, 0.5), 6) as median, round(quantile_cont({0}, 0.75), 6) as q3, round(max({0}), 6) as max"
+
+
+def _t(s, d, name):
+    return s.read.parquet(f"{d}/{name}.parquet")
+
+
+def _dirty(s, d):
+    q = F.col("l_quantity")
+    return _t(s, d, "lineitem").select(
+        "l_orderkey", "l_returnflag",
+        F.when((F.col("l_linenumber") == 1) & (q < 10), "").when(q < 12, "-4").otherwise(q.cast("int").cast("string")).alias("quantity"),
+        F.when(F.col("l_discount") < 0.015, "NA").when(F.col("l_discount") > 0.095, "-1").otherwise("d").alias("discount"),
+        F.when((F.col("l_linestatus") == "F") & (F.col("l_linenumber") > 5), "  ").otherwise(F.col("l_linestatus")).alias("flag"))
+
+
+def _events(s, d):
+    return _t(s, d, "events").select("event_id", "user_id", "event_type", "value", F.to_date("ts").alias("day"))
+
+
+EVENTS = "(select event_id, user_id, event_type, value, cast(ts as date) as day from events)"
+COHORT = f"""(select e.*, f.first_date, row_number() over (partition by e.user_id order by day, event_id) as observation_number, date_diff('day', f.first_date, day) as elapsed_days,
+ round(date_diff('day', f.first_date, day) / 365.25, 10) as elapsed_years from {EVENTS} e join (select user_id, min(day) as first_date from {EVENTS} group by user_id having count(distinct day) >= 3) f using (user_id))"""
+
+
+def _cohort(s, d):
+    return trends.cohort(_events(s, d), "user_id", "day", "event_id")
+
+
+def _vectors(s, d, n):
+    return _t(s, d, "embeddings").select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(n)])
+
+
+XS = ["x0", "x1", "x2", "x3"]
+VECTORS = "(select vec_id, label, embedding[1]::double as x0, embedding[2]::double as x1, embedding[3]::double as x2, embedding[4]::double as x3 from embeddings)"
+
+QUERIES = {
+    "column_inventory": lambda s, d: audit.column_inventory(_dirty(s, d), CELLS),
+    "missing_candidates": lambda s, d: audit.missing_candidates(_dirty(s, d), CELLS),
+    "duplicate_keys": lambda s, d: audit.duplicate_keys(_t(s, d, "lineitem"), ["l_orderkey", "l_suppkey"]),
+    "missingness_by_group": lambda s, d: audit.missingness(_dirty(s, d), CELLS, "l_returnflag"),
+    "describe_by_segment": lambda s, d: audit.describe(_t(s, d, "customer"), "c_acctbal", "c_mktsegment"),
+    "cohort_rows": lambda s, d: _cohort(s, d).select("user_id", "event_id", "observation_number", "elapsed_days", "elapsed_years"),
+    "slopes": lambda s, d: trends.slopes(_cohort(s, d), "user_id", "elapsed_days", "value"),
+    "order_anomalies_later": lambda s, d: trends.order_anomalies(_t(s, d, "orders").select("o_custkey", F.col("o_orderpriority").substr(1, 1).cast("int").alias("month"), F.to_date("o_orderdate").alias("day")), "o_custkey", "month", "day"),
+    "entry_phase": lambda s, d: trends.entry_phase(_t(s, d, "orders"), "o_custkey", "o_orderpriority", "o_orderdate"),
+    "resolve_value": lambda s, d: trends.resolve_value(_t(s, d, "orders"), "o_custkey", "o_orderstatus", F.col("o_orderstatus") != "P"),
+    "standardize": lambda s, d: features.standardize(_t(s, d, "supplier").select("s_suppkey", "s_acctbal"), ["s_acctbal"]).select("s_suppkey", F.round("s_acctbal", 6).alias("z")),
+    "median_impute": lambda s, d: features.median_impute(_t(s, d, "part").select("p_partkey", F.when(F.col("p_size") > 5, F.col("p_size").cast("double")).alias("size")), ["size"]),
+    "pca_scores": lambda s, d: features.pca(_vectors(s, d, 8).drop("label"), [f"x{i}" for i in range(8)])[0],
+    "kmeans_k2": lambda s, d: clusters.kmeans(_t(s, d, "supplier").select("s_suppkey", "s_acctbal"), ["s_acctbal"], [[0.0], [9000.0]])[0],
+    "calinski_harabasz": lambda s, d: clusters.calinski_harabasz(_vectors(s, d, 4), "label", XS),
+    "davies_bouldin": lambda s, d: clusters.davies_bouldin(_vectors(s, d, 4), "label", XS),
+    "pairwise_ari": lambda s, d: clusters.adjusted_rand(_vectors(s, d, 1).withColumn("half", (F.col("x0") > 0).cast("int")), "label", "half"),
+    "canonical_labels": lambda s, d: clusters.canonical_labels(_vectors(s, d, 1), "label", "x0"),
+    "cluster_profile": lambda s, d: clusters.profile(_t(s, d, "customer"), "c_mktsegment", "c_acctbal"),
+}
+
+SQL = {
+    "column_inventory": LONG + " select variable, count(*) as n_rows, count(*) filter (trim(value) = '') as n_blank, round(avg((trim(value) = '')::int) * 100, 6) as pct_blank, count(distinct case when trim(value) <> '' then trim(value) end) as n_unique from cat group by variable",
+    "missing_candidates": LONG + " select variable, category, value, count(*) as n_rows from cat where category is not null group by all",
+    "duplicate_keys": "select count(*) as n_groups, coalesce(sum(n), 0)::bigint as n_occurrences, coalesce(sum(n - 1), 0)::bigint as n_beyond_first from (select count(*) as n from lineitem group by l_orderkey, l_suppkey having count(*) > 1)",
+    "missingness_by_group": LONG + " select variable, l_returnflag, count(*) as n_rows, count(*) filter (category is null) as n_valid, count(*) filter (category = 'blank') as n_blank, count(*) filter (category = 'text_code') as n_text_code, count(*) filter (category = 'sentinel') as n_sentinel, round((count(*) - count(*) filter (category is null)) * 100.0 / count(*), 6) as pct_missing, case when (count(*) - count(*) filter (category is null)) * 100.0 / count(*) > 20 then 'EXCLUDE' else 'KEEP' end as decision from cat group by grouping sets ((variable, l_returnflag), (variable))",
+    "describe_by_segment": f"select c_mktsegment, {DESCRIBED.format('c_acctbal')} from customer group by c_mktsegment",
+    "cohort_rows": f"select user_id, event_id, observation_number, elapsed_days, elapsed_years from {COHORT}",
+    "slopes": f"select user_id, n_observations, round(sxy / sxx, 6) as slope, round(my - sxy / sxx * mx, 6) as intercept, round(case when syy > 0 then sxy / sxx * sxy / syy end, 6) as r_squared, round(sqrt(greatest(0, syy - sxy / sxx * sxy) / n_observations), 6) as rmse, round(case when n_observations > 2 then sqrt(greatest(0, syy - sxy / sxx * sxy) / (n_observations - 2) / sxx) end, 6) as se from (select user_id, count(value) as n_observations, avg(elapsed_days) as mx, avg(value) as my, regr_sxx(value, elapsed_days) as sxx, regr_syy(value, elapsed_days) as syy, regr_sxy(value, elapsed_days) as sxy from {COHORT} group by user_id) where sxx > 0",
+    "order_anomalies_later": "select * from (select o_custkey, month, first_date, max(last_date) over (partition by o_custkey order by month rows between unbounded preceding and 1 preceding) as earlier_max from (select o_custkey, substr(o_orderpriority, 1, 1)::int as month, min(o_orderdate::date) as first_date, max(o_orderdate::date) as last_date from orders group by all)) where first_date < earlier_max",
+    "entry_phase": "select o_custkey, entry_phase, n_phases, case when n_phases = 1 then 'SINGLE_PHASE' else 'EARLIEST_DATED' end as status from (select o_custkey, (min({'d': o_orderdate, 'p': o_orderpriority})).p as entry_phase, count(distinct o_orderpriority) as n_phases from orders group by o_custkey)",
+    "resolve_value": "select o_custkey, n_candidates, case when k = 1 then v end as value, case when k = 1 then 'RESOLVED' when k > 1 then 'CONFLICT' else 'UNAVAILABLE' end as reason from (select o_custkey, count(*) as n_candidates, count(distinct o_orderstatus) filter (o_orderstatus <> 'P') as k, min(o_orderstatus) filter (o_orderstatus <> 'P') as v from orders group by o_custkey)",
+    "standardize": "select s_suppkey, round((s_acctbal - avg(s_acctbal) over ()) / stddev_pop(s_acctbal) over (), 6) as z from supplier",
+    "median_impute": "select p_partkey, coalesce(v, median(v) over ()) as size from (select p_partkey, case when p_size > 5 then p_size::double end as v from part)",
+    "calinski_harabasz": f"with v as {VECTORS}, g as (select label, count(*) as n, " + ", ".join(f"var_pop({x}) * count(*) as w{x}" for x in XS) + " from v group by label) select round((t - w) / (k - 1) / (w / (n - k)), 6) as calinski_harabasz from (select sum(" + " + ".join(f"w{x}" for x in XS) + ") as w, sum(n) as n, count(*) as k from g), (select " + " + ".join(f"var_pop({x}) * count(*)" for x in XS) + " as t from v)",
+    "davies_bouldin": f"with v as {VECTORS}, m as (select label, " + ", ".join(f"avg({x}) as m{x}" for x in XS) + " from v group by label), s as (select label, avg(sqrt(" + " + ".join(f"({x} - m{x}) ** 2" for x in XS) + ")) as s, " + ", ".join(f"first(m{x}) as m{x}" for x in XS) + " from v join m using (label) group by label) select round(avg(r), 6) as davies_bouldin from (select max((a.s + b.s) / sqrt(" + " + ".join(f"(a.m{x} - b.m{x}) ** 2" for x in XS) + ")) as r from s a join s b on a.label <> b.label group by a.label)",
+    "pairwise_ari": f"with c as (select label, (x0 > 0)::int as half, count(*) as n from {VECTORS} group by all), t as (select (select sum(n * (n - 1) / 2) from c) as ij, (select sum(n) from c) as total, (select sum(n * (n - 1) / 2) from (select sum(n) as n from c group by label)) as ai, (select sum(n * (n - 1) / 2) from (select sum(n) as n from c group by half)) as bj) select round((ij - ai * bj / (total * (total - 1) / 2)) / ((ai + bj) / 2 - ai * bj / (total * (total - 1) / 2)), 6)::double as ari from t",
+    "canonical_labels": f"select label, n, row_number() over (order by m, label)::int as canonical from (select label, count(*) as n, avg(x0) as m from {VECTORS} group by label)",
+    "cluster_profile": "select c_mktsegment, n, round(n * 100.0 / sum(n) over (), 6) as percent, mean, median, min, max from (select c_mktsegment, count(*) as n, round(avg(c_acctbal), 6) as mean, round(median(c_acctbal), 6) as median, round(min(c_acctbal), 6) as min, round(max(c_acctbal), 6) as max from customer group by c_mktsegment)",
+}
