@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from trendloom.llm import jaccard, langid, mixing, packing, pii
 from trendloom.llm.common import table
-from trendloom.llm.queries import tokenizer_path
+from trendloom.llm.queries import ranks, tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -40,7 +40,7 @@ def mix(spark, docs, sf_dir):
 
 def pack(spark, docs, sf_dir):
     """Pieces of packed sequences."""
-    return packing.pack(docs, tokenizer_path())
+    return packing.pack(docs, tokenizer_path(), **ranks())
 
 
 STAGES = [("language_id", language_id), ("jaccard_join", near_duplicates), ("pii", redact), ("mixing", mix), ("packing", pack)]

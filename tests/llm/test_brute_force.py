@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 
 from trendloom.llm import ann, jaccard, langid, licenses, mixing, packing, pii, sharding, syncmers, wrapper_html
-from trendloom.llm.queries import tokenizer_path
+from trendloom.llm.queries import ranks, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -61,7 +61,7 @@ def test_packing(some):
     ids = {k[0]: k[1] for k in want}
     seqs = defaultdict(list)
     seen = Counter()
-    for r in packing.pack(some, tokenizer_path()).collect():
+    for r in packing.pack(some, tokenizer_path(), **ranks()).collect():
         piece = ids[r.doc_id][r.start:r.start + r.length]
         assert r.ids_crc32 == zlib.crc32(np.array(piece, "<u4").tobytes()) and r.doc_tokens == len(ids[r.doc_id])
         seqs[r.sequence_id].append((r.offset, r.length))

@@ -14,9 +14,16 @@ def tokenizer_path() -> str:
     return os.fspath(public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def ranks() -> dict[str, str]:
+    """The same vocabulary as a ranks file, and its splitting pattern."""
+    import public_tokenizers
+
+    return {"ranks": os.fspath(public_tokenizers.path("byte_bpe_50k.tiktoken")), "pattern": public_tokenizers.PATTERN}
+
+
 QUERIES = {
     "op1_pii": lambda s, d: pii.digest(pii.find(table(s, d, "documents"))),
-    "op2_packing": lambda s, d: packing.pack(table(s, d, "documents"), tokenizer_path()),
+    "op2_packing": lambda s, d: packing.pack(table(s, d, "documents"), tokenizer_path(), **ranks()),
     "op3_sharding": lambda s, d: sharding.shard(table(s, d, "documents")),
     "op4_mixing": lambda s, d: mixing.mix(table(s, d, "documents")),
     "op5_language_id": lambda s, d: langid.identify(table(s, d, "documents")).select("doc_id", "held_out", "lang_pred", "score"),
