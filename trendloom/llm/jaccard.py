@@ -82,7 +82,7 @@ def _mapper(width: int, percent: int, hot, full: bool):
                 else:
                     k = _prefix_size(len(s), percent) if len(s) else 0
                     if len(heavy):
-                        is_hot = np.isin(s, heavy)
+                        is_hot = heavy[np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)] == s
                         s = np.r_[s[~is_hot], s[is_hot]]
                     firsts.append(s[:k])
                 if sum(map(len, firsts[-64:])) > 1 << 19 or len(docs) >= 2000:
