@@ -132,8 +132,9 @@ def join_components(docs: DataFrame, percent: int = 80, width: int = 5, frequent
     reps = checkpointed(first)
     # One prefix a class: copies of a class have equal prefixes.
     chosen = filled.join(reps.select("gid", "doc_id"), ["gid", "doc_id"], "left_semi")
-    posts = chosen.select("gid", "n", F.explode("tokens").alias("token")).distinct()
-    posts = checkpointed(posts)
+    posts = chosen.dropDuplicates(["gid"]).select("gid", "n", F.explode("tokens").alias("token"))
+    # A token of one class alone links nothing: only shared tokens are written.
+    posts = checkpointed(posts.join(posts.groupBy("token").count().filter("count > 1").select("token"), "token", "left_semi"))
     close = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
     heads = posts.groupBy("token").agg(F.min(F.struct("n", "gid")).alias("head"), F.count(F.lit(1)).alias("df")).filter("df > 1")
     stars = posts.join(heads, "token").filter((F.col("gid") != F.col("head.gid")) & close(F.col("n"), F.col("head.n")))
@@ -154,9 +155,11 @@ def join_components(docs: DataFrame, percent: int = 80, width: int = 5, frequent
         hot_rows = shared.filter(F.col("classes") > limit).select("token")
         hot = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in hot_rows.collect()], np.int64)))
         again = _sets(docs.join(reps.select("doc_id"), "doc_id", "left_semi"), width, percent, hot)
-        posts = again.join(reps.select("gid", "doc_id"), ["gid", "doc_id"], "left_semi").dropDuplicates(["gid"])
+        again = again.join(reps.select("gid", "doc_id"), ["gid", "doc_id"], "left_semi").dropDuplicates(["gid"])
+        posts = checkpointed(again.select("gid", "n", "tokens")).select("gid", "n", F.explode("tokens").alias("token"))
+        posts = posts.join(posts.groupBy("token").count().filter("count > 1").select("token"), "token", "left_semi")
         heavy = hot_rows.withColumn("hot", F.lit(True))
-        flat = checkpointed(labelled(posts.select("gid", "n", F.explode("tokens").alias("token"))))
+        flat = checkpointed(labelled(posts))
         flat = flat.join(heavy, "token", "left")
         rare = flat.filter("hot is null").drop("hot")
         bags = flat.filter("hot").groupBy("gid", "n", "comp").agg(F.sort_array(F.collect_set("token")).alias("bag"))
