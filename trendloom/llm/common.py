@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Cut lineage by a Parquet table in the shared folder: smaller than a checkpoint, and read by column."""
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-table-", dir="/tmp")
+    path = f"{shared}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def code_point_key(col) -> "F.Column":
     """Order of strings by code point is the order of their UTF-8 bytes; null last."""
     return F.coalesce(F.concat(F.lit("0"), F.hex(F.encode(col, "UTF-8"))), F.lit("1"))

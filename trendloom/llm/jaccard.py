@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, written
 from .components import components
 
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
@@ -107,40 +107,50 @@ def _sets(docs: DataFrame, width: int, percent: int, hot=None, full=False) -> Da
     return docs.select("doc_id", "text").mapInArrow(_mapper(width, percent, hot, full), SCHEMA)
 
 
+def _small(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """Broadcast tables of a few numbers a row, if counted to be small."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Pairs ``a, b`` of classes whose whole sets are similar enough."""
+    """Pairs ``a, b`` of classes whose whole sets are similar enough; whole sets are shuffled once."""
     wanted = pairs.select(F.col("a").alias("gid")).union(pairs.select("b")).distinct()
-    ids = reps.join(wanted, "gid", "left_semi").select("doc_id")
-    few = ids.count() <= 500000
-    ids = F.broadcast(ids) if few else ids
-    sets = _sets(docs.join(ids, "doc_id", "left_semi"), width, percent, full=True).dropDuplicates(["gid"])
-    sets = checkpointed(sets.select("gid", "n", "tokens"))
-    left = sets.select(F.col("gid").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
+    ids = checkpointed(reps.join(wanted, "gid", "left_semi").select("doc_id"))
+    sets = written(_sets(docs.join(_small(ids), "doc_id", "left_semi"), width, percent, full=True).select("gid", "n", "tokens"))
+    if sets.count() > ids.count():  # rows with the same doc_id
+        sets = written(sets.dropDuplicates(["gid"]))
+    left = sets.select(F.col("gid").alias("a"), F.col("n").alias("na"), F.col("tokens").alias("ta")).join(_small(pairs), "a")
+    right = sets.select(F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb")).join(_small(pairs.select("b").distinct()), "b", "left_semi")
     both = F.size(F.array_intersect("ta", "tb"))
-    return checkpointed(pairs.join(left, "a").join(right, "b").filter(both * 100 >= (F.col("na") + F.col("nb") - both) * percent).select("a", "b"))
+    return checkpointed(left.join(right, "b").filter(both * 100 >= (F.col("na") + F.col("nb") - both) * percent).select("a", "b"))
+
+
+def _postings(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """``gid, n, token``, one prefix a class (copies have equal prefixes), and only of tokens that two classes share."""
+    chosen = rows.join(_small(reps.select("gid", "doc_id")), ["gid", "doc_id"], "left_semi")
+    if chosen.count() > reps.count():  # rows with the same doc_id
+        chosen = chosen.dropDuplicates(["gid"])
+    posts = chosen.select("gid", "n", F.explode("tokens").alias("token"))
+    return written(posts.join(posts.groupBy("token").count().filter("count > 1").select("token"), "token", "left_semi"))
 
 
 def join_components(docs: DataFrame, percent: int = 80, width: int = 5, frequent: int = 64, max_hot: int = 2_000_000) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row."""
     spark = docs.sparkSession
-    raw = _sets(docs, width, percent)
-    raw = checkpointed(raw)
+    raw = written(_sets(docs, width, percent))
     members = raw.select("doc_id", "gid", "n")
     filled = raw.filter("n > 0")
-    first = filled.groupBy("gid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"))
-    reps = checkpointed(first)
-    # One prefix a class: copies of a class have equal prefixes.
-    chosen = filled.join(reps.select("gid", "doc_id"), ["gid", "doc_id"], "left_semi")
-    posts = chosen.dropDuplicates(["gid"]).select("gid", "n", F.explode("tokens").alias("token"))
-    # A token of one class alone links nothing: only shared tokens are written.
-    posts = checkpointed(posts.join(posts.groupBy("token").count().filter("count > 1").select("token"), "token", "left_semi"))
+    reps = checkpointed(filled.groupBy("gid").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n")))
+    posts = _postings(filled, reps)
     close = lambda x, y: F.least(x, y) * 100 >= F.greatest(x, y) * percent
-    heads = posts.groupBy("token").agg(F.min(F.struct("n", "gid")).alias("head"), F.count(F.lit(1)).alias("df")).filter("df > 1")
+    heads = posts.groupBy("token").agg(F.min(F.struct("n", "gid")).alias("head"))
     stars = posts.join(heads, "token").filter((F.col("gid") != F.col("head.gid")) & close(F.col("n"), F.col("head.n")))
-    stars = checkpointed(stars.select(F.col("gid").alias("a"), F.col("head.gid").alias("b")).distinct())
+    # Folding needs one head a class, the one that shares most tokens; other links are found below.
+    stars = stars.groupBy(F.col("gid").alias("a"), F.col("head.gid").alias("b")).count()
+    stars = checkpointed(stars.groupBy("a").agg(F.max(F.struct("count", "b")).alias("m")).select("a", "m.b"))
     links = _verified(docs, reps, stars, width, percent)
-    comps = components(links)
+    comps = checkpointed(components(links))
+    comps = _small(comps)
     labelled = lambda p: p.join(comps, p.gid == comps.node, "left").select(*p.columns, F.coalesce("comp", "gid").alias("comp"))
 
     def mixed(p):
@@ -155,22 +165,20 @@ def join_components(docs: DataFrame, percent: int = 80, width: int = 5, frequent
         hot_rows = shared.filter(F.col("classes") > limit).select("token")
         hot = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in hot_rows.collect()], np.int64)))
         again = _sets(docs.join(reps.select("doc_id"), "doc_id", "left_semi"), width, percent, hot)
-        again = again.join(reps.select("gid", "doc_id"), ["gid", "doc_id"], "left_semi").dropDuplicates(["gid"])
-        posts = checkpointed(again.select("gid", "n", "tokens")).select("gid", "n", F.explode("tokens").alias("token"))
-        posts = posts.join(posts.groupBy("token").count().filter("count > 1").select("token"), "token", "left_semi")
+        posts = _postings(written(again), reps)
         heavy = hot_rows.withColumn("hot", F.lit(True))
-        flat = checkpointed(labelled(posts))
+        flat = written(labelled(posts))
         flat = flat.join(heavy, "token", "left")
         rare = flat.filter("hot is null").drop("hot")
         bags = flat.filter("hot").groupBy("gid", "n", "comp").agg(F.sort_array(F.collect_set("token")).alias("bag"))
         combos = F.expr("flatten(transform(bag, (x, i) -> transform(slice(bag, i + 2, size(bag)), y -> xxhash64(x, y))))")
         both = rare.select("gid", "n", "comp", "token").union(bags.select("gid", "n", "comp", F.explode(combos)))
         # A class of one token has no pair: it links only with an equal set, which is its own class.
-        keyed = checkpointed(both)
+        keyed = written(both)
         shared = mixed(keyed)
     else:
         keyed = labelled(posts)
-    keyed = checkpointed(keyed.join(shared.select("token"), "token", "left_semi"))
+    keyed = written(keyed.join(shared.select("token"), "token", "left_semi"))
     x, y = keyed.alias("x"), keyed.alias("y")
     rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & (F.col("x.comp") != F.col("y.comp")) & close(F.col("x.n"), F.col("y.n")))
     rest = checkpointed(rest.select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b")).distinct())
