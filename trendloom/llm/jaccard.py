@@ -29,6 +29,8 @@ from .components import components
 
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
+MAP_BITS = 2048
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(31))
@@ -37,14 +39,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return (x * np.uint64(0x81DADEF4BC2DD44D)) ^ (x >> np.uint64(33))
 
 
-def shingle_set(text: str | None, width: int, cache: dict) -> np.ndarray:
+class Hashes(dict):
+    """64-bit hash of each word met."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+def shingle_set(text: str | None, width: int, cache: Hashes) -> np.ndarray:
     """Sorted distinct 64-bit shingle hashes.  Splitting bytes splits on ASCII space alone."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
         return np.empty(0, np.int64)
-    for w in set(words):
-        if w not in cache:
-            cache[w] = xxhash.xxh3_64_intdigest(w)
     h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
     n = len(h) - width + 1
     if n < 1:
@@ -54,8 +61,16 @@ def shingle_set(text: str | None, width: int, cache: dict) -> np.ndarray:
         return np.array([x], np.uint64).view(np.int64)
     x = np.full(n, 17, np.uint64)
     for j in range(width):
-        x = _mix(x * MULTIPLIERS[j % 5] + h[j:j + n])
-    return np.unique(x.view(np.int64))
+        x = (x + h[j:j + n]) * MULTIPLIERS[j % 5]
+    x = _mix(x).view(np.int64)
+    x.sort()
+    return x[np.r_[True, x[1:] != x[:-1]]]
+
+
+def parity_map(s: np.ndarray) -> np.ndarray:
+    """Bits that tell how many tokens fall in each of ``MAP_BITS`` cells, odd or even: two maps differ in at most as many bits as the sets in tokens."""
+    odd = np.bincount(s & (MAP_BITS - 1), minlength=MAP_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _prefix_size(n: int, percent: int) -> int:
@@ -66,16 +81,17 @@ def _prefix_size(n: int, percent: int) -> int:
 
 def _mapper(width: int, percent: int, hot, full: bool):
     def run(batches):
-        cache: dict = {}
+        cache = Hashes()
         heavy = hot.value if hot is not None else np.empty(0, np.int64)
         for batch in batches:
             if len(cache) > 500000:
                 cache.clear()
-            docs, gids, ns, firsts = [], [], [], []
+            docs, gids, ns, firsts, maps = [], [], [], [], []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 s = shingle_set(text, width, cache)
                 docs.append(doc)
                 ns.append(len(s))
+                maps.append(np.empty(0, np.int64) if full else parity_map(s))
                 gids.append(xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63))
                 if full:
                     firsts.append(s)
@@ -86,21 +102,24 @@ def _mapper(width: int, percent: int, hot, full: bool):
                         s = np.r_[s[~is_hot], s[is_hot]]
                     firsts.append(s[:k])
                 if sum(map(len, firsts[-64:])) > 1 << 19 or len(docs) >= 2000:
-                    yield _batch(docs, gids, ns, firsts)
-                    docs, gids, ns, firsts = [], [], [], []
+                    yield _batch(docs, gids, ns, firsts, maps)
+                    docs, gids, ns, firsts, maps = [], [], [], [], []
             if docs:
-                yield _batch(docs, gids, ns, firsts)
+                yield _batch(docs, gids, ns, firsts, maps)
 
     return run
 
 
-def _batch(docs, gids, ns, arrays):
+def _lists(arrays) -> pa.ListArray:
     offsets = np.r_[0, np.cumsum([len(a) for a in arrays])].astype(np.int32)
-    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays)))
-    return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(gids, pa.int64()), pa.array(ns, pa.int64()), lists], names=["doc_id", "gid", "n", "tokens"])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(arrays)))
+
 
+def _batch(docs, gids, ns, arrays, maps):
+    return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(gids, pa.int64()), pa.array(ns, pa.int64()), _lists(arrays), _lists(maps)], names=["doc_id", "gid", "n", "tokens", "map"])
 
-SCHEMA = "doc_id long, gid long, n long, tokens array<long>"
+
+SCHEMA = "doc_id long, gid long, n long, tokens array<long>, map array<long>"
 
 
 def _sets(docs: DataFrame, width: int, percent: int, hot=None, full=False) -> DataFrame:
@@ -112,8 +131,17 @@ def _small(df: DataFrame, rows: int = 500_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def _possible(rows: DataFrame, reps: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs that parity maps do not rule out; none that is similar enough is lost."""
+    side = lambda x: _of_classes(rows, reps).select(F.col("gid").alias(x), F.col("n").alias(f"n{x}"), F.col("map").alias(f"m{x}"))
+    differ = F.aggregate(F.zip_with("ma", "mb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x)
+    pairs = _small(pairs).join(side("a"), "a").join(side("b"), "b")
+    return pairs.filter(differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
+
+
+def _verified(docs: DataFrame, rows: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs ``a, b`` of classes whose whole sets are similar enough; whole sets are shuffled once."""
+    pairs = checkpointed(_possible(rows, reps, pairs, percent))
     wanted = pairs.select(F.col("a").alias("gid")).union(pairs.select("b")).distinct()
     ids = checkpointed(reps.join(wanted, "gid", "left_semi").select("doc_id"))
     sets = written(_sets(docs.join(_small(ids), "doc_id", "left_semi"), width, percent, full=True).select("gid", "n", "tokens"))
@@ -125,12 +153,15 @@ def _verified(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, pe
     return checkpointed(left.join(right, "b").filter(both * 100 >= (F.col("na") + F.col("nb") - both) * percent).select("a", "b"))
 
 
-def _postings(rows: DataFrame, reps: DataFrame) -> DataFrame:
-    """``gid, n, token``, one prefix a class (copies have equal prefixes), and only of tokens that two classes share."""
+def _of_classes(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """One row a class: copies have equal sets."""
     chosen = rows.join(_small(reps.select("gid", "doc_id")), ["gid", "doc_id"], "left_semi")
-    if chosen.count() > reps.count():  # rows with the same doc_id
-        chosen = chosen.dropDuplicates(["gid"])
-    posts = chosen.select("gid", "n", F.explode("tokens").alias("token"))
+    return chosen.dropDuplicates(["gid"]) if chosen.count() > reps.count() else chosen
+
+
+def _postings(rows: DataFrame, reps: DataFrame) -> DataFrame:
+    """``gid, n, token``, one prefix a class, and only of tokens that two classes share."""
+    posts = _of_classes(rows, reps).select("gid", "n", F.explode("tokens").alias("token"))
     return written(posts.join(posts.groupBy("token").count().filter("count > 1").select("token"), "token", "left_semi"))
 
 
@@ -148,7 +179,7 @@ def join_components(docs: DataFrame, percent: int = 80, width: int = 5, frequent
     # Folding needs one head a class, the one that shares most tokens; other links are found below.
     stars = stars.groupBy(F.col("gid").alias("a"), F.col("head.gid").alias("b")).count()
     stars = checkpointed(stars.groupBy("a").agg(F.max(F.struct("count", "b")).alias("m")).select("a", "m.b"))
-    links = _verified(docs, reps, stars, width, percent)
+    links = _verified(docs, filled, reps, stars, width, percent)
     comps = checkpointed(components(links))
     comps = _small(comps)
     labelled = lambda p: p.join(comps, p.gid == comps.node, "left").select(*p.columns, F.coalesce("comp", "gid").alias("comp"))
@@ -182,7 +213,7 @@ def join_components(docs: DataFrame, percent: int = 80, width: int = 5, frequent
     x, y = keyed.alias("x"), keyed.alias("y")
     rest = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.gid") < F.col("y.gid")) & (F.col("x.comp") != F.col("y.comp")) & close(F.col("x.n"), F.col("y.n")))
     rest = checkpointed(rest.select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b")).distinct())
-    more = _verified(docs, reps, rest, width, percent)
+    more = _verified(docs, filled, reps, rest, width, percent)
     whole = components(links.union(more))
     named = reps.join(whole, reps.gid == whole.node, "left").select("gid", "doc_id", F.coalesce("comp", "gid").alias("comp"))
     smallest = named.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
