@@ -5,6 +5,9 @@ by pair by simple tree matching.  Aligned nodes with equal text are template,
 nodes whose text varies are content slots.  The wrapper of a host (digests of
 template texts with their paths) then cleans every page of the host.
 
+Elements article and main are a hint: if any of them holds text, only the
+outermost ones are walked, all of them, with the wrapper.
+
 Defined cases: null html is empty, with empty text and n_chars 0; a page of a
 host with no wrapper falls back on element kinds; repeated rows keep a row
 each; an empty table gives no rows.
@@ -120,22 +123,21 @@ def induce(pages: list[str]) -> list[str]:
         out: list = []
         align(a, b, "", out)
         total += 1
-        for key in {f"{p}|{x}" for p, x, y in out if x and x == y and "article" not in p and "main" not in p}:
+        for key in {f"{p}|{x}" for p, x, y in out if x and x == y}:
             same[key] = same.get(key, 0) + 1
     return sorted(k for k, n in same.items() if total >= 2 and n * 3 >= total * 2)
 
 
-def main_root(root: Node) -> Node:
-    best, todo = None, [root]
+def main_roots(root: Node) -> list[tuple[Node, str]]:
+    """Outermost article and main elements with their paths, in document order."""
+    found, todo = [], [(root, "")]
     while todo:
-        n = todo.pop()
+        n, path = todo.pop()
         if n.tag in ("article", "main") or n.kind in ("main", "article"):
-            if best is None or n.tag == "article" and best.tag != "article":
-                best = n
-            continue
-        if not dropped(n):
-            todo.extend(reversed(kids(n)))
-    return best or root
+            found.append((n, path))
+        elif not dropped(n):
+            todo.extend((k, f"{path}/{k.tag}.{k.kind}") for k in reversed(kids(n)))
+    return found
 
 
 def extract(html: str, template: set[str]) -> str:
@@ -166,9 +168,13 @@ def extract(html: str, template: set[str]) -> str:
         if block:
             end()
 
-    root = main_root(parse(html))
-    walk(root, "" if root.tag == "#root" else "/article")
+    root = parse(html)
+    for n, path in main_roots(root):
+        walk(n, path)
     end()
+    if not blocks:
+        walk(root, "")
+        end()
     return "\n\n".join(blocks)
 
 
