@@ -21,3 +21,8 @@ def test_wrapper_inside_article(spark):
 
 def test_empty_article_is_only_a_hint(spark):
     assert texts(spark, ["<article></article><p>words outside</p>"]) == ["words outside"]
+
+
+def test_constant_own_text_keeps_varying_children(spark):
+    pages = [f"<html><body>Skip to content<div>Published: <p>{body(i)}</p></div><p>All <b>rights</b></p><p>{body(i + 7)} see <b>note</b></p></body></html>" for i in range(6)]
+    assert texts(spark, pages) == [f"{body(i)}\n\n{body(i + 7)} see note" for i in range(6)]

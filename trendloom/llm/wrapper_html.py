@@ -6,7 +6,9 @@ nodes whose text varies are content slots.  The wrapper of a host (digests of
 template texts with their paths) then cleans every page of the host.
 
 Elements article and main are a hint: if any of them holds text, only the
-outermost ones are walked, all of them, with the wrapper.
+outermost ones are walked, all of them, with the wrapper.  A template node
+loses its own text only; its children are judged for themselves, but inline
+elements in a line of varying text stay.
 
 Defined cases: null html is empty, with empty text and n_chars 0; a page of a
 host with no wrapper falls back on element kinds; repeated rows keep a row
@@ -152,19 +154,23 @@ def extract(html: str, template: set[str]) -> str:
             blocks.append(t)
         parts.clear()
 
-    def walk(n: Node, path: str):
-        if dropped(n) or template and f"{path}|{own_text(n)}" in template:
+    def walk(n: Node, path: str, inside: bool = False):
+        """``inside``: the element stands in a line of varying text, which stays whole."""
+        if dropped(n):
             return
         block = n.tag in BLOCK
         if block:
             end()
+        own = own_text(n) if template else ""
+        constant = bool(own) and not (inside and not block) and f"{path}|{own}" in template
+        line = bool(own) and not constant or inside and not block
         for k in n.kids:
             if isinstance(k, str):
-                parts.append(k)
+                parts.append(" " if constant else k)
             else:
                 if k.tag == "br":
                     parts.append(" ")
-                walk(k, f"{path}/{k.tag}.{k.kind}")
+                walk(k, f"{path}/{k.tag}.{k.kind}", line)
         if block:
             end()
 
