@@ -26,3 +26,18 @@ def test_empty_article_is_only_a_hint(spark):
 def test_constant_own_text_keeps_varying_children(spark):
     pages = [f"<html><body>Skip to content<div>Published: <p>{body(i)}</p></div><p>All <b>rights</b></p><p>{body(i + 7)} see <b>note</b></p></body></html>" for i in range(6)]
     assert texts(spark, pages) == [f"{body(i)}\n\n{body(i + 7)} see note" for i in range(6)]
+
+
+def test_all_pages_and_all_children_are_aligned(spark):
+    notes = [f"Note {j} of the house" for j in range(70)]
+    page = lambda i: "<body>" + "".join(f"<p>{body(i)} {j}</p>" for j in range(3 + 12 * (i % 3))) + "".join(f"<p>{t}</p>" for t in notes) + "<p>Follow us here</p></body>"
+    got = texts(spark, [page(i) for i in range(60)])
+    assert got == ["\n\n".join(f"{body(i)} {j}" for j in range(3 + 12 * (i % 3))) for i in range(60)]
+
+
+def test_every_page_counts_and_copies_count_once(spark):
+    pages = [f"<body><p>Common line</p><p>{body(i)}</p></body>" for i in range(40)] + ["<body><p>Copy of one page</p></body>"] * 100
+    got = texts(spark, pages)
+    assert got[:40] == [body(i) for i in range(40)] and set(got[40:]) == {"Copy of one page"}
+    found = wrapper_html.wrappers(spark.createDataFrame([(i, "http://h/", p) for i, p in enumerate(pages)], "page_id long, url string, html string"), per_group=2)
+    assert [r.template for r in found.collect()] == [[wrapper_html.template_key("/body./p.", "Common line")]]

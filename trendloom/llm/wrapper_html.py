@@ -1,7 +1,8 @@
 """Main text of web pages by wrapper induction.
 
-For every host a bounded sample of pages is parsed; DOM trees are aligned pair
-by pair by simple tree matching.  Aligned nodes with equal text are template,
+All different pages of a host are parsed, in bounded groups; DOM trees are
+aligned pair by pair along each group by simple tree matching, and constant
+texts are counted over all pairs of the host.  Aligned nodes with equal text are template,
 nodes whose text varies are content slots.  The wrapper of a host (digests of
 template texts with their paths) then cleans every page of the host.
 
@@ -17,9 +18,11 @@ each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +36,7 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "kind", "kids", "text")
+    __slots__ = ("tag", "kind", "kids", "text", "own", "sub", "full", "cls", "word", "id")
 
     def __init__(self, tag, kind=""):
         self.tag, self.kind, self.kids, self.text = tag, kind, [], []
@@ -87,46 +90,95 @@ def kids(n: Node) -> list[Node]:
     return [k for k in n.kids if not isinstance(k, str)]
 
 
-def align(a: Node, b: Node, path: str, out: list) -> int:
-    """Simple tree matching: size of the best top-down ordered match; ``out`` gets aligned nodes."""
-    if (a.tag, a.kind) != (b.tag, b.kind):
-        return 0
-    out.append((path, own_text(a), own_text(b)))
-    ka, kb = kids(a)[:64], kids(b)[:64]
-    if not ka or not kb:
-        return 1
-    w = [[0] * (len(kb) + 1) for _ in range(len(ka) + 1)]
-    got: dict = {}
-    for i, x in enumerate(ka, 1):
-        for j, y in enumerate(kb, 1):
-            pairs: list = []
-            score = align(x, y, f"{path}/{x.tag}.{x.kind}", pairs) if abs(i - j) <= 8 else 0
-            got[i, j] = score, pairs
-            w[i][j] = max(w[i - 1][j], w[i][j - 1], w[i - 1][j - 1] + score)
-    i, j = len(ka), len(kb)
-    while i and j:
-        score, pairs = got[i, j]
-        if score and w[i][j] == w[i - 1][j - 1] + score:
-            out.extend(pairs)
-            i, j = i - 1, j - 1
-        elif w[i][j] == w[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return 1 + w[-1][-1]
+def number(n: Node, seen: dict) -> None:
+    """Give the nodes that may be kept their text, class, greatest score and an id that equal subtrees share."""
+    n.own, n.sub = own_text(n), [k for k in kids(n) if not dropped(k)]
+    for k in n.sub:
+        number(k, seen)
+    n.full = 1 + bool(n.own) + sum(k.full for k in n.sub)
+    n.cls = seen.setdefault((n.tag, n.kind), len(seen))
+    n.word = seen.setdefault(n.own, len(seen)) if n.own else -1
+    n.id = seen.setdefault((n.cls, n.own, tuple(k.id for k in n.sub)), len(seen))
+
+
+def align(a: Node, b: Node, done: dict) -> tuple[int, list]:
+    """Simple tree matching over all children: score of the best ordered match and the aligned children.
+
+    A node scores 1, and 1 more for an equal text.  Equal heads and tails reach
+    the greatest score there is, so they are set aside before the table is filled.
+    """
+    if a.cls != b.cls:
+        return 0, []
+    if a.id == b.id:
+        return a.full, list(zip(a.sub, b.sub))
+    got = done.get((a.id, b.id))
+    if got is not None and got[2] is a and got[3] is b:
+        return got[:2]
+    x, y = a.sub, b.sub
+    lo, hi, most = 0, 0, min(len(x), len(y))
+    while lo < most and x[lo].id == y[lo].id:
+        lo += 1
+    while hi < most - lo and x[-1 - hi].id == y[-1 - hi].id:
+        hi += 1
+    pairs = [*zip(x[:lo], y[:lo]), *zip(x[len(x) - hi:], y[len(y) - hi:])]
+    score = 1 + (a.word == b.word >= 0) + sum(p.full for p, _ in pairs)
+    x, y = x[lo:len(x) - hi], y[lo:len(y) - hi]
+    if x and y:
+        same = np.array([k.cls for k in x])[:, None] == np.array([k.cls for k in y])
+        words = np.array([k.word for k in x])[:, None]
+        s = same + (same & (words >= 0) & (words == np.array([k.word for k in y]))).astype(np.int64)
+        deep = np.array([bool(k.sub) for k in x])[:, None] & np.array([bool(k.sub) for k in y])
+        for i, j in np.argwhere(same & deep).tolist():
+            s[i, j] = align(x[i], y[j], done)[0]
+        w = np.zeros((len(x) + 1, len(y) + 1), np.int64)
+        for i in range(len(x)):
+            np.maximum.accumulate(np.maximum(w[i, 1:], w[i, :-1] + s[i]), out=w[i + 1, 1:])
+        score += int(w[-1, -1])
+        i, j = len(x), len(y)
+        while i and j:
+            if s[i - 1, j - 1] and w[i, j] == w[i - 1, j - 1] + s[i - 1, j - 1]:
+                i, j = i - 1, j - 1
+                pairs.append((x[i], y[j]))
+            elif w[i, j] == w[i - 1, j]:
+                i -= 1
+            else:
+                j -= 1
+    done[a.id, b.id] = score, pairs, a, b
+    return score, pairs
 
 
-def induce(pages: list[str]) -> list[str]:
-    """Template texts, as path and text: constant in most alignments of different pages."""
-    trees = [parse(p) for p in sorted(set(pages))]
+def template_key(path: str, own: str) -> str:
+    return hashlib.blake2b(f"{path}|{own}".encode("utf-8", "surrogatepass"), digest_size=12).hexdigest()
+
+
+def constants(a: Node, b: Node) -> set[str]:
+    """Keys of aligned nodes with equal text."""
+    done: dict = {}
+    out, todo = set(), [(a, b, "")]
+    while todo:
+        x, y, path = todo.pop()
+        if x.word == y.word >= 0:
+            out.add((path, x.own))
+        todo.extend((p, q, f"{path}/{p.tag}.{p.kind}") for p, q in align(x, y, done)[1])
+    return {template_key(p, t) for p, t in out}
+
+
+def evidence(pages) -> tuple[int, dict[str, int]]:
+    """Pairs aligned, a chain over all different pages, and in how many of them each key is constant."""
+    seen: dict = {}
+    trees = [parse(p) for p in sorted(set(pages), key=lambda p: hashlib.md5(p.encode("utf-8", "surrogatepass")).digest())]
+    for t in trees:
+        number(t, seen)
     same: dict[str, int] = {}
-    total = 0
     for a, b in zip(trees, trees[1:]):
-        out: list = []
-        align(a, b, "", out)
-        total += 1
-        for key in {f"{p}|{x}" for p, x, y in out if x and x == y}:
+        for key in constants(a, b):
             same[key] = same.get(key, 0) + 1
+    return max(0, len(trees) - 1), same
+
+
+def induce(pages: list[str]) -> list[str]:
+    """Template keys: constant in most alignments of different pages."""
+    total, same = evidence(pages)
     return sorted(k for k, n in same.items() if total >= 2 and n * 3 >= total * 2)
 
 
@@ -162,7 +214,7 @@ def extract(html: str, template: set[str]) -> str:
         if block:
             end()
         own = own_text(n) if template else ""
-        constant = bool(own) and not (inside and not block) and f"{path}|{own}" in template
+        constant = bool(own) and not (inside and not block) and template_key(path, own) in template
         line = bool(own) and not constant or inside and not block
         for k in n.kids:
             if isinstance(k, str):
@@ -188,25 +240,40 @@ def host_of(url) -> "F.Column":
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
 
 
-def wrappers(pages: DataFrame, per_host: int = 6, seed: int = 9) -> DataFrame:
-    """``host, template``: fitted on about ``per_host`` pages a host, chosen by a hash of the page_id."""
-    rows = pages.select("page_id", host_of(F.col("url")).alias("host"), "html").filter("html is not null")
-    counts = rows.groupBy("host").count().filter("count > 2")
-    u = F.pmod(F.xxhash64(F.lit(seed), "page_id", F.xxhash64("html")), F.lit(1 << 30)) / float(1 << 30)
-    some = rows.join(counts, "host").filter(u * F.col("count") < per_host)
-
-    @F.pandas_udf("array<string>")
-    def learn(groups: pd.Series) -> pd.Series:
-        return pd.Series([induce(list(g)) for g in groups])
-
-    return some.groupBy("host").agg(F.collect_list("html").alias("g")).select("host", learn("g").alias("template")).filter(F.size("template") > 0)
+def wrappers(pages: DataFrame, per_group: int = 16, seed: int = 9, max_broadcast: int = 100000) -> DataFrame:
+    """``host, template`` from all different pages of a host.
 
+    Pages fall by hash into groups of about ``per_group``; the host's first page
+    by hash joins every group, so that no page stays alone.  Groups are aligned
+    for themselves and their counts added up by host and key.
+    """
+    from .common import checkpointed
 
-def extract_pages(pages: DataFrame, per_host: int = 6, max_broadcast: int = 100000) -> DataFrame:
+    rows = pages.select("page_id", host_of(F.col("url")).alias("host"), "html").filter("html is not null")
+    rows = rows.withColumn("place", F.struct(F.xxhash64(F.lit(seed), F.xxhash64("html")).alias("h"), "page_id"))
+    hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("place.h").alias("different"), F.min("place").alias("first")).filter("n > 2")
+    hosts = checkpointed(hosts.select("host", "first", F.greatest(F.lit(1), F.floor(F.col("different") / per_group)).alias("groups")))
+    u = F.pmod(F.col("place.h"), F.lit(1 << 30)) / float(1 << 30)
+    group = F.when(F.col("place").eqNullSafe(F.col("first")), F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).otherwise(F.array(F.floor(u * F.col("groups"))))
+    dealt = rows.join(F.broadcast(hosts) if hosts.count() <= max_broadcast else hosts, "host").select("host", "html", F.explode(group).alias("group"))
+
+    @F.pandas_udf("pairs long, same array<struct<key string, n long>>")
+    def learn(groups: pd.Series) -> pd.DataFrame:
+        found = [evidence(g) for g in groups]
+        return pd.DataFrame({"pairs": [t for t, _ in found], "same": [[{"key": k, "n": n} for k, n in s.items()] for _, s in found]})
+
+    found = dealt.groupBy("host", "group").agg(F.collect_set("html").alias("g")).select("host", learn("g").alias("r"))
+    found = checkpointed(found.select("host", "r.*"))
+    total = found.groupBy("host").agg(F.sum("pairs").alias("total")).filter("total >= 2")
+    counts = found.select("host", F.explode("same").alias("k")).groupBy("host", "k.key").agg(F.sum("k.n").alias("n"))
+    return counts.join(total, "host").filter("n * 3 >= total * 2").groupBy("host").agg(F.collect_list("key").alias("template"))
+
+
+def extract_pages(pages: DataFrame, per_group: int = 16, max_broadcast: int = 100000) -> DataFrame:
     """``page_id, url, text, n_chars`` for every page."""
     from .common import checkpointed
 
-    learned = checkpointed(wrappers(pages, per_host))
+    learned = checkpointed(wrappers(pages, per_group, max_broadcast=max_broadcast))
     side = F.broadcast(learned) if learned.count() <= max_broadcast else learned
 
     @F.pandas_udf("string")
