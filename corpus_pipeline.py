@@ -33,9 +33,8 @@ def redact(spark, docs, sf_dir):
 
 
 def mix(spark, docs, sf_dir):
-    """Documents that the mix takes stay, as often as it takes their words (rounded, once at least)."""
-    taken = mixing.mix(docs).select("doc_id", F.greatest(F.lit(1), F.round(F.col("taken") / F.greatest("size", F.lit(1)))).cast("int").alias("times"))
-    return docs.join(taken, "doc_id").withColumn("_copy", F.explode(F.sequence(F.lit(1), "times"))).select(*COLUMNS)
+    """Each source's documents, in seeded order, as often as its quota of words asks; the last one is cut to it."""
+    return mixing.mixed(docs.select(*COLUMNS))
 
 
 def pack(spark, docs, sf_dir):

@@ -72,11 +72,13 @@ def shard_quotas(quotas: DataFrame, shards: int = 8) -> DataFrame:
     return q.select("source", "shard", (F.floor((F.col("shard") + 1) * F.col("quota") / shards) - F.floor(F.col("shard") * F.col("quota") / shards)).alias("quota"))
 
 
-def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share=1.5, max_repeat=2.0, block=16, seed=7, rows_per_bucket=20000) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` for every row."""
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-                        F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")).alias("h"))
-    sized = checkpointed(sized)
+def _sized(docs: DataFrame, seed: int, *more) -> DataFrame:
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select("doc_id", "source", size.alias("size"), F.xxhash64(F.lit(seed), "doc_id", F.xxhash64("text")).alias("h"), *more)
+
+
+def _placed(sized: DataFrame, weights, share, max_repeat, block, rows_per_bucket) -> DataFrame:
+    """Rows with ``base + upto``, the place where they end in their source's seeded stream, and its quota."""
     rows = sized.count()
     buckets = max(64, rows // rows_per_bucket)
     sized = sized.withColumn("source_key", code_point_key("source")).withColumn("bucket", F.pmod("h", F.lit(buckets)))
@@ -87,7 +89,35 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share=1.5, max_repeat=2.0, blo
     bases = sums.withColumn("base", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
     info = bases.select("source_key", "bucket", "base").join(quotas.drop("source"), "source_key")
     within = Window.partitionBy("source_key", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = sized.withColumn("upto", F.sum("size").over(within)).join(info, ["source_key", "bucket"])
+    return sized.withColumn("upto", F.sum("size").over(within)).join(info, ["source_key", "bucket"])
+
+
+def mixed(docs: DataFrame, weights=(5.0, 2.0, 1.0), share=1.5, max_repeat=2.0, block=16, seed=7, rows_per_bucket=20000) -> DataFrame:
+    """The rows of the mix itself: each source's seeded stream, run through until its quota of words is met.
+
+    A source passes whole as often as its quota holds its size; then documents
+    follow in seeded order, and the last one is cut to the words still missing.
+    A row without words takes nothing and stays once.
+    """
+    placed = _placed(_sized(docs, seed, F.struct(*docs.columns).alias("row")), weights, share, max_repeat, block, rows_per_bucket)
+    quota = F.least(F.col("quota") * block, F.floor(F.col("source_size") * F.lit(float(max_repeat))))
+    placed = placed.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(quota / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
+    rest = quota - F.col("passes") * F.col("source_size") - (F.col("base") + F.col("upto") - F.col("size"))
+    placed = placed.withColumn("extra", F.greatest(F.lit(0), F.least(rest, "size")).cast("long"))
+    copies = F.when(F.col("size") == 0, F.array(F.col("size"))).otherwise(
+        F.concat(F.array_repeat("size", F.col("passes").cast("int")), F.filter(F.array("extra"), lambda x: x > 0)))
+    each = placed.select("row", "size", F.explode(copies).alias("words"))
+    head = F.array_join(F.slice(F.split("row.text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), 1, F.greatest(F.lit(1), F.col("words")).cast("int")), "")
+    cut = F.col("words") < F.col("size")
+    new = {"text": F.when(cut, head).otherwise(F.col("row.text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(cut, F.char_length(head)).otherwise(F.col("row.n_chars")).cast("long")
+    return each.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share=1.5, max_repeat=2.0, block=16, seed=7, rows_per_bucket=20000) -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` for every row."""
+    placed = _placed(checkpointed(_sized(docs, seed)), weights, share, max_repeat, block, rows_per_bucket)
 
     def upto(x):
         """Words taken from the first x words of the stream."""
