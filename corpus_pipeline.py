@@ -21,10 +21,17 @@ def language_id(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """The smallest doc_id of each group of near copies stays."""
-    groups = jaccard.join_components(docs)
-    keep = groups.filter("component_id = doc_id or n_shingles = 0").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One row of each group of near copies stays: that of the smallest doc_id (null last), then of the smallest row hash.
+
+    Rows are told apart by a hash of all columns, so a null doc_id, or one that
+    several texts share, decides nothing; equal rows are copies of each other.
+    """
+    rows = docs.select(F.xxhash64(*[F.col(c).isNull() for c in COLUMNS], *COLUMNS).alias("_row"), *COLUMNS)
+    groups = jaccard.join_components(rows.select(F.col("_row").alias("doc_id"), "text"))
+    groups = groups.select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row"))
+    keep = groups.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(best.alias("best")).select("best._row")
+    return rows.join(keep, "_row", "left_semi").dropDuplicates(["_row"]).select(*COLUMNS)
 
 
 def redact(spark, docs, sf_dir):

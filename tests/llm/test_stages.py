@@ -23,3 +23,13 @@ def test_mix_stage_meets_targets(spark):
     whole = {r[0]: r[1] for r in rows}
     assert all((whole[r.doc_id] or "").startswith(r.text or "") for r in out)
     assert sum(r.text != whole[r.doc_id] for r in out) <= 5 and [r.text for r in out if r.doc_id == 200] == [None]
+
+
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    text = lambda k: " ".join(f"t{k}w{j}" for j in range(30))
+    rows = [(None, text(0), "en", "a", 1), (5, text(1), "en", "a", 1), (5, text(2), "en", "a", 1), (4, text(2) + " end", "en", "a", 1), (None, text(2), "en", "b", 1),
+            (6, text(3), "en", "a", 1), (6, text(3), "en", "a", 1), (6, text(3), "en", None, 1), (7, text(4), None, "en", 1), (None, text(5), "en", "a", 1), (9, None, "en", "a", None)]
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), None).collect()
+    got = sorted(((r.doc_id, r.text) for r in out), key=str)
+    want = [(None, text(0)), (5, text(1)), (4, text(2) + " end"), (6, text(3)), (7, text(4)), (None, text(5)), (9, None)]
+    assert got == sorted(want, key=str)
