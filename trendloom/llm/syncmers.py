@@ -2,11 +2,13 @@
 
 A k-mer of k consecutive words is an anchor when the least of its inner s-mer
 hashes stands first or last in it: a choice that needs no context, so an edit
-moves only anchors that it touches.  The fingerprint is the set of hashes of
-all anchors of the whole text; likeness is the Jaccard similarity of two sets.
+moves only anchors that it touches.  The fingerprint holds all anchors of the
+whole text in order, ``hash@position``.  Two anchors match if they and the
+anchors before them have equal hashes at equal distances, wherever the passage
+has moved; likeness is the Jaccard similarity of these matches.
 
-Defined cases: null text is empty; a text of fewer than k words has one anchor,
-its whole word sequence; with no words the fingerprint is empty, like only
+Defined cases: null text is empty; in a text of fewer than k words every word
+is an anchor; where no k-mer is selected the one of least hash is; with no words the fingerprint is empty, like only
 another empty one; repeated rows keep a row each; an empty table gives no rows.
 """
 
@@ -18,29 +20,42 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def anchors(df: DataFrame, text: str, out: str, k: int = 8, s: int = 3) -> DataFrame:
-    """Add ``out``: sorted distinct anchor hashes (int) of the column ``text``."""
-    span, w, m = k - s, f"_{out}_w", f"_{out}_s"
+def anchors(df: DataFrame, text: str, out: str, k: int = 5, s: int = 2) -> DataFrame:
+    """Add ``out``: all anchors (position in words, hash) of the column ``text``, in order."""
+    if not 2 <= k - s <= 2 * s:
+        raise ValueError("k - s must lie between 2 and 2 s")
+    span, w, m, f = k - s, f"_{out}_w", f"_{out}_s", f"_{out}_f"
     words = F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda x: x != "")
     df = df.withColumn(w, F.transform(words, lambda x: F.xxhash64(x)))
     n = F.size(w)
     df = df.withColumn(m, F.when(n >= k, F.transform(F.sequence(F.lit(0), n - s), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(s)]))))
     at = lambda i, j: F.get(m, i + j)
-    inner = lambda i: F.least(*[at(i, j) for j in range(1, span)])
+    inner = lambda i: F.least(*[at(i, j) for j in range(1, span)]) if span > 2 else at(i, 1)
     kmer = lambda i: F.hash(at(i, 0), at(i, span), *([at(i, s)] if s < span else []))
-    found = F.transform(F.sequence(F.lit(0), F.size(m) - span - 1), lambda i: F.when(F.least(at(i, 0), at(i, span)) <= inner(i), kmer(i)))
-    whole = F.when(n > 0, F.array(F.hash(F.col(w)))).otherwise(F.array().cast("array<int>"))
-    return df.withColumn(out, F.when(n >= k, F.array_sort(F.array_distinct(F.filter(found, lambda x: x.isNotNull())))).otherwise(whole)).drop(w, m)
+    anchor = lambda i: F.struct(i.alias("at"), kmer(i).alias("h"))
+    places = F.sequence(F.lit(0), F.size(m) - span - 1)
+    df = df.withColumn(f, F.filter(F.transform(places, lambda i: F.when(F.least(at(i, 0), at(i, span)) <= inner(i), anchor(i))), lambda x: x.isNotNull()))
+    least = F.array_min(F.transform(places, lambda i: F.struct(kmer(i).alias("h"), i.alias("at"))))
+    single = F.transform(w, lambda x, i: F.struct(i.alias("at"), F.hash(x).alias("h")))
+    found = F.when(n < k, single).when(F.size(f) > 0, F.col(f)).otherwise(F.array(F.struct(least["at"].alias("at"), least["h"].alias("h"))))
+    return df.withColumn(out, F.coalesce(found, F.array().cast("array<struct<at:int,h:int>>"))).drop(w, m, f)
+
+
+def matches(a: str) -> "F.Column":
+    """Distinct keys by which anchors match: hash, hash of the anchor before, and the distance to it (first: to the start)."""
+    before = lambda i: F.get(a, i - 1)
+    return F.array_distinct(F.transform(a, lambda x, i: F.xxhash64(x["h"], F.coalesce(before(i)["h"], F.lit(0)), x["at"] - F.coalesce(before(i)["at"], F.lit(-1)))))
 
 
 def likeness(a: str, b: str) -> "F.Column":
+    """Jaccard similarity of two columns of ``matches``."""
     both = F.size(F.array_intersect(a, b))
     union = F.size(a) + F.size(b) - both
     return F.when(union == 0, F.lit(1.0)).otherwise(both / union).cast("double")
 
 
 def as_text(a: str) -> "F.Column":
-    return F.array_join(F.transform(a, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), ",")
+    return F.array_join(F.transform(a, lambda x: F.concat(F.lpad(F.lower(F.hex(x["h"])), 8, "0"), F.lit("@"), x["at"].cast("string"))), ",")
 
 
 def _bucket(cuts: list[int]) -> "F.Column":
@@ -78,7 +93,7 @@ def with_next(docs: DataFrame, buckets: int = 96) -> DataFrame:
     return both.withColumn("next_text", F.lead("text").over(order)).filter("copy = 0")
 
 
-def fingerprint_edits(docs: DataFrame, k: int = 8, s: int = 3) -> DataFrame:
+def fingerprint_edits(docs: DataFrame, k: int = 5, s: int = 2) -> DataFrame:
     """Fingerprints of texts and of texts whose last third comes from the next document."""
     df = with_next(docs).withColumn("n_chars", F.char_length("text").cast("long"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
@@ -87,5 +102,7 @@ def fingerprint_edits(docs: DataFrame, k: int = 8, s: int = 3) -> DataFrame:
     df = anchors(df, "text", "fp", k, s)
     df = anchors(df, "edited", "efp", k, s)
     df = anchors(df, "next_text", "nfp", k, s)
+    for x in ("fp", "efp", "nfp"):
+        df = df.withColumn(f"{x}_k", matches(x))
     return df.select("doc_id", "n_chars", "edited_sha256", as_text("fp").alias("fingerprint"), as_text("efp").alias("edited_fingerprint"),
-                     likeness("fp", "efp").alias("near_edited"), likeness("fp", "nfp").alias("near_next"))
+                     likeness("fp_k", "efp_k").alias("near_edited"), likeness("fp_k", "nfp_k").alias("near_next"))
