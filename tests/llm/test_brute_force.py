@@ -157,6 +157,52 @@ def test_jaccard(some, frequent):
     assert got == sorted((d, len(s), find(d)) for d, s in rows)
 
 
+def plain_components(rows):
+    comp = {d: d for d, _ in rows}
+
+    def find(x):
+        while comp[x] != x:
+            x = comp[x]
+        return x
+
+    for i, (a, x) in enumerate(rows):
+        for b, y in rows[:i]:
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                p, q = find(a), find(b)
+                comp[max(p, q)] = min(p, q)
+    return sorted((d, len(s), find(d)) for d, s in rows)
+
+
+@pytest.mark.parametrize(("frequent", "block"), [(64, 1024), (0, 1024), (0, 16)])
+def test_jaccard_families(spark, frequent, block):
+    """A family of which some pairs are similar enough and most are not, another of copies, and a chain."""
+    import random
+
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(160):
+        t = list(base)
+        for _ in range(rng.randint(1, 5)):
+            t[rng.randrange(150)] = f"x{rng.randrange(9)}"
+        texts.append(" ".join(t))
+    texts += [" ".join(f"v{j}" for j in range(i, i + 60)) for i in range(0, 80, 2)]
+    texts += [" ".join(base[:60]) + " " + " ".join(f"u{i}.{j}" for j in range(60)) for i in range(100)]
+    texts += ["same text of seven words for all"] * 30 + ["short one", "SHORT one", "short two"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in jaccard.join_components(df, frequent=frequent, block=block).collect())
+    assert got == plain_components([(i, shingles(t)) for i, t in enumerate(texts)])
+
+
+def test_jaccard_null_ids_and_long_text(spark):
+    long = " ".join(str(i) for i in range(600000))
+    rows = [(None, "a b c d e f g"), (None, "a b c d e f g"), (4, "a b c d e f g"), (None, "other words here"), (None, None), (5, long), (6, long + " more"), (7, "x" * 3000000)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, gid int")
+    got = sorted((tuple(r) for r in jaccard.join_components(df).collect()), key=str)
+    want = [(None, 3, 4), (None, 3, 4), (4, 3, 4), (None, 1, None), (None, 0, None), (5, 599996, 5), (6, 599997, 5), (7, 1, 7)]
+    assert got == sorted(want, key=str)
+
+
 def test_syncmers(some):
     rows = sorted(((r.doc_id, r.text or "") for r in some.collect()), reverse=True)
     got = {(r.doc_id, r.edited_sha256): r for r in syncmers.fingerprint_edits(some).collect()}

@@ -1,4 +1,9 @@
-"""Small helpers shared by the corpus operators."""
+"""Small helpers shared by the corpus operators.
+
+Intermediate tables and checkpoints lie in the shared folder that the session
+names in ``spark.checkpoint.dir``.  Only a session with a local master may go
+without it (tests); a cluster without a shared folder is refused.
+"""
 
 from __future__ import annotations
 
@@ -13,23 +18,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    folder = tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
+    spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage by a reliable checkpoint in the shared folder of the session."""
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-", dir="/tmp"))
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    sc = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
+class Tables:
+    """Parquet tables of one operator in the shared folder; ``drop`` frees those that are no longer read."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}", {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        self.paths.setdefault(name, []).append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
+        for name in names:
+            for path in self.paths.pop(name, []):
+                p = hadoop.Path(path)
+                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cut lineage by a Parquet table in the shared folder: smaller than a checkpoint, and read by column."""
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-table-", dir="/tmp")
-    path = f"{shared}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Tables(df.sparkSession).write(df, "table")
 
 
 def code_point_key(col) -> "F.Column":

@@ -15,7 +15,7 @@ def components(edges: DataFrame) -> DataFrame:
     label, so chains halve; a round is two shuffles of node-sized tables.
     """
     both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")))
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp"))
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("comp").alias("near"))
         step = labels.join(near, labels.node == near.a).select("node", F.least("comp", "near").alias("new"), F.col("comp").alias("old"))
