@@ -1,14 +1,19 @@
 """Personal data by weak supervision (native SQL).
 
-Regex labelers propose candidate spans; gazetteer and context labelers vote on
-each.  Expectation-maximisation over the table of vote patterns (a few dozen
-rows whatever the corpus) estimates how reliable each labeler is; the soft
-labels then train a naive-Bayes span classifier on span features.  Base spans
+Regex labelers propose candidate spans.  Six labelers vote for, against or not at
+all on each: strict shape, gazetteer of structures inside the span, cues to the left, words to the left that
+speak of versions and amounts, what follows to the right, and variety of characters.
+Expectation-maximisation over the table of vote patterns (bounded by labelers and features,
+whatever the corpus) estimates how reliable each labeler is and how likely each
+candidate; priors worth ``strength`` candidates keep small corpora sane.  These soft
+labels then train a naive-Bayes span classifier on span features and votes.  Base spans
 (email, ip, card, phone by fixed rules) always stay; the classifier decides
-about added ones (names after a title, loose phone and id numbers).
+about added ones (names after a title, national phone and id numbers, secrets, access keys).
 
 Defined cases: null text is empty; empty texts have no spans and the digest of
-the empty string; repeated rows keep a row each; an empty table gives no rows.
+the empty string; repeated rows keep a row each; an empty table gives no rows; very long texts are searched whole,
+positions add up in chunks; ties of equal candidates share a pattern and so a score; extra columns are ignored
+(``redact`` keeps them).
 """
 
 from __future__ import annotations
@@ -18,6 +23,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Tables
+
 # The base patterns, with possessive repeats so that no text can overflow the matcher's stack.
 BASE = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -26,15 +33,26 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 EXTRA = {
-    "name": r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Sr|Sra)\.? [A-ZÀ-Þ][\wÀ-ɏ'-]{1,30}",
-    "number": r"(?<![\w.+-])(?:\(?[0-9]{3}\)?[ -][0-9]{3}[ -][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])",
-    "secret": r"(?i)\b(?:api[_-]?key|token|secret|password|passwd)\s?[=:]\s?[\"']?[A-Za-z0-9_/+-]{16,200}",
+    "name": r"\b(?:Mrs|Mr|Ms|Dr|Prof|Herr|Frau|Sra|Sr|Mme)\.? [A-ZÀ-Þ][\wÀ-ɏ'-]{1,30}(?: [A-ZÀ-Þ][\wÀ-ɏ'-]{1,30})?",
+    "number": r"(?<!\+[\x20().0-9-]{1,30})(?<![\w.+-])(?:\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])",
+    "secret": r"(?i)\b(?:api[_-]?key|access[_-]?key|auth|bearer|token|secret|password|passwd|pwd)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+.-]{8,200}",
+    "key": r"(?<![A-Za-z0-9_-])(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,80}|sk-[A-Za-z0-9]{20,80}|xox[abps]-[A-Za-z0-9-]{10,80})(?![A-Za-z0-9_-])|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----",
 }
 KINDS = [*BASE, *EXTRA]
 OCTET = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-CUES = r"(?i)(?:mail|contact|call|phone|tel|fax|reach|write|card|visa|pay|account|ip|host|server|login|user|key|token|password|name|dear|ssn)\W*\w*\W*$"
-GAZETTEER = r"(?i)(?:example|mail|gmail|yahoo|hotmail|\.com|\.org|\.net|token|secret|password|api|mr|mrs|dr|prof|^\+?[1-9])"
+# Labelers: strict shapes by kind, structures by kind, and words of the context.
+SHAPES = {
+    "email": r"^[^.].*\.[A-Za-z]{2,24}$", "ip": r"^[1-9]", "card": r"^[3-6]", "phone": r"^\+[1-9][^.]*$", "name": r"[a-zà-ɏ]$",
+    "number": r"^(?:\(?[2-9][0-9]{2}\)?[ .-][2-9]|(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000))", "secret": r"(?i)[=:].*(?:[0-9].*[a-z]|[a-z].*[0-9])", "key": r".",
+}
+GAZETTEER = {
+    "email": r"(?i)\.(?:com|org|net|edu|gov|info|io|de|fr|es|uk)$|@.*mail", "ip": r"^(?:10|127|169\.254|172|192\.168)\.", "card": r"^(?:4|5[1-5]|3[47]|6011)",
+    "phone": r"^\+(?:1|3[0-9]|4[0-9]|5[0-9]|6[0-6]|7|8[0-9]|9[0-9])\D", "name": r"^(?:Mrs|Mr|Ms|Dr|Prof|Herr|Frau|Mme)\b", "number": r"555|^[0-9]{3}-[0-9]{2}-", "secret": r"(?i)key|token|secret|passw", "key": r"^(?:AKIA|ASIA|gh|sk|xox|-----)",
+}
+CUES = r"(?i)(?:mail|contact|call|phone|tel|fax|reach|write|card|visa|pay|account|ip|host|server|login|user|key|token|password|name|dear|ssn|social|from|to|by)\W{0,4}\w{0,12}\W{0,4}$"
+AGAINST = r"(?i)(?:version|release|section|chapter|figure|table|page|isbn|doi|rfc|part|no|nr|v)\.?\s{0,3}$"
 CONTEXT = 40
+CHUNK = 256
 
 
 def _digits(x):
@@ -61,81 +79,117 @@ def valid(kind: str, x):
 
 
 def _spans(text: str, kind: str):
-    """Array of (kind, start, end, span, before): leftmost non-overlapping matches that are valid.
+    """Array of (kind, start, end, span, before, after): leftmost non-overlapping matches that are valid.
 
     The pieces between matches come from ``split``; running lengths of pieces
-    and matches give positions in code points.
+    and matches give positions in code points: within chunks first, then by chunk, so
+    that the work stays near linear in the matches of a text.
     """
     pattern = BASE.get(kind) or EXTRA[kind]
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("span"))
-    empty = F.array().cast("array<struct<kind:int,start:int,end:int,span:string,before:string>>")
+    empty = F.array().cast("array<struct<kind:int,start:int,end:int,span:string,before:string,after:string>>")
     zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
     def step(acc, p):
         start = acc["at"] + F.char_length(p["gap"])
         end = start + F.char_length(p["span"])
-        one = F.struct(F.lit(KINDS.index(kind)).alias("kind"), start.alias("start"), end.alias("end"), p["span"].alias("span"), F.right(p["gap"], F.lit(CONTEXT)).alias("before"))
+        one = F.struct(F.lit(KINDS.index(kind)).alias("kind"), start.alias("start"), end.alias("end"), p["span"].alias("span"), F.right(p["gap"], F.lit(CONTEXT)).alias("before"), F.coalesce(F.left(p["next"], F.lit(8)), F.lit("")).alias("after"))
         return F.when(p["span"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out")))
 
-    spans = F.aggregate(parts, zero, step, lambda acc: acc["out"])
+    def placed(gaps):
+        parts = F.arrays_zip(gaps.alias("gap"), found.alias("span"), F.slice(gaps, 2, F.size(gaps)).alias("next"))
+        return F.transform(F.array(parts), lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / CHUNK).cast("int")), lambda c: F.aggregate(F.slice(p, c * CHUNK + 1, F.lit(CHUNK)), zero, step)))[0]
+
+    def shifted(chunks):
+        bases = F.aggregate(chunks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), lambda acc, c: F.struct((acc["at"] + c["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(chunks, bases, lambda c, b: F.transform(c["out"], lambda s: s.withField("start", s["start"] + b).withField("end", s["end"] + b))))
+
+    once = F.transform(F.array(F.split(text, pattern, -1)), lambda g: placed(g))
+    spans = F.transform(once, lambda c: shifted(c))[0]
     probe = {"email": "@", "phone": r"\+[0-9]"}.get(kind, pattern)
     return F.when(F.col(text).rlike(probe), F.filter(spans, lambda s: valid(kind, s["span"]))).otherwise(empty)
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """``doc_id, spans``: every candidate of every kind in the whole text."""
-    df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return df.select("doc_id", "text", F.concat(*[_spans("text", k) for k in KINDS]).alias("spans"))
+def candidates(docs: DataFrame, *keep: str) -> DataFrame:
+    """``doc_id, spans`` and the columns to keep: every candidate of every kind in the whole text."""
+    df = docs.select("doc_id", *keep, F.coalesce("text", F.lit("")).alias("_text"))
+    return df.select("doc_id", *keep, F.concat(*[_spans("_text", k) for k in KINDS]).alias("spans"))
+
+
+def _by_kind(s, patterns: dict):
+    out = F.lit(False)
+    for i, k in enumerate(KINDS):
+        out = F.when(s["kind"] == i, s["span"].rlike(patterns[k])).otherwise(out)
+    return out
 
 
 def votes(s) -> list:
-    """Labelers: strict shape, gazetteer and context, each 0 or 1."""
-    shape = F.when(s["kind"] < len(BASE), 1).when(s["kind"] == KINDS.index("number"), s["span"].rlike(r"^\(?[2-9]").cast("int")).otherwise((F.length(s["span"]) > 5).cast("int"))
-    return [shape, s["span"].rlike(GAZETTEER).cast("int"), s["before"].rlike(CUES).cast("int")]
+    """Labelers: 2 for, 0 against, 1 no vote."""
+    either = lambda x: F.when(x, 2).otherwise(0)
+    only_for = lambda x: F.when(x, 2).otherwise(1)
+    only_against = lambda x: F.when(x, 0).otherwise(1)
+    return [either(_by_kind(s, SHAPES)), only_for(_by_kind(s, GAZETTEER)), only_for(s["before"].rlike(CUES)), only_against(s["before"].rlike(AGAINST)),
+            F.when(s["after"].rlike(r"^(?:[\s.,;:!?)\"'\]>]|$)"), 2).when(s["after"].rlike(r"^[\w@/-]"), 0).otherwise(1), only_against(s["span"].rlike(r"([0-9A-Za-z])\1{6}"))]
 
 
 def features(s) -> list:
-    return [s["kind"], F.least(F.floor(F.length(s["span"]) / 4), F.lit(9)).cast("int"), (F.length(_digits(s["span"])) > 6).cast("int"), (s["start"] == 0).cast("int")]
+    return [s["kind"], F.least(F.floor(F.length(s["span"]) / 4), F.lit(9)).cast("int"), F.least(F.length(_digits(s["span"])), F.lit(20)).cast("int"), (s["start"] == 0).cast("int"), F.when(s["before"].rlike(r"\s$"), 1).otherwise(0)]
+
+
+LABELERS = 6
+# How labelers are expected to vote (against, none, for) on a true and on a false candidate.
+TRUE_VOTES, FALSE_VOTES, TRUE_SHARE = (0.05, 0.25, 0.7), (0.4, 0.4, 0.2), 0.6
 
 
-def learn(patterns: list[tuple], rounds: int = 25) -> list[dict]:
-    """EM over (votes, features, count) rows, then naive-Bayes log odds per feature value."""
-    prior, hit, false = 0.7, [0.8] * 3, [0.3] * 3
+def estimate(patterns: list[tuple], rounds: int = 25, strength: float = 30.0) -> tuple[list[float], list, list, float]:
+    """EM over (votes, features, count) rows: probability of each row, vote shares per labeler for true and for false ones, share of true ones."""
+    true, false, share = [list(TRUE_VOTES) for _ in range(LABELERS)], [list(FALSE_VOTES) for _ in range(LABELERS)], TRUE_SHARE
     post: list[float] = []
     for _ in range(rounds):
         post = []
         for v, _f, _n in patterns:
-            p, q = prior, 1 - prior
+            p, q = share, 1 - share
             for j, x in enumerate(v):
-                p *= hit[j] if x else 1 - hit[j]
-                q *= false[j] if x else 1 - false[j]
+                p *= true[j][x]
+                q *= false[j][x]
             post.append(p / (p + q))
-        n1 = sum(w * n for w, (_, _, n) in zip(post, patterns)) + 1
-        n0 = sum((1 - w) * n for w, (_, _, n) in zip(post, patterns)) + 1
-        prior = min(0.95, max(0.05, n1 / (n1 + n0)))
-        for j in range(3):
-            a = sum(w * n * v[j] for w, (v, _, n) in zip(post, patterns))
-            b = sum((1 - w) * n * v[j] for w, (v, _, n) in zip(post, patterns))
-            hit[j] = min(0.98, max(0.5, (a + 1) / (n1 + 1)))
-            false[j] = min(0.6, max(0.02, (b + 0.3) / (n0 + 1)))
-    tables: list[dict] = []
-    width = len(patterns[0][1]) + 3 if patterns else 0
-    total1 = sum(w * n for w, (_, _, n) in zip(post, patterns)) + 1
-    total0 = sum((1 - w) * n for w, (_, _, n) in zip(post, patterns)) + 1
+        n1 = sum(w * n for w, (_, _, n) in zip(post, patterns))
+        n0 = sum((1 - w) * n for w, (_, _, n) in zip(post, patterns))
+        share = (n1 + strength * TRUE_SHARE) / (n1 + n0 + strength)
+        for j in range(LABELERS):
+            for x in range(3):
+                a = sum(w * n for w, (v, _, n) in zip(post, patterns) if v[j] == x)
+                b = sum((1 - w) * n for w, (v, _, n) in zip(post, patterns) if v[j] == x)
+                true[j][x] = (a + strength * TRUE_VOTES[x]) / (n1 + strength)
+                false[j][x] = (b + strength * FALSE_VOTES[x]) / (n0 + strength)
+    return post, true, false, share
+
+
+def learn(patterns: list[tuple], rounds: int = 25, strength: float = 30.0) -> list[dict]:
+    """Naive-Bayes log odds by feature value, trained on EM's soft labels; votes start from EM's shares, features from none."""
+    post, true, false, share = estimate(patterns, rounds, strength)
+    total1 = sum(w * n for w, (_, _, n) in zip(post, patterns))
+    total0 = sum((1 - w) * n for w, (_, _, n) in zip(post, patterns))
+    tables: list[dict] = [{"prior": math.log(share / (1 - share))}]
+    width = len(patterns[0][1]) if patterns else 0
     for j in range(width):
         counts: dict = {}
-        for w, (v, f, n) in zip(post, patterns):
-            c = counts.setdefault((*f, *v)[j], [1.0, 1.0])
+        for w, (_, f, n) in zip(post, patterns):
+            c = counts.setdefault(f[j], [0.0, 0.0])
             c[0] += w * n
             c[1] += (1 - w) * n
-        tables.append({x: math.log(a / total1) - math.log(b / total0) for x, (a, b) in counts.items()})
-    return [{"prior": math.log(total1 / total0)}, *tables]
+        # A value starts at the odds of the whole: rare values say little.
+        base = (total1 + 1) / (total1 + total0 + 2)
+        tables.append({x: math.log((a + strength * base) / (total1 + strength * base)) - math.log((b + strength * (1 - base)) / (total0 + strength * (1 - base))) for x, (a, b) in counts.items()})
+    return tables + [{x: math.log(true[j][x] / false[j][x]) for x in range(3)} for j in range(LABELERS)]
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """``doc_id, text, found``: spans with kind, start, end and score; base spans are kept whatever their score."""
-    cand = candidates(docs)
+def find(docs: DataFrame, *keep: str) -> DataFrame:
+    """``doc_id``, the columns to keep, ``found``: spans with kind, start, end and score; base spans are kept whatever their score.
+
+    Candidates are written once; what the driver sees is the table of vote patterns.
+    """
+    cand = Tables(docs.sparkSession).write(candidates(docs, *keep), "candidates")
     flat = cand.select(F.explode("spans").alias("s"))
     joint = flat.select(F.array(*votes(F.col("s"))).alias("v"), F.array(*features(F.col("s"))).alias("f")).groupBy("v", "f").count()
     patterns = sorted((tuple(r["v"]), tuple(r["f"]), r["count"]) for r in joint.collect())
@@ -144,14 +198,15 @@ def find(docs: DataFrame) -> DataFrame:
     def score(s):
         z = F.lit(model[0]["prior"])
         for column, table in zip(features(s) + votes(s), model[1:]):
-            if table:
-                m = F.create_map(*[F.lit(x) for kv in sorted(table.items()) for x in kv])
-                z = z + F.coalesce(F.try_element_at(m, column), F.lit(0.0))
+            m = F.create_map(*[F.lit(x) for kv in sorted(table.items()) for x in kv])
+            z = z + F.coalesce(F.try_element_at(m, column), F.lit(0.0))
         return 1 / (1 + F.exp(-z))
 
+    if not patterns:
+        score = lambda s: F.lit(0.0)
     scored = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), score(s).alias("score")))
     kept = F.filter(scored, lambda s: (s["kind"] < len(BASE)) | (s["score"] >= 0.5))
-    return cand.select("doc_id", "text", kept.alias("found"))
+    return cand.select("doc_id", *keep, kept.alias("found"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -160,7 +215,21 @@ def digest(found: DataFrame) -> DataFrame:
     write = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["end"])), ",")
     n = lambda k: F.size(F.filter("found", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     base = F.filter("found", lambda s: s["kind"] < len(BASE))
-    return found.select("doc_id", *[n(k) for k in range(len(BASE))], F.sha2(write(base), 256).alias("base_sha256"), write(F.col("found")).alias("spans"))
+    return found.select("doc_id", *[n(k) for k in range(len(BASE))], F.sha2(write(base), 256).alias("base_sha256"), write(F.col("found")).alias("spans"), F.size("found").cast("long").alias("n_spans"))
+
+
+def _reach(order: str) -> "F.Column":
+    """Greatest end of the spans before each, in chunks as in ``_spans``."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    count = F.greatest(F.lit(0), F.floor((F.size(order) - 1) / CHUNK).cast("int"))
+    longer = lambda acc, end: F.struct(F.greatest(acc["at"], end).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+    chunks = F.transform(F.sequence(F.lit(0), count), lambda c: F.aggregate(F.slice(order, c * CHUNK + 1, F.lit(CHUNK)), zero, lambda acc, s: longer(acc, s["end"])))
+
+    def joined(cs):
+        bases = F.aggregate(cs, zero, lambda acc, c: longer(acc, c["at"]), lambda acc: acc["out"])
+        return F.flatten(F.zip_with(cs, bases, lambda c, b: F.transform(c["out"], lambda x: F.greatest(x, b))))
+
+    return F.transform(F.array(chunks), joined)[0]
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -168,17 +237,15 @@ def redact(docs: DataFrame) -> DataFrame:
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     packed = docs.select("doc_id", "text", F.struct(*rest).alias("_rest")) if rest else docs.select("doc_id", "text")
     cand_docs = packed.withColumn("doc_id", F.struct(*[c for c in packed.columns if c != "text"], (F.col("text").isNull()).alias("_null")))
-    f = find(cand_docs)
+    f = find(cand_docs, "text").withColumn("text", F.coalesce("text", F.lit("")))
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
     order = F.array_sort(F.transform("found", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc, s):
-        piece = F.substring("text", acc["at"] + 1, s["start"] - acc["at"])
-        return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(
-            F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(piece, F.get(names, s["kind"]))).alias("out")))
-
-    joined = F.aggregate(order, zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring("text", acc["at"] + 1, F.char_length("text") - acc["at"])))
+    ordered = f.select("doc_id", "text", "found", order.alias("order"))
+    ordered = ordered.withColumn("reach", _reach("order"))
+    # A span that begins inside an earlier one adds no mark of its own.
+    pieces = F.zip_with("order", "reach", lambda s, r: F.concat(F.substring("text", r + 1, F.greatest(F.lit(0), s["start"] - r)), F.when(s["start"] >= r, F.get(names, s["kind"])).otherwise(F.lit(""))))
+    last = F.coalesce(F.array_max(F.transform("order", lambda s: s["end"])), F.lit(0))
+    joined = F.concat(F.array_join(pieces, ""), F.substring("text", last + 1, F.char_length("text") - last))
     text = F.when(F.col("doc_id._null"), F.lit(None)).when(F.size("found") == 0, F.col("text")).otherwise(joined)
-    out = f.select(F.col("doc_id.doc_id").alias("doc_id"), text.alias("text"), *[F.col(f"doc_id._rest.{c}").alias(c) for c in rest])
+    out = ordered.select(F.col("doc_id.doc_id").alias("doc_id"), text.alias("text"), *[F.col(f"doc_id._rest.{c}").alias(c) for c in rest])
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out.select(*docs.columns)
