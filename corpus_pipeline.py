@@ -1,14 +1,18 @@
-"""Corpus pipeline: five stages, each written as Parquet and read again by the next."""
+"""Corpus pipeline: five stages, each written as Parquet and read again by the next.
+
+Defined cases, as in the operators: null or letterless text goes in the first stage; null and repeated doc_ids
+stay apart by a hash of the whole row; equal rows are copies; empty tables pass through; columns beside those of
+documents are dropped; very long texts are worked on whole.
+"""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from trendloom.llm import jaccard, langid, mixing, packing, pii
-from trendloom.llm.common import table
+from trendloom.llm.common import shared_folder, table
 from trendloom.llm.queries import ranks, tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -55,7 +59,7 @@ ORACLE_SQL = None
 
 def run(spark, sf_dir):
     """All stages over ``documents``; each result lies in the shared checkpoint folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-pipe-", dir="/tmp")
+    shared = shared_folder(spark)
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     for name, stage in STAGES:
         path = f"{shared}/{name}-{uuid.uuid4().hex}"
