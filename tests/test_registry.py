@@ -1,39 +1,36 @@
-"""Every registered query against its SQL in DuckDB, and the clustering by hand."""
+"""Every registered query against its SQL in DuckDB."""
 
 import duckdb
 import pytest
 
-from trendloom.operators import clusters
 from trendloom.plans import registry
 
 SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
 
 
-def norm(rows):
-    return sorted((tuple(float(x) if isinstance(x, (int, float)) or type(x).__name__ == "Decimal" else str(x) for x in r) for r in rows), key=str)
+def plain(x):
+    return float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) or type(x).__name__ == "Decimal" else str(x)
 
 
-@pytest.mark.parametrize("name", sorted(registry.SQL))
-def test_matches_sql(spark, name):
+@pytest.fixture(scope="module")
+def con():
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(registry.SQL))
+def test_matches_sql(spark, con, name):
     df = registry.QUERIES[name](spark, SF)
     rel = con.sql(registry.SQL[name])
     assert sorted(df.columns) == sorted(rel.columns)
-    got, want = norm(df.select(*rel.columns).collect()), norm(rel.fetchall())
-    assert len(got) == len(want)
+    got, want = (sorted((tuple(map(plain, r)) for r in rows), key=str) for rows in (df.select(*rel.columns).collect(), rel.fetchall()))
+    assert len(got) == len(want) > 0
     for g, w in zip(got, want):
-        assert all(a == pytest.approx(b, abs=2e-6) if isinstance(a, float) and isinstance(b, float) else a == b for a, b in zip(g, w)), (g, w)
-
-
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
-def test_runs(spark, name):
-    assert registry.QUERIES[name](spark, SF).count() > 0
+        assert all(a == pytest.approx(b, abs=2e-6, rel=1e-9) if isinstance(a, float) and isinstance(b, float) else a == b for a, b in zip(g, w)), (g, w)
 
 
-def test_kmeans_separates_two_groups(spark):
-    df = spark.createDataFrame([(float(x),) for x in (0, 1, 2, 10, 11, 12)], "x double")
-    out, centres, _ = clusters.kmeans(df, ["x"], [[0.0], [1.0]])
-    assert centres == [[1.0], [11.0]] and [r.cluster for r in out.orderBy("x").collect()] == [1, 1, 1, 2, 2, 2]
+def test_others_are_tested_elsewhere():
+    assert set(registry.QUERIES) - set(registry.SQL) == {"pca_scores", "replicated_runs", "slope_intervals"}

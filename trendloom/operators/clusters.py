@@ -1,10 +1,12 @@
-"""K-means from fixed seeds, validity metrics, agreement of partitions, k votes, profiles."""
+"""K-means from given or drawn centres, replicated runs, validity, stability, profiles."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .density import pairs
+
 
 def nearest(point, centres: list[list[float]]):
     """Index (from 1) of the nearest centre, ties to the first; inside codegen for small k."""
@@ -13,15 +15,24 @@ def nearest(point, centres: list[list[float]]):
 
 
 def kmeans(df: DataFrame, features: list[str], seeds: list[list[float]], rounds: int = 300, tol: float = 1e-4) -> tuple[DataFrame, list[list[float]], int]:
-    """Lloyd's algorithm: each round is one map-side aggregation of k rows; an empty cluster keeps its centre."""
+    """Lloyd's algorithm from given centres: each round is one map-side aggregation of k rows.
+
+    Rows with a null or non-finite coordinate and empty clusters are refused.  It ends when the centres stand
+    still (no label changes) or move by at most ``tol`` of the mean variance.
+    """
     point = [F.col(c) for c in features]
-    spread = df.agg(*[F.var_pop(c) for c in features]).head()
+    bad = F.count_if(sum(F.when(F.col(c).isNull() | F.isnan(c) | (F.abs(c) == float("inf")), 1).otherwise(0) for c in features) > 0)
+    *spread, wrong = df.agg(*[F.var_pop(c) for c in features], bad).head()
+    if wrong:
+        raise ValueError(f"{wrong} rows with missing or non-finite features")
     limit = tol * sum(v or 0.0 for v in spread) / len(features)
     centres = [list(map(float, s)) for s in seeds]
     n = 0
     for n in range(1, rounds + 1):
         means = {r[0]: list(r[1:]) for r in df.groupBy(nearest(point, centres)["label"].alias("label")).agg(*[F.avg(c) for c in features]).collect()}
-        new = [means.get(i + 1, c) for i, c in enumerate(centres)]
+        if len(means) < len(centres):
+            raise ValueError(f"empty clusters: {sorted(set(range(1, len(centres) + 1)) - set(means))}")
+        new = [means[i + 1] for i in range(len(centres))]
         shift = sum((a - b) ** 2 for x, y in zip(new, centres) for a, b in zip(x, y))
         centres = new
         if shift <= limit:
@@ -29,22 +40,76 @@ def kmeans(df: DataFrame, features: list[str], seeds: list[list[float]], rounds:
     return df.withColumn("cluster", nearest(point, centres)["label"]), centres, n
 
 
-def scatter(df: DataFrame, label: str, features: list[str]) -> DataFrame:
-    return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"m_{c}") for c in features])
+def inertia(df: DataFrame, features: list[str], centres: list[list[float]]) -> DataFrame:
+    return df.agg(F.round(F.sum(nearest([F.col(c) for c in features], centres)["d"]), 6).alias("inertia"))
 
 
-def calinski_harabasz(df: DataFrame, label: str, features: list[str]) -> DataFrame:
-    """Sums of squares alone: no distances between rows."""
-    g = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *[f for c in features for f in (F.sum(c).alias(f"s_{c}"), F.sum(F.col(c) * F.col(c)).alias(f"q_{c}"))])
-    within = sum(F.col(f"q_{c}") - F.col(f"s_{c}") ** 2 / F.col("n") for c in features)
-    t = g.agg(F.sum(within).alias("w"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), *[f for c in features for f in (F.sum(f"s_{c}").alias(f"s_{c}"), F.sum(f"q_{c}").alias(f"q_{c}"))])
-    total = sum(F.col(f"q_{c}") - F.col(f"s_{c}") ** 2 / F.col("n") for c in features)
-    return t.select(F.round((total - F.col("w")) / (F.col("k") - 1) / (F.col("w") / (F.col("n") - F.col("k"))), 6).alias("calinski_harabasz"))
+def random_centres(df: DataFrame, ids: str, features: list[str], k: int, seed: int) -> list[list[float]]:
+    return [list(r) for r in df.orderBy(F.xxhash64(ids, F.lit(seed)), ids).limit(k).select(*features).collect()]
+
+
+def replicate(df: DataFrame, ids: str, features: list[str], k: int, seeds: list[int], rounds: int = 300, tol: float = 1e-4) -> tuple[DataFrame, dict[int, list]]:
+    """Runs of all seeds together: a round scans the rows once for every run that still moves.
+
+    Returns ``id, run, label, d`` (label by centre order of the first feature) and the centres of each run.
+    """
+    limit = tol * sum(v or 0.0 for v in df.agg(*[F.var_pop(c) for c in features]).head()) / len(features)
+    point = [F.col(c) for c in features]
+    centres = {s: random_centres(df, ids, features, k, s) for s in seeds}
+    labels = lambda some: F.array(*[F.struct(F.lit(s).alias("run"), nearest(point, centres[s]).alias("n")) for s in some])
+    moving = list(seeds)
+    for _ in range(rounds):
+        if not moving:
+            break
+        means = {}
+        for r in df.select(*features, F.explode(labels(moving)).alias("r")).groupBy("r.run", "r.n.label").agg(*[F.avg(c) for c in features]).collect():
+            means[r[0], r[1]] = list(r[2:])
+        still = []
+        for s in moving:
+            new = [means.get((s, i + 1), c) for i, c in enumerate(centres[s])]
+            if sum((a - b) ** 2 for x, y in zip(new, centres[s]) for a, b in zip(x, y)) > limit:
+                still.append(s)
+            centres[s] = new
+        moving = still
+    centres = {s: sorted(c) for s, c in centres.items()}
+    out = df.select(ids, *features, F.explode(labels(seeds)).alias("r")).select(ids, *features, "r.run", F.col("r.n.label").alias("label"), F.col("r.n.d").alias("d2"))
+    return out, centres
+
+
+def best_of(df: DataFrame, ids: str, features: list[str], k: int, starts: int = 10) -> tuple[DataFrame, list[list[float]]]:
+    """The run of least inertia among several starts, ties to the smaller seed."""
+    runs, centres = replicate(df, ids, features, k, list(range(starts)))
+    best = runs.groupBy("run").agg(F.sum("d2").alias("i")).orderBy(F.round("i", 9), "run").head()["run"]
+    return runs.filter(F.col("run") == best).drop("run"), centres[best]
+
 
+def run_summary(runs: DataFrame) -> DataFrame:
+    per = runs.groupBy("run", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("d2").alias("i"))
+    return per.groupBy("run").agg(F.round(F.sum("i"), 6).alias("inertia"), F.array_join(F.array_sort(F.collect_list("n")), ",").alias("sizes"))
 
-def davies_bouldin(df: DataFrame, label: str, features: list[str]) -> DataFrame:
-    """Mean distance to the own centre, then the worst ratio per cluster over pairs of the k centres."""
-    m = scatter(df, label, features)
+
+def centre_movement(start: list[list[float]], end: list[list[float]]) -> list[dict]:
+    return [{"cluster": i + 1, "distance": sum((a - b) ** 2 for a, b in zip(x, y)) ** 0.5} for i, (x, y) in enumerate(zip(start, end))]
+
+
+def boundary(centres: list[list[float]]) -> float:
+    """Midpoint of two one-dimensional centres."""
+    return (centres[0][0] + centres[1][0]) / 2
+
+
+def calinski_harabasz(df: DataFrame, label: str, features: list[str]) -> DataFrame:
+    """Sums of squares about means (no cancellation), one aggregation by label and one over all."""
+    g = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), *[(F.var_pop(c) * F.count(c)).alias(f"w_{c}") for c in features])
+    inside = g.agg(F.sum(sum(F.col(f"w_{c}") for c in features)).alias("w"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    total = df.agg(sum(F.var_pop(c) * F.count(c) for c in features).alias("t"))
+    return inside.crossJoin(total).select(F.round((F.col("t") - F.col("w")) / (F.col("k") - 1) / (F.col("w") / (F.col("n") - F.col("k"))), 6).alias("calinski_harabasz"))  # one row each
+
+
+def davies_bouldin(df: DataFrame, label: str, features: list[str], max_labels: int = 10_000) -> DataFrame:
+    """Mean distance to the own centre, then the worst ratio per cluster over pairs of the k centres (k is checked)."""
+    m = df.groupBy(label).agg(*[F.avg(c).alias(f"m_{c}") for c in features])
+    if m.count() > max_labels:
+        raise ValueError(f"more than {max_labels} clusters")
     dist = F.sqrt(sum((F.col(c) - F.col(f"m_{c}")) ** 2 for c in features))
     s = df.join(F.broadcast(m), label).groupBy(label).agg(F.avg(dist).alias("s"), *[F.first(f"m_{c}").alias(f"m_{c}") for c in features])
     a, b = s.alias("a"), s.alias("b")
@@ -53,25 +118,93 @@ def davies_bouldin(df: DataFrame, label: str, features: list[str]) -> DataFrame:
     return r.agg(F.round(F.avg("r"), 6).alias("davies_bouldin"))
 
 
+def silhouette(df: DataFrame, ids: str, vec: str, label: str, max_rows: int = 100_000) -> DataFrame:
+    """Exact mean silhouette by Euclidean distance; pairs are summed by (row, cluster) before the shuffle."""
+    p = pairs(df, ids, vec, (label,), max_rows=max_rows, both=True)
+    per = p.groupBy("i", f"{label}_i", f"{label}_j").agg(F.avg("d").alias("m"))
+    own = F.col(f"{label}_i") == F.col(f"{label}_j")
+    s = per.groupBy("i").agg(F.max(F.when(own, F.col("m"))).alias("a"), F.min(F.when(~own, F.col("m"))).alias("b"))
+    value = F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return s.agg(F.round(F.avg(value), 6).alias("silhouette"))
+
+
+def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
+    return df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
+
+
+def label_agreement(df: DataFrame, a: str, b: str) -> DataFrame:
+    return df.agg(F.count_if(F.col(a) == F.col(b)).alias("n_equal"), F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col(a) == F.col(b)).cast("int")) * 100, 6).alias("pct"))
+
+
+def _ari(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """From counts of label pairs: sums by row, by column and in all come from one grouping each."""
+    two = lambda c: F.col(c) * (F.col(c) - 1) / 2
+    x = cells.groupBy(*keys).agg(F.sum(two("n")).alias("ij"), F.sum("n").alias("total"))
+    y = cells.groupBy(*keys, "la").agg(F.sum("n").alias("n")).groupBy(*keys).agg(F.sum(two("n")).alias("ai"))
+    z = cells.groupBy(*keys, "lb").agg(F.sum("n").alias("n")).groupBy(*keys).agg(F.sum(two("n")).alias("bj"))
+    t = x.join(y, keys).join(z, keys)
+    chance = F.col("ai") * F.col("bj") / (F.col("total") * (F.col("total") - 1) / 2)
+    half = (F.col("ai") + F.col("bj")) / 2
+    return t.select(*keys, F.round(F.when(half == chance, 1.0).otherwise((F.col("ij") - chance) / (half - chance)), 6).alias("ari"))
+
+
 def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     """From the contingency table: pairs are counted, never formed."""
-    two = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
-    cells = df.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
-    x = cells.agg(two("n").alias("ij"), F.sum("n").alias("total"))
-    y = cells.groupBy(a).agg(F.sum("n").alias("n")).agg(two("n").alias("ai"))
-    z = cells.groupBy(b).agg(F.sum("n").alias("n")).agg(two("n").alias("bj"))
-    t = x.crossJoin(F.broadcast(y)).crossJoin(F.broadcast(z))
-    chance = F.col("ai") * F.col("bj") / (F.col("total") * (F.col("total") - 1) / 2)
-    return t.select(F.round((F.col("ij") - chance) / ((F.col("ai") + F.col("bj")) / 2 - chance), 6).alias("ari"))
+    cells = df.groupBy(F.col(a).alias("la"), F.col(b).alias("lb")).agg(F.count(F.lit(1)).alias("n")).withColumn("one", F.lit(1))
+    return _ari(cells, ["one"]).drop("one")
+
+
+def pairwise_ari(runs: DataFrame, ids: str) -> DataFrame:
+    """Adjusted Rand index of every pair of runs."""
+    a = runs.select(ids, F.col("run").alias("run_a"), F.col("label").alias("la"))
+    b = runs.select(ids, F.col("run").alias("run_b"), F.col("label").alias("lb"))
+    cells = a.join(b, ids).filter("run_a < run_b").groupBy("run_a", "run_b", "la", "lb").agg(F.count(F.lit(1)).alias("n"))
+    return _ari(cells, ["run_a", "run_b"])
 
 
-def canonical_labels(df: DataFrame, label: str, value: str) -> DataFrame:
-    """Labels renumbered from 1 by mean value."""
+def ordered_labels(df: DataFrame, label: str, value: str) -> DataFrame:
+    """Labels renumbered from 1 by mean value: k rows."""
     g = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("m"))
     return g.select(label, "n", F.row_number().over(Window.orderBy("m", label)).alias("canonical"))
 
 
-def profile(df: DataFrame, label: str, value: str) -> DataFrame:
-    g = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.median(value).alias("median"), F.min(value).alias("min"), F.max(value).alias("max"))
+def first_appearance(runs: DataFrame, index: str) -> DataFrame:
+    """``run, label, canonical``: labels numbered from 0 by first appearance along a stored index."""
+    first = runs.groupBy("run", "label").agg(F.min(index).alias("_f"))
+    return first.select("run", "label", (F.row_number().over(Window.partitionBy("run").orderBy("_f")) - 1).alias("canonical"))
+
+
+def partition_prints(runs: DataFrame, ids: str, index: str) -> DataFrame:
+    """Fingerprint of each run's partition: order-free sums of hashes of (id, canonical label), so that no list of ids is kept."""
+    named = runs.join(first_appearance(runs, index), ["run", "label"])
+    h = F.xxhash64(F.col(ids), F.col("canonical").cast("int"))
+    return named.groupBy("run").agg(F.sha2(F.concat_ws("|", F.sum(F.shiftright(h, 20)), F.sum(F.pmod(h, F.lit(1 << 20))), F.count(F.lit(1))), 256).alias("fingerprint"))
+
+
+def partition_frequency(prints: DataFrame) -> DataFrame:
+    g = prints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n_runs"), F.array_join(F.array_sort(F.collect_list("run")), ",").alias("runs"))
+    return g.select("n_runs", "runs", F.round(F.col("n_runs") * 100.0 / F.sum("n_runs").over(Window.partitionBy(F.lit(0))), 6).alias("pct"))
+
+
+def cumulative_runs(summary: DataFrame, checkpoints=(10, 20, 30), value: str = "inertia") -> DataFrame:
+    """Mean and sd of a metric over the first runs, at checkpoints."""
+    at = summary.select("*", F.explode(F.array(*[F.lit(c) for c in checkpoints])).alias("first_runs")).filter("run < first_runs")
+    return at.groupBy("first_runs").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp(value), F.lit(0.0)), 6).alias("sd"))
+
+
+def profile(df: DataFrame, label: str, value: str, support: tuple[str, ...] = ()) -> DataFrame:
+    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    g = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"), q.alias("q"), F.min(value).alias("min"), F.max(value).alias("max"), *[F.percentile(c, 0.5).alias(f"median_{c}") for c in support])
     share = F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(F.lit(0)))
-    return g.select(label, "n", F.round(share, 6).alias("percent"), *[F.round(c, 6).alias(c) for c in ("mean", "median", "min", "max")])
+    return g.select(label, "n", F.round(share, 6).alias("percent"), *[F.round(c, 6).alias(c) for c in ("mean", "sd", "min", "max")], *[F.round(F.get("q", F.lit(i)), 6).alias(n) for i, n in enumerate(("q1", "median", "q3"))], *[F.round(f"median_{c}", 6).alias(f"median_{c}") for c in support])
+
+
+def check_assignment(df: DataFrame, ids: str, label: str, k: int) -> DataFrame:
+    """Rows, distinct ids, null labels, clusters seen, labels within 1 to k."""
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(ids).alias("n_ids"), F.count_if(F.col(label).isNull()).alias("n_unlabelled"), F.count_distinct(label).alias("n_clusters"), F.coalesce(F.bool_and(F.col(label).between(1, k)), F.lit(True)).alias("labels_in_range"))
+
+
+def tail_overlap(primary: DataFrame, refit: DataFrame, ids: str) -> DataFrame:
+    """Agreement and adjusted Rand index of a refit on fewer rows."""
+    both = primary.select(ids, F.col("label").alias("la")).join(refit.select(ids, F.col("label").alias("lb")), ids)
+    return label_agreement(both, "la", "lb").crossJoin(adjusted_rand(both, "la", "lb"))  # one row each

@@ -6,11 +6,35 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import exact_quantile
+
+
+def medians(df: DataFrame, features: list[str], exact_rows: int = 10_000_000) -> dict[str, float | None]:
+    """Exact medians: one aggregation, or rank selection in two passes where a column has many rows."""
+    if df.count() > exact_rows:
+        return {c: exact_quantile(df, c, 0.5) for c in features}
+    return df.agg(*[F.median(c).alias(c) for c in features]).head().asDict()
+
 
 def median_impute(df: DataFrame, features: list[str]) -> DataFrame:
-    m = df.agg(*[F.median(c).alias(f"_m_{c}") for c in features])
-    rest = [c for c in df.columns if c not in features]
-    return df.crossJoin(F.broadcast(m)).select(*rest, *[F.coalesce(F.col(c), F.col(f"_m_{c}")).alias(c) for c in features])
+    m = medians(df, features)
+    return df.select(*[F.coalesce(F.col(c), F.lit(m[c])).alias(c) if c in features else F.col(c) for c in df.columns])
+
+
+def impute_summary(df: DataFrame, features: list[str]) -> DataFrame:
+    """Per feature: missing, median, range before and after."""
+    m = medians(df, features)
+    parts = df.agg(*[F.struct(F.lit(c).alias("feature"), F.count_if(F.col(c).isNull()).alias("n_missing"), F.round(F.count_if(F.col(c).isNull()) * 100.0 / F.count(F.lit(1)), 6).alias("pct_missing"), F.lit(m[c]).cast("double").alias("median"), F.min(c).alias("min_before"), F.max(c).alias("max_before"),
+                                F.min(F.coalesce(c, F.lit(m[c]))).alias("min_after"), F.max(F.coalesce(c, F.lit(m[c]))).alias("max_after")).alias(f"s{i}") for i, c in enumerate(features)])
+    return parts.select(F.explode(F.array(*[f"s{i}" for i in range(len(features))])).alias("s")).select("s.*")
+
+
+def expect_missing(df: DataFrame, expected: dict[str, int]) -> None:
+    """Per-feature missing counts must be as expected before imputing."""
+    got = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in expected]).head().asDict()
+    wrong = {c: (got[c], n) for c, n in expected.items() if got[c] != n}
+    if wrong:
+        raise ValueError(f"missing counts (found, expected): {wrong}")
 
 
 def standardize(df: DataFrame, features: list[str]) -> DataFrame:
@@ -22,19 +46,47 @@ def standardize(df: DataFrame, features: list[str]) -> DataFrame:
     return df.select(*[((F.col(c) - stats[f"a_{c}"]) / stats[f"s_{c}"]).alias(c) if c in features else F.col(c) for c in df.columns])
 
 
-def pca(df: DataFrame, features: list[str], share: float = 0.85):
-    """Scores and (eigenvalue, share, cumulative) rows: p*p covariance sums in Spark, the small eigenproblem here."""
+def check_standardized(df: DataFrame, features: list[str], tolerance: float = 1e-9) -> None:
+    r = df.agg(*[F.greatest(F.abs(F.avg(c)), F.abs(F.stddev_pop(c) - 1)).alias(c) for c in features]).head().asDict()
+    bad = {c: v for c, v in r.items() if v is None or v > tolerance}
+    if bad:
+        raise ValueError(f"mean 0 and deviation 1 missed by {bad}")
+
+
+def covariances(df: DataFrame, features: list[str]) -> DataFrame:
+    """Upper triangle of the covariance matrix from one aggregation."""
+    cells = [(a, b) for i, a in enumerate(features) for b in features[i:]]
+    wide = df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.covar_samp(a, b), 6).alias("covariance")) for a, b in cells]).alias("c"))
+    return wide.select(F.explode("c").alias("c")).select("c.*")
+
+
+def components(df: DataFrame, features: list[str], share: float = 0.85):
+    """Eigenvalues, shares, kept count, loadings and means: p*p sums in Spark, the small eigenproblem here."""
     pairs = [(i, j) for i in range(len(features)) for j in range(i, len(features))]
-    row = df.agg(*[F.covar_samp(features[i], features[j]) for i, j in pairs], *[F.avg(c) for c in features]).head()
+    row = df.agg(F.array(*[F.covar_samp(features[i], features[j]) for i, j in pairs]), F.array(*[F.avg(c) for c in features])).head()
     cov = np.zeros((len(features),) * 2)
-    for (i, j), v in zip(pairs, row):
+    for (i, j), v in zip(pairs, row[0]):
         cov[i, j] = cov[j, i] = v
     values, vectors = np.linalg.eigh(cov)
     values, vectors = values[::-1], vectors[:, ::-1]
+    # Sign rule: the loading of largest magnitude is positive.
     vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(0), range(len(features))])
     ratio = values / values.sum()
     keep = int(np.searchsorted(np.cumsum(ratio), share - 1e-12)) + 1
-    means = row[len(pairs):]
+    return values, ratio, keep, vectors, row[1]
+
+
+def pca(df: DataFrame, features: list[str], share: float = 0.85):
+    """Scores of the fewest components that reach the share, and scree rows (eigenvalue, share, cumulative)."""
+    values, ratio, keep, vectors, means = components(df, features, share)
     rest = [c for c in df.columns if c not in features]
-    score = lambda k: sum((F.col(c) - float(means[i])) * float(vectors[i, k]) for i, c in enumerate(features))
-    return df.select(*rest, *[score(k).alias(f"PC{k + 1}") for k in range(keep)]), list(zip(values.tolist(), ratio.tolist(), np.cumsum(ratio).tolist()))
+    centred = F.array(*[F.col(c) - float(m) for c, m in zip(features, means)])
+    weights = lambda k: F.array(*[F.lit(float(x)) for x in vectors[:, k]])
+    score = lambda k: F.aggregate(F.zip_with("_x", weights(k), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
+    scores = df.select(*rest, centred.alias("_x")).select(*rest, *[score(k).alias(f"PC{k + 1}") for k in range(keep)])
+    return scores, list(zip(values.tolist(), ratio.tolist(), np.cumsum(ratio).tolist()))
+
+
+def loadings(df: DataFrame, features: list[str], share: float = 0.85) -> list[dict]:
+    _, _, keep, vectors, _ = components(df, features, share)
+    return [{"feature": c, **{f"PC{k + 1}": float(vectors[i, k]) for k in range(keep)}} for i, c in enumerate(features)]

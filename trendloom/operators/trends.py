@@ -1,48 +1,150 @@
-"""Dated cohorts, per-entity trends, anomalies and value resolution."""
+"""Dated cohorts, per-entity trends, their reports, scenario comparison."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.cells import classify
+
+# Bands of support and of follow-up.
+SUPPORT_BANDS = [("exactly_3", 3, 3), ("exactly_4", 4, 4), ("exactly_5", 5, 5), ("at_least_6", 6, None)]
+YEAR_BANDS = [("under_1", 0, 1), ("1_to_2", 1, 2), ("2_to_4", 2, 4), ("at_least_4", 4, None)]
+
+
+def filtering_flow(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
+    """Each row is tagged with the first rule that removes it; rows left after every rule, from one aggregation."""
+    tag = classify([(~F.coalesce(keep, F.lit(False)), i) for i, (_, keep) in enumerate(rules)], len(rules))
+    removed = df.groupBy(tag.alias("step")).agg(F.count(F.lit(1)).alias("n"))
+    names = F.array(*[F.lit(name) for name, _ in rules])
+    steps = removed.groupBy().pivot("step", list(range(len(rules) + 1))).agg(F.first("n")).select(F.array(*[F.coalesce(F.col(f"`{i}`"), F.lit(0)) for i in range(len(rules) + 1)]).alias("r"))
+    rows = F.explode(F.sequence(F.lit(0), F.lit(len(rules) - 1))).alias("i")
+    left = F.aggregate(F.slice("r", F.col("i") + 2, F.lit(len(rules) + 1)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return steps.select("r", rows).select(F.get(names, F.col("i")).alias("rule"), F.get("r", F.col("i")).alias("n_removed"), left.alias("n_left"))
+
+
+def without_keys(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose compound key is not listed."""
+    return df.join(keys.select(*on).distinct(), on, "left_anti")
+
+
+def same_day(df: DataFrame, entity: str, date: str, value: str) -> DataFrame:
+    """Class of each (entity, date) of several rows: conflicting, harmless or incomplete."""
+    g = df.groupBy(entity, date).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(value).alias("k"), F.count(value).alias("n_valid")).filter("n_rows > 1")
+    return g.select(entity, date, "n_rows", F.when(F.col("k") > 1, "conflicting").when(F.col("n_valid") < F.col("n_rows"), "incomplete").otherwise("harmless").alias("class"))
+
+
+def conflict_outcome(df: DataFrame, entity: str, date: str, conflicts: DataFrame, least_dates: int = 3) -> DataFrame:
+    """Per entity with conflicting days: rows removed, dates left, still eligible."""
+    bad = conflicts.select(entity, date).distinct().withColumn("_bad", F.lit(True))
+    marked = df.join(bad, [entity, date], "left")
+    g = marked.groupBy(entity).agg(F.count("_bad").alias("rows_removed"), F.count_distinct(F.when(F.col("_bad").isNull(), F.col(date))).alias("dates_left")).filter("rows_removed > 0")
+    return g.withColumn("eligible", F.col("dates_left") >= least_dates)
+
 
 def cohort(df: DataFrame, entity: str, date: str, row: str, least_dates: int = 3) -> DataFrame:
     """Rows of entities with enough distinct dates, with number and elapsed time since the first."""
     enough = df.groupBy(entity).agg(F.count_distinct(date).alias("_d"), F.min(date).alias("first_date")).filter(F.col("_d") >= least_dates).drop("_d")
     days = F.date_diff(F.col(date), F.col("first_date"))
     order = Window.partitionBy(entity).orderBy(date, row)
-    return df.join(enough, entity).withColumn("observation_number", F.row_number().over(order)).withColumn("elapsed_days", days).withColumn("elapsed_years", F.round(days / 365.25, 10))
+    return df.join(enough, entity).withColumn("observation_number", F.row_number().over(order)).withColumn("elapsed_days", days).withColumn("elapsed_years", F.bround(days / 365.25, 10))
+
+
+def elapsed_error(df: DataFrame, days: str, years: str) -> DataFrame:
+    return df.agg((F.max(F.abs(F.col(years) - F.col(days) / 365.25)) <= 5.1e-11).alias("consistent"))
+
+
+def student_t(p: float, df: int) -> float:
+    """Inverse of Student's t: bisection on the incomplete beta function by its continued fraction."""
+
+    def beta(x, a, b):
+        front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x))
+        if x > (a + 1) / (a + b + 2):
+            return 1 - beta(1 - x, b, a)
+        c, d, h = 1.0, 1 / (1 - (a + b) * x / (a + 1)), 1 / (1 - (a + b) * x / (a + 1))
+        for m in range(1, 300):
+            for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+                d, c = 1 / (1 + num * d), 1 + num / c
+                h *= c * d
+            if abs(c * d - 1) < 1e-16:
+                break
+        return front * h / a
+
+    low, high = 0.0, 1e4
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if 1 - beta(df / (df + mid * mid), df / 2, 0.5) / 2 < p else (low, mid)
+    return (low + high) / 2
+
+
+def slopes(df: DataFrame, entity: str, x: str, y: str, date: str | None = None, interval: float = 0.975) -> DataFrame:
+    """Least-squares line per entity with interval and a failure reason; residuals are summed in a second pass.
+
+    Entities without spread in x or in y keep their row, with the reason and null figures; ``failures`` lists them.
+    """
+    rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    dates = [] if date is None else [F.min(date).alias("first_date"), F.max(date).alias("last_date"), F.date_diff(F.max(date), F.min(date)).alias("followup_days")]
+    g = rows.groupBy(entity).agg(F.count(F.lit(1)).alias("n_observations"), F.avg(x).alias("_mx"), F.avg(y).alias("_my"), F.regr_sxx(y, x).alias("_sxx"), F.regr_syy(y, x).alias("_syy"), F.regr_sxy(y, x).alias("_sxy"), *dates)
+    g = g.withColumn("slope", F.when(F.col("_sxx") > 0, F.col("_sxy") / F.col("_sxx"))).withColumn("intercept", F.col("_my") - F.col("slope") * F.col("_mx"))
+    r = F.col(y) - F.col("intercept") - F.col("slope") * F.col(x)
+    sse = rows.join(g.select(entity, "slope", "intercept"), entity).groupBy(entity).agg(F.sum(r * r).alias("_sse"))
+    g = g.join(sse, entity)
+    free = [n[0] for n in g.filter("n_observations > 2").select("n_observations").distinct().limit(10000).collect()]
+    table = F.create_map(*[F.lit(v) for n in sorted(free) for v in (n, student_t(interval, n - 2))]) if free else F.lit(None).cast("map<bigint,double>")
+    fine = (F.col("_sxx") > 0) & (F.col("_syy") > 0)
+    se = F.when(fine & (F.col("n_observations") > 2), F.sqrt(F.col("_sse") / (F.col("n_observations") - 2) / F.col("_sxx")))
+    margin = se * F.try_element_at(table, F.col("n_observations"))
+    out = lambda c, name: F.round(F.when(fine, c), 6).alias(name)
+    reason = F.when(~(F.col("_sxx") > 0) | F.col("_sxx").isNull(), "x has zero variance").when(~(F.col("_syy") > 0), "y has zero variance")
+    more = [] if date is None else ["first_date", "last_date", "followup_days"]
+    return g.select(entity, "n_observations", *more, out(F.col("slope"), "slope"), out(F.col("intercept"), "intercept"), out(1 - F.col("_sse") / F.col("_syy"), "r_squared"), out(F.sqrt(F.col("_sse") / F.col("n_observations")), "rmse"),
+                    out(se, "se"), out(F.col("slope") - margin, "ci_low"), out(F.col("slope") + margin, "ci_high"), reason.alias("failure"))
+
+
+def failures(fitted: DataFrame, entity: str) -> DataFrame:
+    return fitted.filter("failure is not null").select(entity, "failure")
+
+
+def slope_check(df: DataFrame, entity: str, x: str, y: str) -> DataFrame:
+    """Independent slope of every entity: covariance over variance."""
+    return df.groupBy(entity).agg(F.round(F.covar_samp(x, y) / F.var_samp(x), 6).alias("slope"))
+
+
+def bands(df: DataFrame, by: str, value: str, limits: list[tuple], whole: bool) -> DataFrame:
+    """Count, mean, median and share of positive values per band; ``whole``: bands of integers, both ends in."""
+    v = F.col(by)
+    inside = lambda lo, hi: (v >= lo) if hi is None else v.between(lo, hi) if whole else (v >= lo) & (v < hi)
+    band = classify([(inside(lo, hi), name) for name, lo, hi in limits])
+    g = df.withColumn("band", band).filter("band is not null").groupBy("band")
+    return g.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.percentile(value, 0.5), 6).alias("median"), F.round(F.avg((F.col(value) > 0).cast("int")) * 100, 6).alias("pct_positive"))
 
 
-def slopes(df: DataFrame, entity: str, x: str, y: str) -> DataFrame:
-    """Least-squares line per entity: one aggregation with partial sums, so hot entities stay cheap."""
-    sxx, syy, sxy, n = F.regr_sxx(y, x), F.regr_syy(y, x), F.regr_sxy(y, x), F.count(y)
-    g = df.groupBy(entity).agg(n.alias("n_observations"), F.avg(x).alias("mx"), F.avg(y).alias("my"), sxx.alias("sxx"), syy.alias("syy"), sxy.alias("sxy")).filter("sxx > 0")
-    slope = F.col("sxy") / F.col("sxx")
-    sse = F.greatest(F.lit(0.0), F.col("syy") - slope * F.col("sxy"))
-    r = lambda c, name: F.round(c, 6).alias(name)
-    return g.select(entity, "n_observations", r(slope, "slope"), r(F.col("my") - slope * F.col("mx"), "intercept"),
-                    r(F.when(F.col("syy") > 0, slope * F.col("sxy") / F.col("syy")), "r_squared"), r(F.sqrt(sse / F.col("n_observations")), "rmse"),
-                    r(F.when(F.col("n_observations") > 2, F.sqrt(sse / (F.col("n_observations") - 2) / F.col("sxx"))), "se"))
+def extremes(df: DataFrame, value: str, ids: str, n: int = 10) -> DataFrame:
+    """The n smallest and n largest rows, id tie-break."""
+    low = df.orderBy(F.asc(value), ids).limit(n).withColumn("side", F.lit("lowest"))
+    return low.union(df.orderBy(F.desc(value), ids).limit(n).withColumn("side", F.lit("highest")))
 
 
-def order_anomalies(df: DataFrame, entity: str, month: str, date: str) -> DataFrame:
-    """Later months whose first date precedes a date of an earlier month: running maximum, no self-join."""
-    m = df.groupBy(entity, month).agg(F.min(date).alias("first_date"), F.max(date).alias("last_date"))
-    before = Window.partitionBy(entity).orderBy(month).rowsBetween(Window.unboundedPreceding, -1)
-    return m.withColumn("earlier_max", F.max("last_date").over(before)).filter("first_date < earlier_max").select(entity, month, "first_date", "earlier_max")
+def trajectories(df: DataFrame, chosen: DataFrame, entity: str, *fields: str) -> DataFrame:
+    """Chosen entities with all their observations in order."""
+    own = df.join(F.broadcast(chosen.select(entity)), entity, "left_semi")  # as many rows as a report shows
+    return own.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("trajectory"))
 
 
-def entry_phase(df: DataFrame, entity: str, phase: str, date: str) -> DataFrame:
-    """Phase of the earliest dated row; phase order breaks ties; undated rows last."""
-    best = F.min(F.struct(F.col(date).isNull().alias("u"), F.col(date).alias("d"), F.col(phase).alias("p")))
-    g = df.groupBy(entity).agg(best.alias("b"), F.count_distinct(phase).alias("n_phases"))
-    return g.select(entity, F.col("b.p").alias("entry_phase"), "n_phases", F.when(F.col("n_phases") == 1, "SINGLE_PHASE").when(F.col("b.u"), "UNDATED").otherwise("EARLIEST_DATED").alias("status"))
+def scenario_compare(df: DataFrame, roster: DataFrame, entity: str, date: str, a: Column, b: Column, least_dates: int = 3) -> DataFrame:
+    """The whole roster under two row filters: rows, dates, eligibility and spans gained from a to b, in one grouping."""
+    span = lambda w: F.date_diff(F.max(F.when(w, F.col(date))), F.min(F.when(w, F.col(date))))
+    per = df.groupBy(entity).agg(F.count_if(a).alias("ra"), F.count_if(b).alias("rb"), F.count_distinct(F.when(a, F.col(date))).alias("da"), F.count_distinct(F.when(b, F.col(date))).alias("db"), span(a).alias("sa"), span(b).alias("sb"))
+    per = roster.select(entity).distinct().join(per, entity, "left").fillna(0, ["ra", "rb", "da", "db", "sa", "sb"])
+    ok = lambda c: F.col(c) >= least_dates
+    return per.agg(F.count(F.lit(1)).alias("n_roster"), F.sum("ra").alias("rows_a"), F.sum("rb").alias("rows_b"), F.count_if(F.col("rb") > F.col("ra")).alias("gained_rows"), F.count_if(F.col("db") > F.col("da")).alias("gained_dates"),
+                   F.count_if(ok("da")).alias("eligible_a"), F.count_if(ok("db")).alias("eligible_b"), F.count_if(ok("db") & ~ok("da")).alias("newly_eligible"), F.count_if(F.col("sb") > F.col("sa")).alias("longer_span"))
 
 
-def resolve_value(df: DataFrame, entity: str, value: str, valid) -> DataFrame:
-    """One trustworthy value: no rows valid, one distinct valid value, or a conflict."""
-    v = F.when(valid, F.col(value))
-    g = df.groupBy(entity).agg(F.count(F.lit(1)).alias("n_candidates"), F.count_distinct(v).alias("n_values"), F.min(v).alias("v"))
-    return g.select(entity, "n_candidates", F.when(F.col("n_values") == 1, F.col("v")).alias("value"),
-                    F.when(F.col("n_values") == 1, "RESOLVED").when(F.col("n_values") > 1, "CONFLICT").otherwise("UNAVAILABLE").alias("reason"))
+def followup_spans(df: DataFrame, entity: str, date: str, short_days: int = 365) -> DataFrame:
+    per = df.groupBy(entity).agg(F.date_diff(F.max(date), F.min(date)).alias("days"))
+    q = F.percentile("days", F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
+    g = per.agg(q.alias("q"), F.count_if(F.col("days") < short_days).alias("n_short"))
+    return g.select("n_short", *[F.round(F.get("q", F.lit(i)), 6).alias(f"{n}_days") for i, n in enumerate(("min", "q1", "median", "q3", "max"))], F.round(F.get("q", F.lit(2)) / 365.25, 6).alias("median_years"))
