@@ -1,111 +1,121 @@
 """Nearest neighbours by collision counting over single projections.
 
 Inner product becomes Euclidean distance by one more coordinate that brings all
-vectors to one length.  Each block of vectors keeps one sorted array per random
-projection; a query's windows grow around its own projection (virtual rehashing)
-until enough vectors collide in most projections; those are verified exactly.
-Every row is indexed; queries go out in chunks whose size is checked.
+vectors to one length.  Rows fall by hash into blocks; a block keeps one sorted array
+per random projection.  A query finds its place in every array and opens windows
+centred there; a row collides in a projection when its place lies inside.  Windows widen
+(virtual rehashing) until enough rows of the block collide at least ``votes`` times, and those are
+verified exactly.  Every row is indexed, every query meets every block, and queries travel
+by shuffle, so that no table passes through the driver.
+
+The windows cover a share of each block, so work is queries times rows: neighbours in
+data without structure need that for the recall asked.
 
 Defined cases: vectors that are null, zero, of another dimension than most, or
 that hold nulls or non-finite values take no part; ties go to the smaller
-vec_id; fewer candidates than k give fewer rows; repeated rows are candidates each.
+vec_id; fewer candidates than k give fewer rows; repeated rows are candidates each, and one query;
+an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+SCHEMA = "query_id long, vec_id long, score double"
+
 
-def _projections(dim: int, m: int, seed: int) -> np.ndarray:
+def projections(dim: int, m: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((dim + 1, m))
 
 
-def search_block(ids, x, qids, q, proj, top, k, share, votes):
-    """Best k of one block for every query: arrays of query index, id and score."""
-    grown = np.c_[x, np.sqrt(np.maximum(top * top - (x * x).sum(1), 0))] @ proj
-    scale = np.linalg.norm(q, axis=1, keepdims=True)
-    asked = np.c_[q / scale * top, np.zeros(len(q))] @ proj
-    order = np.argsort(grown, axis=0, kind="stable")
-    arrays = np.take_along_axis(grown, order, 0).T.copy()
-    order = order.T.copy()
-    n, m = len(x), proj.shape[1]
-    enough = min(n, max(4 * k, int(share * n)))
-    out_q, out_v, out_s = [], [], []
-    for i in range(len(q)):
-        reach = max(1, n // 16)
-        mids = [int(np.searchsorted(arrays[j], asked[i, j])) for j in range(m)]
-        while True:
-            hits = np.zeros(n, np.uint8)
-            for j in range(m):
-                hits[order[j, max(0, mids[j] - reach):mids[j] + reach]] += 1
-            found = np.flatnonzero(hits >= votes)
-            if len(found) >= enough or reach >= n:
-                break
-            reach = min(n, reach * 3 // 2 + 1)
-        found = found if len(found) >= enough else np.arange(n)
-        found = found[ids[found] != qids[i]]
-        score = np.einsum("ij,j->i", x[found], q[i])
-        best = np.lexsort((ids[found], -score))[:k]
-        out_q.append(np.full(len(best), qids[i]))
-        out_v.append(ids[found[best]])
-        out_s.append(score[best])
-    return np.concatenate(out_q), np.concatenate(out_v), np.concatenate(out_s)
-
-
-def search(vectors: DataFrame, every: int = 20, k: int = 20, m: int = 48, votes: int = 24, share: float = 0.25, block: int = 8192, chunk_bytes: int = 32 << 20, seed: int = 3) -> DataFrame:
-    """``query_id, rank, vec_id, score``; queries are rows whose vec_id is divisible by ``every``."""
-    spark = vectors.sparkSession
-    v = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v")).filter("vec_id is not null and v is not null")
+class Block:
+    """Sorted arrays of one block and the search in them."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, proj: np.ndarray, top: float):
+        self.ids, self.x, self.proj, self.top = ids, x, proj, top
+        grown = np.c_[x, np.sqrt(np.maximum(top * top - (x * x).sum(1), 0))] @ proj
+        order = np.argsort(grown, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(grown, order, 0).T.copy()
+        places = np.empty(order.shape, np.uint16)
+        np.put_along_axis(places, order, np.arange(len(ids), dtype=np.uint16)[:, None], 0)
+        self.places = places.T.copy()  # place of every row in every array
+        self.verified = 0
+
+    def search(self, qids: np.ndarray, q: np.ndarray, k: int, votes: int, share: float, start: float):
+        n = len(self.ids)
+        enough = min(n, max(12 * k, int(share * n)))
+        asked = np.c_[q / np.linalg.norm(q, axis=1, keepdims=True) * self.top, np.zeros(len(q))] @ self.proj
+        mids = np.stack([np.searchsorted(s, asked[:, j]) for j, s in enumerate(self.sorted)])
+        for i in range(len(q)):
+            width = max(1, min(n, int(2 * start * n)))
+            while True:
+                low = np.clip(mids[:, i] - width // 2, 0, n - width).astype(np.uint16)
+                hits = (self.places - low[:, None] < width).sum(0, dtype=np.uint16)  # unsigned: below the window wraps around
+                found = np.flatnonzero(hits >= votes)
+                if len(found) >= enough or width >= n:
+                    break
+                width = min(n, width * 9 // 8 + 1)
+            self.verified += len(found)
+            found = found[self.ids[found] != qids[i]]
+            score = np.einsum("ij,j->i", self.x[found], q[i])
+            if len(found) > 4 * k:
+                edge = np.partition(score, len(score) - k)[len(score) - k]
+                found, score = found[score >= edge], score[score >= edge]
+            best = np.lexsort((self.ids[found], -score))[:k]
+            yield qids[i], self.ids[found[best]], score[best]
+
+
+def usable(vectors: DataFrame) -> DataFrame:
+    v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v")).filter("vec_id is not null and v is not null")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    v = v.filter(fine).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).filter("norm > 0")
-    schema = "query_id long, vec_id long, score double"
-    sizes = sorted(((r["n"], r["d"], r["top"]) for r in v.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("top")).collect()), reverse=True)
+    return v.filter(fine).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).filter("norm > 0")
+
+
+def search(vectors: DataFrame, every: int = 20, k: int = 20, m: int = 160, votes: int = 88, share: float = 0.12, start: float = 0.25, block: int = 8192, queries: int = 1024, seed: int = 3) -> DataFrame:
+    """``query_id, rank, vec_id, score``; queries are rows whose vec_id is divisible by ``every``.
+
+    ``votes`` of ``m`` collisions, windows of ``2 * start`` of a block at first, until ``share`` of it collides.
+    """
+    spark = vectors.sparkSession
+    v = usable(vectors)
+    is_query = F.pmod("vec_id", F.lit(every)) == 0
+    sizes = sorted(((r["n"], r["d"], r["top"], r["q"]) for r in v.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("top"), F.count_if(is_query).alias("q")).collect()), reverse=True)
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    _, dim, top = sizes[0]
+    n, dim, top, asked = sizes[0]
     v = v.filter(F.size("v") == dim).select("vec_id", "v")
-    asked = v.filter(F.pmod("vec_id", F.lit(every)) == 0)
-    chunks = max(1, -(-asked.count() * dim * 8 // chunk_bytes))
-    proj = _projections(dim, m, seed)
-    found = []
-    for c in range(chunks):
-        rows = asked.filter(F.pmod(F.hash("vec_id"), F.lit(chunks)) == c).dropDuplicates(["vec_id"]).toArrow()
-        qids = rows.column("vec_id").to_numpy()
-        if not len(qids):
-            continue
-        q = spark.sparkContext.broadcast((qids, np.array(rows.column("v").to_pylist())))
-
-        def run(frames, q=q):
-            qids, qs = q.value
-            held_i, held_v, held, best = [], [], 0, None
-
-            def merge(best):
-                got = search_block(np.concatenate(held_i), np.concatenate(held_v), qids, qs, proj, top, k, share, votes)
-                new = pd.DataFrame({"query_id": got[0], "vec_id": got[1], "score": got[2]})
-                if best is not None:
-                    new = pd.concat([best, new]).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-                return new
-
-            for f in frames:
-                held_i.append(f["vec_id"].to_numpy())
-                held_v.append(np.array(f["v"].tolist()))
-                held += len(f)
-                if held >= block:
-                    best = merge(best)
-                    held_i, held_v, held = [], [], 0
-            if held:
-                best = merge(best)
-            if best is not None:
-                yield best
-
-        found.append(v.mapInPandas(run, schema))
-    if not found:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    out = found[0]
-    for f in found[1:]:
-        out = out.union(f)
+    blocks, splits = max(1, -(-n // block)), max(1, -(-asked // queries))
+    proj = projections(dim, m, seed)
+    number = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    # Blocks are cut by a hash of the whole row, so that one id held by many rows spreads too.
+    rows = v.select(F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("block"), number(splits).alias("split"), F.lit(0).alias("kind"), "vec_id", "v")
+    asks = v.filter(is_query).dropDuplicates(["vec_id"]).select(number(blocks).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(splits)).cast("int").alias("split"), F.lit(1).alias("kind"), "vec_id", "v")
+    cells = rows.union(asks).repartition("block", "split").sortWithinPartitions("block", "split", "kind")
+
+    def run(batches):
+        own, held, index = None, [], None
+        for batch in batches:
+            key = [tuple(x) for x in zip(*(batch.column(c).to_numpy().tolist() for c in ("block", "split", "kind")))]
+            edges = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1]), len(key)]
+            for a, z in zip(edges, edges[1:]):
+                if z == a:
+                    continue
+                ids = batch.column("vec_id").slice(a, z - a).to_numpy()
+                x = batch.column("v").slice(a, z - a).flatten().to_numpy().reshape(z - a, dim)
+                if key[a][2] == 0:
+                    if own != key[a][:2]:
+                        own, held, index = key[a][:2], [], None
+                    held.append((ids, x))
+                    continue
+                if own != key[a][:2]:
+                    continue  # a block without rows
+                index = index or Block(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]), proj, top)
+                found = list(index.search(ids, x, k, votes, share, start))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat([f[0] for f in found], [len(f[1]) for f in found]).astype(np.int64)), pa.array(np.concatenate([f[1] for f in found])), pa.array(np.concatenate([f[2] for f in found]))], names=["query_id", "vec_id", "score"])
+
+    found = cells.mapInArrow(run, SCHEMA)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
