@@ -76,7 +76,7 @@ def test_packing(some):
 
 
 def test_sharding(some):
-    rows = sharding.shard(some, max_rows=20).collect()
+    rows = sharding.shard(some, ranges=16, oversample=4).collect()
     want = sorted((r.doc_id, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in some.collect())
     assert sorted((r.doc_id, r["size"], r.text_crc32) for r in rows) == want
     slots, sizes = defaultdict(list), Counter()

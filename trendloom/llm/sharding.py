@@ -1,13 +1,14 @@
 """Sharding by sampled splitters: ranges of a key with near-equal bytes.
 
 The key's high half hashes the text (copies lie side by side), its low half the
-doc_id, so that even one huge group of copies can be cut.  A bounded,
-size-weighted sample of keys gives splitters; ranges whose exact row count is
-too high are cut again; exact prefix sums over ranges and inside each range
+doc_id and the row's place in the written table, so that even one huge group of equal rows can be cut.
+A size-weighted sample of keys, bounded by its expected size, is sorted; every so many-th
+key is a quantile boundary.  Ranges whose exact bytes exceed twice their share are sampled again and
+subdivided, until none is overfull or holds one key alone; exact prefix sums over ranges and inside each range
 then place every record.
 
 Defined cases: null text counts 16 bytes and CRC 0; repeated rows keep a row
-each; an empty table gives no rows.
+each; null doc_ids are keys like others; very long texts fill ranges alone; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,28 +31,44 @@ def _range_of(splitters: np.ndarray):
     return range_of
 
 
-def _weighted_sample(rows: DataFrame, m: int, seed: int) -> list[int]:
-    """At most m keys, drawn with probability growing with size (exponential races)."""
-    u = (F.pmod(F.xxhash64(F.lit(seed), "key", "doc_id"), F.lit(1 << 40)) + 1) / float(1 << 40)
-    race = rows.select("key", (-F.log(u) / F.col("size")).alias("race"))
-    return [r[0] for r in race.orderBy("race", "key").limit(m).collect()]
+def _weighted_sample(rows: DataFrame, m: int, total: int, seed: int) -> np.ndarray:
+    """Sorted keys, about m: each row is drawn with probability ``1 - exp(-m size / total)``, so at most m are expected."""
+    u = (F.pmod(F.xxhash64(F.lit(seed), "key"), F.lit(1 << 40)) + 1) / float(1 << 40)
+    drawn = rows.filter(-F.log(u) / F.col("size") < F.lit(m / max(1, total))).select("key")
+    return np.sort(np.array([r[0] for r in drawn.collect()], dtype=np.int64))
 
 
-def shard(docs: DataFrame, shards: int = 40, sample: int = 4096, max_rows: int = 50000, seed: int = 11) -> DataFrame:
+def _quantiles(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Boundaries that cut the sample in parts of equal weight."""
+    at = np.arange(1, parts) * len(keys) // max(1, parts)
+    return np.unique(keys[at[at < len(keys)]]) if len(keys) else keys
+
+
+def shard(docs: DataFrame, shards: int = 40, ranges: int = 512, oversample: int = 16, seed: int = 11) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard``."""
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     high = F.shiftleft(F.shiftright(F.xxhash64(F.coalesce("text", F.lit(""))), 32), 32)
-    low = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 32))
-    rows = checkpointed(docs.select("doc_id", (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw).cast("long").alias("text_crc32"), high.bitwiseOR(low).alias("key")))
-    cuts = np.unique(np.array(_weighted_sample(rows, sample, seed), dtype=np.int64))
-    for again in range(1, 4):
+    rows = checkpointed(docs.select("doc_id", (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw).cast("long").alias("text_crc32"), high.alias("high")))
+    low = F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.monotonically_increasing_id()), F.lit(1 << 32))  # places in a written table do not change
+    rows = checkpointed(rows.select("doc_id", "size", "text_crc32", F.col("high").bitwiseOR(low).alias("key")))
+    total = rows.agg(F.sum("size")).head()[0] or 0
+    cuts = _quantiles(_weighted_sample(rows, ranges * oversample, total, seed), ranges)
+    limit, again = 2 * total / ranges, 0
+    while True:
+        again += 1
         ranged = rows.withColumn("range", _range_of(cuts)("key"))
         totals = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
-        full = [r["range"] for r in totals.filter(F.col("n") > max_rows).orderBy(F.desc("n")).limit(1000).collect()]
+        full = totals.filter((F.col("bytes") > limit) & (F.col("n") > 1)).select("range", "bytes").collect()  # of at most twice as many ranges as asked for
         if not full:
             break
-        more = _weighted_sample(ranged.filter(F.col("range").isin(full)), sample, seed + again)
-        cuts = np.unique(np.concatenate([cuts, np.array(more, dtype=np.int64)]))
+        over = ranged.filter(F.col("range").isin([r["range"] for r in full]))
+        keys = _weighted_sample(over, len(full) * oversample * 4, sum(r["bytes"] for r in full), seed + again)
+        parts = np.searchsorted(cuts, keys, side="right")
+        new = [_quantiles(keys[parts == r["range"]], int(-(-2 * r["bytes"] // limit)) + 1) for r in full]
+        grown = np.unique(np.concatenate([cuts, *new]))
+        if len(grown) == len(cuts):
+            break  # what is left over is a few rows larger than any range
+        cuts = grown
     ranged = rows.withColumn("range", _range_of(cuts)("key"))
     # Rows of this table are ranges: bounded by the splitters.
     totals = ranged.groupBy("range").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
