@@ -3,7 +3,8 @@
 Each source's words, in a seeded order of its documents, form a stream cut into
 equal blocks.  Sources get targets by weight (capped at ``max_repeat`` times
 their size, excess reshared); whole blocks are awarded by highest quotients
-``target / (2 s + 1)``; blocks are then picked evenly from the seeded stream.
+``target / (2 s + 1)``; quotas are then dealt to shards as integers, and blocks picked in seeded
+order within each.  Windows without keys hold a row a source.
 
 Defined cases: null text has size 0; null source is a source of its own (last);
 an empty table gives no rows; equal rows keep one row each; extra columns are ignored.
@@ -66,10 +67,16 @@ def apportion(targets: DataFrame, block: int, max_repeat: float) -> DataFrame:
 
 
 def shard_quotas(quotas: DataFrame, shards: int = 8) -> DataFrame:
-    """Integer quota of every source in every shard; they sum to the source's quota."""
+    """Integer quota of every source in every shard; they sum to the source's quota.
+
+    A shard is a run of a source's blocks in seeded order: ``first`` to ``first + n_blocks``.
+    """
     p = F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard")
-    q = quotas.select("source", "quota", p)
-    return q.select("source", "shard", (F.floor((F.col("shard") + 1) * F.col("quota") / shards) - F.floor(F.col("shard") * F.col("quota") / shards)).alias("quota"))
+    q = quotas.select("source", "source_key", "quota", "blocks", p)
+    edge = lambda s: F.floor(s * F.col("blocks") / shards)
+    upto = lambda b: F.when(F.col("blocks") > 0, F.floor(b * F.col("quota") / F.col("blocks"))).otherwise(F.lit(0))
+    first, last = edge(F.col("shard")), edge(F.col("shard") + 1)
+    return q.select("source", "source_key", "shard", first.cast("long").alias("first"), (last - first).cast("long").alias("n_blocks"), upto(first).cast("long").alias("before"), (upto(last) - upto(first)).cast("long").alias("quota"))
 
 
 def _sized(docs: DataFrame, seed: int, *more) -> DataFrame:
@@ -78,7 +85,7 @@ def _sized(docs: DataFrame, seed: int, *more) -> DataFrame:
 
 
 def _placed(sized: DataFrame, weights, share, max_repeat, block, rows_per_bucket) -> DataFrame:
-    """Rows with ``base + upto``, the place where they end in their source's seeded stream, and its quota."""
+    """Rows with ``base + upto``, the place where they end in their source's seeded stream, and its quota; and the quotas."""
     rows = sized.count()
     buckets = max(64, rows // rows_per_bucket)
     sized = sized.withColumn("source_key", code_point_key("source")).withColumn("bucket", F.pmod("h", F.lit(buckets)))
@@ -89,7 +96,7 @@ def _placed(sized: DataFrame, weights, share, max_repeat, block, rows_per_bucket
     bases = sums.withColumn("base", F.coalesce(F.sum("bucket_size").over(before), F.lit(0)))
     info = bases.select("source_key", "bucket", "base").join(quotas.drop("source"), "source_key")
     within = Window.partitionBy("source_key", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return sized.withColumn("upto", F.sum("size").over(within)).join(info, ["source_key", "bucket"])
+    return sized.withColumn("upto", F.sum("size").over(within)).join(info, ["source_key", "bucket"]), quotas
 
 
 def mixed(docs: DataFrame, weights=(5.0, 2.0, 1.0), share=1.5, max_repeat=2.0, block=16, seed=7, rows_per_bucket=20000) -> DataFrame:
@@ -99,7 +106,7 @@ def mixed(docs: DataFrame, weights=(5.0, 2.0, 1.0), share=1.5, max_repeat=2.0, b
     follow in seeded order, and the last one is cut to the words still missing.
     A row without words takes nothing and stays once.
     """
-    placed = _placed(_sized(docs, seed, F.struct(*docs.columns).alias("row")), weights, share, max_repeat, block, rows_per_bucket)
+    placed, _ = _placed(_sized(docs, seed, F.struct(*docs.columns).alias("row")), weights, share, max_repeat, block, rows_per_bucket)
     quota = F.least(F.col("quota") * block, F.floor(F.col("source_size") * F.lit(float(max_repeat))))
     placed = placed.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(quota / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
     rest = quota - F.col("passes") * F.col("source_size") - (F.col("base") + F.col("upto") - F.col("size"))
@@ -115,16 +122,29 @@ def mixed(docs: DataFrame, weights=(5.0, 2.0, 1.0), share=1.5, max_repeat=2.0, b
     return each.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
-def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share=1.5, max_repeat=2.0, block=16, seed=7, rows_per_bucket=20000) -> DataFrame:
-    """``doc_id, size, source_size, target, taken`` for every row."""
-    placed = _placed(checkpointed(_sized(docs, seed)), weights, share, max_repeat, block, rows_per_bucket)
+def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share=1.5, max_repeat=2.0, block=16, seed=7, rows_per_bucket=20000, shards: int = 8) -> DataFrame:
+    """``doc_id, size, source_size, target, taken`` for every row.
+
+    In each shard of a source every block is taken as often as its quota allows for all, and the first
+    ones in seeded order once more, until the shard's integer quota is met.
+    """
+    placed, quotas = _placed(checkpointed(_sized(docs, seed)), weights, share, max_repeat, block, rows_per_bucket)
+    own = shard_quotas(quotas, shards)
+    per = own.groupBy("source_key").agg(F.array_sort(F.collect_list(F.struct("shard", "first", "n_blocks", "before", "quota"))).alias("shards"))  # a row a source
+    placed = placed.join(per, "source_key")
 
     def upto(x):
         """Words taken from the first x words of the stream."""
         b = F.floor(x / block)
-        picks = lambda i: F.when(F.col("blocks") > 0, F.floor(i * F.col("quota") / F.col("blocks"))).otherwise(F.lit(0)).cast("long")
+
+        def picks(i):
+            s = F.get("shards", F.least(F.lit(shards - 1), F.size(F.filter("shards", lambda q: q["first"] <= i)) - 1))
+            each = F.when(s["n_blocks"] > 0, F.floor(s["quota"] / s["n_blocks"])).otherwise(F.lit(0))
+            within = i - s["first"]
+            return (s["before"] + each * within + F.least(within, s["quota"] - each * s["n_blocks"])).cast("long")
+
         return picks(b) * block + (x - b * block) * (picks(b + 1) - picks(b))
 
     end = F.col("base") + F.col("upto")
-    taken = (upto(end) - upto(end - F.col("size"))).cast("long")
+    taken = F.when(F.col("size") > 0, upto(end) - upto(end - F.col("size"))).otherwise(F.lit(0)).cast("long")
     return placed.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), taken.alias("taken"))
