@@ -59,25 +59,29 @@ def as_text(a: str) -> "F.Column":
 
 
 def _bucket(cuts: list[int]) -> "F.Column":
-    """Number of cuts below doc_id: nested halves, so that long lists stay shallow."""
+    """Number of cuts below doc_id, by halving an array of cuts; -1 for null."""
+    steps = F.sequence(F.lit(1), F.lit(max(1, len(cuts).bit_length())))
+    array = F.lit(cuts) if cuts else F.array().cast("array<bigint>")
 
-    def half(lo, hi):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") <= cuts[mid], half(lo, mid)).otherwise(half(mid + 1, hi))
+    def halve(acc, _):
+        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        above = (acc["lo"] < acc["hi"]) & (F.get(array, mid) < F.col("doc_id"))
+        return F.struct(F.when(above, mid + 1).otherwise(acc["lo"]).alias("lo"), F.when(above, acc["hi"]).otherwise(F.least(acc["hi"], mid)).alias("hi"))
 
-    return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(half(0, len(cuts)))
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.lit(len(cuts)).alias("hi")), halve, lambda acc: acc["lo"])
+    return F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(found)
 
 
-def with_next(docs: DataFrame, buckets: int = 96) -> DataFrame:
+def with_next(docs: DataFrame, rows_each: int = 500) -> DataFrame:
     """Add ``next_text``, the text of the next row by descending doc_id; the last meets the first.
 
-    Rows fall into doc_id ranges; the first row of a range is copied to the end
+    Rows fall into doc_id ranges of about ``rows_each``; the first row of a range is copied to the end
     of the range above it, so one window a range finds every neighbour.
     """
-    cuts = docs.select(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], 10000)).head()[0] or []
-    cuts = sorted(set(cuts))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    buckets = max(1, -(-docs.count() // rows_each))
+    cuts = docs.select(F.percentile_approx("doc_id", [i / buckets for i in range(1, buckets)], max(10000, 10 * buckets))).head()[0] if buckets > 1 else []
+    cuts = sorted(set(cuts or []))
     ranged = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _bucket(cuts).alias("bucket"))
     tops = sorted(tuple(r) for r in docs.select("doc_id", _bucket(cuts).alias("bucket")).groupBy("bucket").agg(F.max("doc_id")).collect())
     if not tops:
