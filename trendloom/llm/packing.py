@@ -28,7 +28,8 @@ _LOADED: dict = {}
 
 def _encoder(path: str, ranks: str | None, pattern: str | None):
     """Texts to lists of ids.  With a ranks file of the same vocabulary, a faster library gives the same ids."""
-    if path not in _LOADED:
+    key = (path, ranks, pattern)
+    if key not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -41,10 +42,10 @@ def _encoder(path: str, ranks: str | None, pattern: str | None):
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             special = {t.content: i for i, t in tok.get_added_tokens_decoder().items()}
             enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens=special)
-            _LOADED[path] = lambda texts: [enc.encode(t, allowed_special="all") for t in texts]
+            _LOADED[key] = lambda texts: [enc.encode(t, allowed_special="all") for t in texts]
         else:
-            _LOADED[path] = slow
-    return _LOADED[path]
+            _LOADED[key] = slow
+    return _LOADED[key]
 
 
 def _groups(texts: list[str], chars: int):
