@@ -5,6 +5,13 @@ from trendloom.llm import wrapper_html
 WORDS = "amber birch cedar delta ember fjord grove haven inlet jetty knoll larch".split()
 
 
+def path_of(*tags):
+    path = ""
+    for t in tags:
+        path = wrapper_html.step(path, wrapper_html.Node(t))
+    return path
+
+
 def body(i):
     return " ".join(WORDS[(i * 5 + j * (i + 1)) % 12] + str(i) for j in range(9))
 
@@ -40,4 +47,13 @@ def test_every_page_counts_and_copies_count_once(spark):
     got = texts(spark, pages)
     assert got[:40] == [body(i) for i in range(40)] and set(got[40:]) == {"Copy of one page"}
     found = wrapper_html.wrappers(spark.createDataFrame([(i, "http://h/", p) for i, p in enumerate(pages)], "page_id long, url string, html string"), per_group=2)
-    assert [r.template for r in found.collect()] == [[wrapper_html.template_key("/body./p.", "Common line")]]
+    assert [r.template for r in found.collect()] == [[wrapper_html.template_key(path_of("body", "p"), "Common line")]]
+
+
+def test_depth_headers_and_plain_class_words():
+    deep = "<article>" + "<div>" * 3000 + "deep text" + "</div>" * 3000 + "</article>"
+    assert wrapper_html.extract(deep, set()) == "deep text"
+    page = "<header>Site</header><article><header><h1>Title</h1></header><div class='market share'>a</div><div class='related work'>b</div><div class='related-posts'>no</div><div class=share>no</div></article>"
+    assert wrapper_html.extract(page, set()) == "Title\n\na\n\nb"
+    many = [f"<article>{'<div>' * 1500}words of page {i} here{'</div>' * 1500}<p>same line</p></article>" for i in range(3)]
+    assert [wrapper_html.extract(p, set(wrapper_html.induce(many))) for p in many] == [f"words of page {i} here" for i in range(3)]

@@ -13,13 +13,14 @@ elements in a line of varying text stay.
 
 Defined cases: null html is empty, with empty text and n_chars 0; a page of a
 host with no wrapper falls back on element kinds; repeated rows keep a row
-each; an empty table gives no rows.
+each; an empty table gives no rows; pages of any length and depth are parsed whole; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import sys
 from html.parser import HTMLParser
 
 import numpy as np
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 DROP = set("script style noscript template nav footer header aside form button select option textarea iframe svg canvas object head title dialog menu".split())
 BLOCK = set("address article blockquote body caption dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 html li main ol p pre section summary table tbody td tfoot th thead tr ul hr".split())
-NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|promo|banner|cookies?|consent|notice|newsletter|subscribe|sidebar|menu|nav(?:bar|igation)?|breadcrumbs?|header|footer|comments?|replies|reply|related|share|social|widget|popup|modal)(?:$|[\s_-])", re.I)
+NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|cookies?|newsletter|subscribe|sidebar|menu|nav(?:bar|igation)?|breadcrumbs?|footer|comments?|replies|popup|modal)(?:$|[\s_-])", re.I)
+# Words that also have plain meanings: they count only as the whole class, or joined by a hyphen or underscore.
+WEAK = re.compile(r"^(?:promo|banner|consent|notice|header|reply|related|share|social|widget)s?(?:[_-][\w-]*)?$", re.I)
 SPACE = re.compile(r"\s+")
 
 
@@ -49,37 +52,50 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root")
         self.stack = [self.root]
+        self.open: dict[str, int] = {}
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK and self.stack[-1].tag == "p" or tag in ("li", "tr", "td", "th", "dt", "dd", "option") and self.stack[-1].tag == tag:
-            self.stack.pop()
+            self.open[self.stack.pop().tag] -= 1
         a = dict(attrs)
         node = Node(tag, " ".join(filter(None, (a.get("class"), a.get("id"), a.get("role")))))
         if "hidden" in a or a.get("aria-hidden") == "true":
             node.kind += " popup"
         self.stack[-1].kids.append(node)
-        if tag not in VOID and len(self.stack) < 400:
+        if tag not in VOID:
             self.stack.append(node)
+            self.open[tag] = self.open.get(tag, 0) + 1
 
     def handle_endtag(self, tag):
-        for i in range(len(self.stack) - 1, 0, -1):
-            if self.stack[i].tag == tag:
-                del self.stack[i:]
-                return
+        if not self.open.get(tag):
+            return
+        while self.stack[-1].tag != tag:
+            self.open[self.stack.pop().tag] -= 1
+        self.open[self.stack.pop().tag] -= 1
 
     def handle_data(self, data):
         self.stack[-1].kids.append(data)
 
 
 def parse(html: str) -> Node:
+    # Walks go as deep as a page nests; calls of Python functions take no machine stack.
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 10 * html.count("<") + 10000))
     t = Tree()
     t.feed(html)
     t.close()
     return t.root
 
 
-def dropped(n: Node) -> bool:
-    return n.tag in DROP or bool(n.kind and n.tag not in ("body", "html", "article", "main") and NOISE.search(n.kind))
+def dropped(n: Node, inside: bool = False) -> bool:
+    """``inside`` an article, a header element holds its title and stays."""
+    if n.tag == "header" and inside:
+        return False
+    return n.tag in DROP or bool(n.kind and n.tag not in ("body", "html", "article", "main") and (NOISE.search(n.kind) or WEAK.match(n.kind)))
+
+
+def step(path: str, n: Node) -> str:
+    """Path of a child as a digest of fixed length, however deep it lies."""
+    return hashlib.blake2b(f"{path}/{n.tag}.{n.kind}".encode("utf-8", "surrogatepass"), digest_size=9).hexdigest()
 
 
 def own_text(n: Node) -> str:
@@ -90,11 +106,11 @@ def kids(n: Node) -> list[Node]:
     return [k for k in n.kids if not isinstance(k, str)]
 
 
-def number(n: Node, seen: dict) -> None:
+def number(n: Node, seen: dict, inside: bool = False) -> None:
     """Give the nodes that may be kept their text, class, greatest score and an id that equal subtrees share."""
-    n.own, n.sub = own_text(n), [k for k in kids(n) if not dropped(k)]
+    n.own, n.sub = own_text(n), [k for k in kids(n) if not dropped(k, inside)]
     for k in n.sub:
-        number(k, seen)
+        number(k, seen, inside or k.tag in ("article", "main"))
     n.full = 1 + bool(n.own) + sum(k.full for k in n.sub)
     n.cls = seen.setdefault((n.tag, n.kind), len(seen))
     n.word = seen.setdefault(n.own, len(seen)) if n.own else -1
@@ -159,7 +175,7 @@ def constants(a: Node, b: Node) -> set[str]:
         x, y, path = todo.pop()
         if x.word == y.word >= 0:
             out.add((path, x.own))
-        todo.extend((p, q, f"{path}/{p.tag}.{p.kind}") for p, q in align(x, y, done)[1])
+        todo.extend((p, q, step(path, p)) for p, q in align(x, y, done)[1])
     return {template_key(p, t) for p, t in out}
 
 
@@ -190,7 +206,7 @@ def main_roots(root: Node) -> list[tuple[Node, str]]:
         if n.tag in ("article", "main") or n.kind in ("main", "article"):
             found.append((n, path))
         elif not dropped(n):
-            todo.extend((k, f"{path}/{k.tag}.{k.kind}") for k in reversed(kids(n)))
+            todo.extend((k, step(path, k)) for k in reversed(kids(n)))
     return found
 
 
@@ -206,9 +222,9 @@ def extract(html: str, template: set[str]) -> str:
             blocks.append(t)
         parts.clear()
 
-    def walk(n: Node, path: str, inside: bool = False):
-        """``inside``: the element stands in a line of varying text, which stays whole."""
-        if dropped(n):
+    def walk(n: Node, path: str, inside: bool = False, main: bool = False):
+        """``inside``: the element stands in a line of varying text, which stays whole; ``main``: in an article."""
+        if dropped(n, main):
             return
         block = n.tag in BLOCK
         if block:
@@ -222,13 +238,13 @@ def extract(html: str, template: set[str]) -> str:
             else:
                 if k.tag == "br":
                     parts.append(" ")
-                walk(k, f"{path}/{k.tag}.{k.kind}", line)
+                walk(k, step(path, k) if template else "", line, main)
         if block:
             end()
 
     root = parse(html)
     for n, path in main_roots(root):
-        walk(n, path)
+        walk(n, path, main=True)
     end()
     if not blocks:
         walk(root, "")
