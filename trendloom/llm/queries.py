@@ -33,4 +33,13 @@ QUERIES = {
     "op9_jaccard": lambda s, d: jaccard.join_components(table(s, d, "documents")),
     "op10_licenses": lambda s, d: licenses.scan(table(s, d, "documents")),
 }
-ORACLE_SQL: dict[str, str] = {}
+# Words split at ASCII white space, A-Z lowered; links by counted common shingles; smallest reachable id.
+ORACLE_SQL: dict[str, str] = {
+    "op9_jaccard": r"""with recursive words as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+ whole as (select doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) as i from words where len(w) > 0),
+ sets as (select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s from whole),
+ sizes as (select doc_id, count(*) as n from sets group by doc_id),
+ links as (select a, b from (select x.doc_id as a, y.doc_id as b, count(*) as common from sets x join sets y on x.s = y.s and x.doc_id <> y.doc_id group by all) join sizes p on p.doc_id = a join sizes q on q.doc_id = b where 100 * common >= 80 * (p.n + q.n - common)),
+ reach(doc_id, r) as (select doc_id, doc_id from documents union select l.b, reach.r from reach join links l on l.a = reach.doc_id)
+ select d.doc_id, coalesce(n, 0) as n_shingles, (select min(r) from reach where reach.doc_id = d.doc_id) as component_id from documents d left join sizes using (doc_id)""",
+}
