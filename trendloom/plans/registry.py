@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cells
-from ..operators import audit, clusters, density, features, ranks, reporting, resolve, selection, trends, visits
+from ..operators import audit, clusters, density, features, ranks, reporting, resolve, review, selection, sensitivity, trends, visits
 from ..sources import tables
 
 # Shared derivations.
@@ -96,6 +96,42 @@ def _flow(s, d):
     return trends.filtering_flow(_events(s, d), rules)
 
 
+def _undated(s, d):
+    return _coded(s, d).withColumn("day", F.when(F.col("event_id") % 10 != 0, F.col("day")))
+
+
+def _scope(s, d):
+    both = _direct(s, d).withColumn("variable", F.lit("c1")).unionByName(_derived(s, d).withColumn("variable", F.lit("diff")))
+    return review.scope_missingness(both, "low_phase_left", F.col("n_candidates") > 2)
+
+
+def _collection(s, d):
+    cell = resolve.normal_cell("score")
+    records = _coded(s, d).select("user_id", F.col("event_type").alias("phase"), visits.visit_kind("code", "code2").alias("category"), cell.alias("c"), (F.col("k") % 3 == 0).alias("any_item"), "code2")
+    records = records.select("user_id", "phase", "category", F.col("c.reason").alias("state"), F.col("c.value").alias("number"), "any_item", "code2")
+    roster = _events(s, d).groupBy("user_id").agg(F.min_by("event_type", "event_id").alias("cohort"), F.when(F.col("user_id") % 3 > 0, F.max("value")).alias("value"))
+    kinds = {"screening": "SCREENING", "baseline": "BASELINE", "entry": "ROLLOVER_PHASE_ENTRY_NOT_ORIGINAL_BASELINE", "followup": "SCHEDULED_FOLLOWUP_OR_OTHER"}
+    return review.collection_qc(roster, records, "user_id", kinds, ("code2",))
+
+
+def _refits(s, d):
+    fits = _fits(s, d).select("user_id", F.round("slope", 6).alias("slope"), "n_observations", "followup_days").withColumn("label", F.when(F.col("slope") < 0, 1).otherwise(2))
+    ranked, tails = sensitivity.tail_subsets(fits, "user_id", "slope")
+    return sensitivity.subset_refits(ranked, "user_id", "slope", {"long": F.col("followup_days") >= 300, "many": F.col("n_observations") >= 60} | tails, "label", [-1.0, 1.0], 3, -1.0)
+
+
+def _best_k(s, d):
+    m = _t(s, d, "customer").groupBy(F.col("c_mktsegment").alias("subset"), F.col("c_nationkey").alias("k"))
+    return sensitivity.best_k(m.agg(F.round(F.avg("c_acctbal"), 1).alias("silhouette"), F.round(F.max("c_acctbal"), -2).alias("davies_bouldin"), F.count(F.lit(1)).cast("double").alias("calinski_harabasz")))
+
+
+def _final(s, d):
+    suppliers = _t(s, d, "supplier").select("s_suppkey", "s_acctbal")
+    done = clusters.kmeans(suppliers, ["s_acctbal"], [[0.0], [9000.0]], 3, -1.0)[0].withColumnRenamed("cluster", "label")
+    profiles = done.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("s_acctbal").alias("centre"))
+    return sensitivity.final_report(suppliers, done, profiles, _t(s, d, "nation").select(F.col("n_nationkey").cast("int").alias("run")), "s_suppkey", 2, 25)
+
+
 ORDER = ["3-MEDIUM", "1-URGENT", "2-HIGH", "5-LOW"]
 QUERIES = {
     "column_inventory": lambda s, d: audit.column_inventory(_dirty(s, d), CELLS),
@@ -185,6 +221,19 @@ QUERIES = {
     "matrix_problems": lambda s, d: tables.matrix_problems(_t(s, d, "customer"), "c_custkey", ["c_acctbal"]),
     "same_ids": lambda s, d: reporting.same_ids(_t(s, d, "customer").select(F.col("c_custkey").alias("id")), _t(s, d, "orders").select(F.col("o_custkey").alias("id")), "id"),
     "upserted_runs": lambda s, d: tables.upsert_runs(_t(s, d, "customer").select(F.col("c_custkey").alias("run_id"), F.col("c_acctbal").alias("value")), _t(s, d, "orders").groupBy(F.col("o_custkey").alias("run_id")).agg(F.max("o_totalprice").alias("value"))),
+    "scope_missingness": _scope,
+    "exclusion_preview": lambda s, d: review.exclusion_preview(_scope(s, d)),
+    "collection_qc": _collection,
+    "counterparts": lambda s, d: review.counterparts(_undated(s, d), "user_id", "event_id", "day", ["code", "code2"], cells.number("score").isNotNull()),
+    "counterpart_rows": lambda s, d: review.counterpart_rows(_undated(s, d), "user_id", "day", "code", cells.number("score").isNotNull()).select("event_id"),
+    "component_differences": lambda s, d: review.component_differences(_dirty(s, d).withColumnRenamed("discount", "score_discount"), ["l_orderkey"], "l_linenumber", ["quantity", "flag", "score_discount", "day", "grp"]),
+    "supersession_evidence": lambda s, d: review.supersession_evidence(_coded(s, d), "user_id", "day", "event_type", "event_id", ["k"], ["code2", "score"]),
+    "subset_refits": _refits,
+    "refit_findings": lambda s, d: sensitivity.findings(_refits(s, d)),
+    "best_k": _best_k,
+    "subset_cross_check": lambda s, d: sensitivity.cross_check(_best_k(s, d), 7),
+    "same_subsets": lambda s, d: sensitivity.same_subsets(_fits(s, d), F.col("followup_days") >= 300, F.col("n_observations") >= 60),
+    "final_report": _final,
 }
 
 
@@ -232,6 +281,29 @@ RHO = f"(select s_suppkey, count(d) filter (d < 250.005) as rho from supplier le
 STEP = lambda t, c: f"select avg(s_acctbal) filter (abs(s_acctbal - {t}.a) <= abs(s_acctbal - {t}.b)) as a, avg(s_acctbal) filter (abs(s_acctbal - {t}.a) > abs(s_acctbal - {t}.b)) as b from supplier, {t}"
 SAME = f"(select user_id, day, count(*) as n_rows, count(distinct event_type) as k, count(event_type) as n_valid from {SQL_EVENTS} group by user_id, day having count(*) > 1 and count(distinct event_type) > 1)"
 BANDED = "select '{0}' as band, count(*) as n, round(avg(slope), 6) as mean, round(quantile_cont(slope, 0.5), 6) as median, round(avg((slope > 0)::int) * 100, 6) as pct_positive from " + SLOPE + " where {1} having count(*) > 0"
+KIND4 = f"case when {S('code')} in ('sc', 'v01', '4_sc') or {S('code2')} = 'sc' then 'SCREENING' when {S('code')} in ('bl', 'v03', '4_bl', 't_bl') or {S('code2')} = 'bl' then 'BASELINE' when {S('code')} in ('init', 'v06', '4_init') then 'ENTRY' else 'LATER' end"
+SQL_SCOPE = "(select 'low_phase_left' as scope, variable, count(*) as n_eligible, count(value) as n_valid, " + ", ".join(f"count(*) filter (value is null and reason = '{r}') as {c}" for c, r in (("n_unavailable", resolve.UNAVAILABLE), ("n_qc", resolve.QC), ("n_minus1", "MINUS1"), ("n_minus4", "MINUS4"), ("n_blank", "BLANK"), ("n_failed", resolve.FAILED))) + f", true as reconciles, round((count(*) - count(value)) * 100.0 / count(*), 6) as pct_missing, case when (count(*) - count(value)) * 100.0 / count(*) > 20 then 'EXCLUDE' else 'RETAIN' end as decision from (select 'c1' as variable, n_candidates, value, reason from {DIRECT} union all select 'diff', n_candidates, value, reason from {DERIVED}) where n_candidates > 2 group by variable)"
+COUNTS = lambda name, where: ", ".join(f"count(*) filter ({where} and {c}) as {name}_{n}" for n, c in (("all", "true"), *((short, f"state = '{long}'") for long, short in review.STATES.items()), ("zero", "state = 'VALID' and number = 0"), ("positive", "state = 'VALID' and number > 0"), ("blank_with_items", "state = 'BLANK' and any_item")))
+COLLECTION = f"""with rec as (select user_id, event_type as phase, {KIND4} as category, {CELL('score')} as state, {N('score')} as number, k % 3 = 0 as any_item, code2 from {SQL_CODED}),
+ roster as (select user_id, arg_min(event_type, event_id) as cohort, user_id % 3 = 0 as missing from {SQL_EVENTS} group by user_id), j as (select rec.*, cohort, phase = cohort as same from rec join roster using (user_id)),
+ who as (select r.*, exists (from j where j.user_id = r.user_id) as anywhere, exists (from j where j.user_id = r.user_id and same) as in_phase, """ + ", ".join(f"exists (from j where j.user_id = r.user_id and same and category = '{c}' and state = 'VALID') as valid_{n}" for n, c in (("screening", "SCREENING"), ("baseline", "BASELINE"), ("entry", "ENTRY"), ("followup", "LATER"))) + """,
+ exists (from j where j.user_id = r.user_id and same and category <> 'LATER' and state = 'BLANK' and any_item) as items_only from roster r),
+ people as (select cohort, count(*) as n_eligible, """ + ", ".join(f"count(*) filter ({n}) as n_{n}" for n in ("anywhere", "in_phase", "valid_screening", "valid_baseline", "valid_entry", "valid_followup", "missing")) + """,
+ count(*) filter (missing and not (valid_screening or valid_entry)) as n_unavailable, count(*) filter (missing and (valid_screening or valid_entry)) as n_wrong_visit, count(*) filter (missing and valid_followup) as n_followup_only, count(*) filter (missing and items_only) as n_total_not_filled,
+ count(*) filter (missing and not anywhere) as n_absent, count(*) filter (missing and not in_phase) as n_absent_in_phase, count(*) filter (missing and anywhere and not (valid_screening or valid_entry or valid_followup or items_only)) as n_unresolved from who group by cohort)
+ select * from people join (select cohort, """ + COUNTS("base", "same and category = 'BASELINE'") + ", " + COUNTS("rows", "same") + """, coalesce((select string_agg(distinct code2, ' | ' order by code2) from j i where i.cohort = j.cohort and i.same and i.code2 <> ''), '') as code2_seen from j group by cohort) using (cohort)"""
+UNDATED = f"(select * replace (case when event_id % 10 <> 0 then day end as day) from {SQL_CODED})"
+ALIKE = lambda c: f"(select user_id, {c}, count(*) as n, min(day) as a, max(day) as b from {UNDATED} where day is not null and {S(c)} <> '' group by all)"
+MOVE = lambda i: f"m{i} as (select subset, coalesce(avg(slope) filter (abs(slope - a) <= abs(slope - b)), any_value(a)) as a, coalesce(avg(slope) filter (abs(slope - a) > abs(slope - b)), any_value(b)) as b from tagged join m{i - 1} using (subset) group by subset)"
+REFITS = f"""(with f as (select *, case when slope < 0 then 1 else 2 end as la, row_number() over (order by slope, user_id) as rank, count(*) over () as total, ceil(0.01::double * count(*) over ()) as tail from {SLOPE}),
+ tagged as (select * from (select *, unnest([case when followup_days >= 300 then 'long' end, case when n_observations >= 60 then 'many' end, case when rank < total then 'without_maximum' end, case when rank <= total - tail then 'without_top' end, case when rank > tail then 'without_bottom' end, case when rank > tail and rank <= total - tail then 'without_both' end]) as subset from f) where subset is not null),
+ m0 as (select subset, quantile_disc(slope, 0.25) as a, quantile_disc(slope, 0.75) as b from tagged group by subset), {MOVE(1)}, {MOVE(2)}, {MOVE(3)}, lab as (select *, case when abs(slope - a) <= abs(slope - b) then 1 else 2 end as lb from tagged join m3 using (subset)),
+ cell as (select subset, la, lb, count(*) as n from lab group by all), ij as (select subset, sum(n * (n - 1) / 2) as ij, sum(n) as n, sum(n) filter (la = lb) as n_equal from cell group by 1), ai as (select subset, sum(n * (n - 1) / 2) as ai from (select subset, la, sum(n) as n from cell group by all) group by 1),
+ bj as (select subset, sum(n * (n - 1) / 2) as bj from (select subset, lb, sum(n) as n from cell group by all) group by 1), ari as (select *, ai * bj / (n * (n - 1) / 2) as chance, (ai + bj) / 2 as half from ij join ai using (subset) join bj using (subset))
+ select subset, cluster, round(case cluster when 1 then a else b end, 6) as centre, round(case cluster when 1 then a + 1 else b - 1 end, 6) as centre_shift, round((a + b) / 2, 6) as boundary, round((a + b) / 2, 6) as boundary_shift, (select count(*) from lab where lab.subset = m3.subset and lb = cluster) as n_members,
+ n::bigint as n, coalesce(n_equal, 0)::bigint as n_equal, round(coalesce(n_equal, 0) * 100.0 / n, 6) as pct_equal, round(case when half = chance then 1.0 else (ij - chance) / (half - chance) end, 6) as ari from m3 join ari using (subset), (select unnest([1, 2]) as cluster))"""
+BEST = "(select subset, arg_max(k, row(silhouette, -k)) as silhouette_k, arg_max(k, row(-davies_bouldin, -k)) as davies_bouldin_k, arg_max(k, row(calinski_harabasz, -k)) as calinski_harabasz_k from (select c_mktsegment as subset, c_nationkey as k, round(avg(c_acctbal), 1) as silhouette, round(max(c_acctbal), -2) as davies_bouldin, count(*)::double as calinski_harabasz from customer group by all) group by subset)"
+PAIRED = f"(select *, count(*) over (partition by l_orderkey) as rows_of, lead(row(quantity, flag, discount, day, grp)) over (partition by l_orderkey order by l_linenumber, quantity nulls first, flag nulls first, discount nulls first, day nulls first, grp nulls first) as z from ({SQL_DIRTY}))"
 
 SQL = {
     "column_inventory": LONG + f" select variable, case variable when 'quantity' then 6 when 'discount' then 7 else 8 end as position, count(*) as n_rows, count(*) filter ({S('value')} = '') as n_blank, round(count(*) filter ({S('value')} = '') * 100.0 / count(*), 6) as pct_blank, count(distinct nullif({S('value')}, '')) as n_unique from cat group by variable",
@@ -320,4 +392,20 @@ SQL = {
     "matrix_problems": "select count(*) filter (c_custkey is null) as blank_ids, count(c_custkey) - count(distinct c_custkey) as repeated_ids, count(*) filter (c_acctbal is null or isnan(c_acctbal) or isinf(c_acctbal)) as bad_cells, 0::bigint as row_difference from customer",
     "same_ids": "select (select count(*) from (select c_custkey from customer except select o_custkey from orders)) as only_left, (select count(*) from (select o_custkey from orders except select c_custkey from customer)) as only_right",
     "upserted_runs": "select c_custkey as run_id, c_acctbal as value from customer where c_custkey not in (select o_custkey from orders) union all select o_custkey, max(o_totalprice) from orders group by o_custkey",
+    "scope_missingness": f"select * from {SQL_SCOPE}",
+    "exclusion_preview": f"select scope, variable, n_eligible, n_eligible - n_valid as n_missing, pct_missing, 20.0::double as threshold, decision, false as replaced from {SQL_SCOPE} where decision = 'EXCLUDE'",
+    "collection_qc": COLLECTION,
+    "counterparts": f"select u.user_id, u.event_id, u.code, u.code2, coalesce(p.n, 0) as n_same_code, p.a as first_same_code, p.b as last_same_code, coalesce(q.n, 0) as n_same_code2, q.a as first_same_code2, q.b as last_same_code2 from {UNDATED} u left join {ALIKE('code')} p on p.user_id = u.user_id and p.code = u.code left join {ALIKE('code2')} q on q.user_id = u.user_id and q.code2 = u.code2 where u.day is null and {N('u.score')} is not null",
+    "counterpart_rows": f"select event_id from {UNDATED} e where day is not null and exists (from {UNDATED} u where u.day is null and {N('u.score')} is not null and {S('u.code')} <> '' and u.user_id = e.user_id and u.code = e.code)",
+    "component_differences": " union all ".join(f"select l_orderkey, '{n}' as component, {c}::varchar as first, z[{i}]::varchar as second, '{kind}' as kind from {PAIRED} where rows_of = 2 and z is not null and {c} is distinct from z[{i}]" for i, (n, c, kind) in enumerate((("quantity", "quantity", "item"), ("flag", "flag", "item"), ("score_discount", "discount", "score"), ("day", "day", "item"), ("grp", "grp", "item")), 1)),
+    "supersession_evidence": f"select *, not (blank_code2 and blank_score) as marked from (select user_id, day, count(*) as n_rows, count(distinct event_type) as n_values, count(distinct event_id) = count(*) as distinct_records, count(distinct k) = 1 as same_k, bool_and({S('code2')} = '') as blank_code2, bool_and({S('score')} = '') as blank_score from {SQL_CODED} group by user_id, day) where n_values > 1",
+    "subset_refits": f"select * from {REFITS}",
+    "refit_findings": f"select subset, max(n) as n, string_agg(n_members, ',' order by cluster) as sizes, min(centre) as lowest_centre, max(centre) as highest_centre, max(boundary_shift) as boundary_shift, max(pct_equal) as pct_equal, max(ari) as ari from {REFITS} group by subset",
+    "best_k": f"select * from {BEST}",
+    "subset_cross_check": f"select count(*) as n_subsets, bool_and(silhouette_k = 7) as all_silhouette, bool_and(silhouette_k = 7 and davies_bouldin_k = 7 and calinski_harabasz_k = 7) as all_metrics from {BEST}",
+    "same_subsets": f"select count(*) filter (followup_days >= 300 and n_observations < 60) as only_first, count(*) filter (followup_days < 300 and n_observations >= 60) as only_second, bool_and((followup_days >= 300) = (n_observations >= 60)) as identical from {FITS}",
+    "final_report": f"""with c0 as (select 0.0::double as a, 9000.0::double as b), c1 as ({STEP('c0', 1)}), c2 as ({STEP('c1', 2)}), c3 as ({STEP('c2', 3)}), done as (select s_suppkey, s_acctbal, case when abs(s_acctbal - c3.a) <= abs(s_acctbal - c3.b) then 1 else 2 end as label from supplier, c3)
+ select 'same_ids' as check, not exists (select s_suppkey from supplier except select s_suppkey from done) as passed union all select 'ids_unique', count(*) = count(distinct s_suppkey) from done union all select 'labels_exact', min(label) = 1 and max(label) = 2 from done
+ union all select 'members_add_up', (select count(*) from done) = (select sum(n) from (select count(*) as n from done group by label)) union all select 'profiles_equal_k', count(distinct label) = 2 from done
+ union all select 'centres_ascend', avg(s_acctbal) filter (label = 1) < avg(s_acctbal) filter (label = 2) from done union all select 'runs_exact', list_sort(list(n_nationkey)) = range(25) from nation""",
 }
