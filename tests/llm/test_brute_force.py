@@ -277,7 +277,8 @@ def test_oracle_sql(spark):
 
     sf = "/root/testdata/sf0.01"
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         rel = con.sql(sql)
         assert sorted(tuple(r) for r in queries.QUERIES[name](spark, sf).select(*rel.columns).collect()) == sorted(rel.fetchall())

@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +67,37 @@ def written(df: DataFrame) -> DataFrame:
 def code_point_key(col) -> "F.Column":
     """Order of strings by code point is the order of their UTF-8 bytes; null last."""
     return F.coalesce(F.concat(F.lit("0"), F.hex(F.encode(col, "UTF-8"))), F.lit("1"))
+
+
+#: Integer components are held within this, so that products and squared distances fit in 64 bits.
+INTEGER_LIMIT = 1 << 24
+
+
+def integer_vectors(vectors: DataFrame, scale: int, *keep: str) -> DataFrame:
+    """``vec_id, keep.., v``: components as floor(scale * x); rows with a null vector or a null or non-finite component go."""
+    v = vectors.select("vec_id", *keep, F.col("embedding").cast("array<double>").alias("v")).filter("v is not null")
+    v = v.filter(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    whole = F.transform("v", lambda x: F.floor(F.greatest(F.least(x * scale, F.lit(float(INTEGER_LIMIT))), F.lit(-float(INTEGER_LIMIT)))).cast("int"))
+    return v.withColumn("v", whole)
+
+
+def padded(v: DataFrame, dim: int) -> DataFrame:
+    """Shorter vectors get zeros behind."""
+    return v.withColumn("v", F.concat("v", F.array_repeat(F.lit(0), F.lit(dim) - F.size("v"))))
+
+
+def runs(batches, *keys: str):
+    """Slices of consecutive rows of Arrow batches with equal keys: ``(key, slice)``."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        edges = [0, *change.tolist(), batch.num_rows]
+        for a, z in zip(edges, edges[1:]):
+            yield tuple(c[a] for c in columns), batch.slice(a, z - a)
+
+
+def matrix(batch, name: str, dim: int) -> np.ndarray:
+    """A column of equally long lists as a matrix."""
+    return batch.column(name).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dim)
