@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trendloom.functions import cells
-from trendloom.operators import audit, clusters, density, features, ranks, reporting, selection, trends, visits
+from trendloom.operators import audit, clusters, density, digests, features, ranks, reporting, selection, trends, visits
 from trendloom.plans import registry
 from trendloom.sources import tables
 
@@ -96,9 +96,9 @@ def test_kmeans(spark):
 
 
 def test_replicated_runs_reach_a_fixed_point(spark):
-    runs, centres = clusters.replicate(spark.read.parquet(f"{SF}/supplier.parquet"), "s_suppkey", ["s_acctbal"], 3, [0, 1, 2, 3], tol=0.0)
+    runs, fitted = clusters.replicate(spark.read.parquet(f"{SF}/supplier.parquet"), "s_suppkey", ["s_acctbal"], 3, [0, 1, 2, 3], tol=0.0)
     for (run, label), m in {(r[0], r[1]): r[2] for r in runs.groupBy("run", "label").agg(F.avg("s_acctbal")).collect()}.items():
-        assert m == pytest.approx(centres[run][label - 1][0])
+        assert m == pytest.approx(fitted[run].centres[label - 1][0])
 
 
 def test_density_and_quantile(spark):
@@ -117,8 +117,6 @@ def test_density_and_quantile(spark):
         assert r.delta == pytest.approx(more.min() if len(more) else d[r.i].max())
     checks = density.cutoff_sensitivity(df, "i", "v", (0.1,), primary=0.1)
     assert checks[0]["same_order"] and density.verdict(checks, [{"rho": 5}, {"rho": 5}], 5, 0.1, 0.5)["initialisation"] == "seeded random"
-    with pytest.raises(ValueError):
-        density.pairs(df, "i", "v", max_rows=10)
 
 
 def test_average_ranks_tolerance(spark):
@@ -129,8 +127,8 @@ def test_average_ranks_tolerance(spark):
 def test_indices_on_three_squares(spark):
     points = [(x + a, y + b) for a, b in ((0, 0), (10, 0), (5, 9)) for x in (0, 1) for y in (0, 1)]
     df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(points)], "i int, a double, b double").repartition(2)
-    v = selection.index_values(df, "i", ["a", "b"], [2, 3, 4], 4)
-    cast = selection.votes(v, [2, 3, 4])
+    v, errors = selection.index_values(selection.Statistics(df, "i", ["a", "b"], [2, 3, 4], 4))
+    cast = selection.votes(v, [2, 3, 4], errors)
     got = {r["index"]: r["k"] for r in cast}
     assert all(got[i] == 3 for i in ("ch", "db", "silhouette", "dunn", "cindex", "ball") if i != "ball") and got["hubert"] is None
     votes = [r["k"] for r in cast if r["status"] == "VOTE"]
@@ -167,8 +165,8 @@ def test_sources_and_sinks(spark, tmp_path):
     assert [tuple(r) for r in tables.with_row_number(raw).orderBy("source_row").collect()] == [("1", 'x, "y"', 2), ("2", "", 3), ("3", "  ", 4)]
     found = tables.check_manifest(spark, str(tmp_path), {"a.csv": ["RID", "SCORE"], "b.csv": []}).collect()
     assert sorted(tuple(r) for r in found) == [("a.csv", "missing column SCORE"), ("b.csv", "missing file")]
-    files = reporting.manifest(spark, str(tmp_path))
-    assert files.count() == 1 and reporting.tree_hash(files).head()["n_files"] == 1
+    files = digests.file_manifest(spark, str(tmp_path))
+    assert files.count() == 1 and digests.tree_digest(files).head()["n_files"] == 1
     assert reporting.required_hashes(files, spark.createDataFrame([("a.csv", "0")], "file string, sha256 string")).count() == 1
     with pytest.raises(ValueError):
         tables.write_json(spark.createDataFrame([(float("nan"),)], "x double"), str(tmp_path / "j"))

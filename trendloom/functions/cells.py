@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 TEXT_CODES = ["na", "n/a", "nan", "null", "none", "missing", "."]
 SENTINELS = [-4.0, -1.0]
 UNUSUAL = [-999.0, -99.0, -9.0, 888.0, 999.0, 9999.0]
+# White space, as Unicode and text tools strip it.
+SPACES = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def col(c) -> Column:
@@ -18,18 +20,14 @@ def col(c) -> Column:
 
 
 def strip(c) -> Column:
-    """Unicode strip: tabs and no-break spaces go too, which SQL ``trim`` leaves."""
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    """Unicode strip: tabs and no-break spaces go too, which SQL ``trim`` leaves.  No regular expression: it runs many times a cell."""
+    return F.btrim(col(c), F.lit(SPACES))
 
 
 def blank(c) -> Column:
     return strip(c) == ""
 
 
-def whitespace_only(c) -> Column:
-    return (col(c) != "") & blank(c)
-
-
 def number(c) -> Column:
     """Numeric text as double; other text, blank and NaN become null."""
     v = F.nullif(strip(c), F.lit("")).try_cast("double")
@@ -44,9 +42,30 @@ def missing_category(c) -> Column:
 
 def sentinel_kind(c) -> Column:
     """Exposure class: the two sentinels by value (``-1.0`` counts), other negatives, unusual codes."""
-    n = number(c)
-    return (F.when(blank(c), "blank").when(n == -4, "minus4").when(n == -1, "minus1").when(n.isin(UNUSUAL), "unusual").when(n < 0, "negative")
-            .when(n.isNull() & F.lower(strip(c)).isin(TEXT_CODES), "unusual"))
+    return kind_of(strip(c), number(c))
+
+
+def kind_of(stripped: Column, n: Column) -> Column:
+    """The same from a stripped cell and its number, where both are columns already."""
+    return (F.when(stripped == "", "blank").when(n == -4, "minus4").when(n == -1, "minus1").when(n.isin(UNUSUAL), "unusual").when(n < 0, "negative")
+            .when(n.isNull() & F.lower(stripped).isin(TEXT_CODES), "unusual"))
+
+
+def category_of(raw: Column, stripped: Column, n: Column) -> Column:
+    """``missing_category`` likewise."""
+    return (F.when(raw == "", "blank").when(stripped == "", "whitespace").when(F.lower(stripped).isin(TEXT_CODES), "text_code")
+            .when(n.isin(SENTINELS), "sentinel"))
+
+
+def numeric(stripped: Column) -> Column:
+    v = F.nullif(stripped, F.lit("")).try_cast("double")
+    return F.when(~F.isnan(v), v)
+
+
+def parsed(df, columns: list[str], *keep):
+    """Stripped text ``{c}|s`` and number ``{c}|n`` of every column, each made once a cell, in steps that stay apart."""
+    once = df.select(*keep, *columns, *[strip(c).alias(f"{c}|s") for c in columns])
+    return once.select("*", *[numeric(F.col(f"`{c}|s`")).alias(f"{c}|n") for c in columns])
 
 
 def normal_name(c) -> Column:
@@ -99,11 +118,6 @@ def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(col(a), col(b), lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
-def histogram(c) -> Column:
-    """Aggregate over (value, count) rows: sorted ``value:count`` text."""
-    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(col(c).alias("v"), F.col("n").alias("n")))), lambda x: F.concat_ws(":", x["v"], x["n"])), ",")
-
-
 def unique_join(c) -> Column:
     """Aggregate: distinct non-blank values, sorted, joined by `` | ``."""
     return F.array_join(F.array_sort(F.collect_set(F.when(~blank(c), strip(c)))), " | ")

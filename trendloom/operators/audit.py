@@ -11,7 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cells import blank, missing_category, normal_name, number, sentinel_kind, strip
+from ..functions.cells import any_populated, blank, category_of, format_share, kind_of, missing_category, normal_name, number, parsed, strip
+from .ranks import quantiles
 
 REASONS = ["blank", "whitespace", "text_code", "sentinel"]
 EXPOSURES = ["blank", "minus4", "minus1", "negative", "unusual"]
@@ -69,7 +70,8 @@ def missing_candidates(df: DataFrame, columns: list[str]) -> DataFrame:
 def sentinel_exposure(df: DataFrame, columns: list[str], where: Column | None = None) -> DataFrame:
     """Counts of sentinels, other negatives and unusual codes; ``where`` restricts them (baseline rows, say)."""
     held = F.lit(True) if where is None else where
-    kinds = df.select(*[F.when(held, sentinel_kind(c)).alias(c) for c in columns])
+    cells = parsed(df, columns, held.alias("_held"))
+    kinds = cells.select(*[F.when(F.col("_held"), kind_of(F.col(f"`{c}|s`"), F.col(f"`{c}|n`"))).alias(c) for c in columns])
     aggs = [F.count_if(F.col(c) == k).alias(f"{c}|n_{k}") for c in columns for k in EXPOSURES]
     return _long(kinds.agg(*aggs), columns, [f"n_{k}" for k in EXPOSURES])
 
@@ -122,7 +124,7 @@ def missingness(df: DataFrame, columns: list[str], by: str, threshold: float = 2
     A null group is a group of its own, told from the total by its level.
     """
     fields = ["n_rows", "n_valid", *[f"n_{r}" for r in REASONS]]
-    reasons = df.select(by, *[missing_category(c).alias(c) for c in columns])
+    reasons = parsed(df, columns, by).select(by, *[category_of(F.col(c), F.col(f"`{c}|s`"), F.col(f"`{c}|n`")).alias(c) for c in columns])
     aggs = [x for c in columns for x in (F.count(F.lit(1)).alias(f"{c}|n_rows"), F.count_if(F.col(c).isNull()).alias(f"{c}|n_valid"), *[F.count_if(F.col(c) == r).alias(f"{c}|n_{r}") for r in REASONS])]
     wide = reasons.groupingSets([[by], []], by).agg(F.grouping_id().alias("_g"), *aggs).withColumn("level", F.when(F.col("_g") == 0, "group").otherwise("total"))
     g = _long(wide, columns, fields, "level", by)
@@ -179,14 +181,56 @@ def observed_phases(df: DataFrame, columns: list[str], phase: str) -> DataFrame:
 
 
 def describe(df: DataFrame, value: str, *by: str) -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    d = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.when(F.count(value) == 1, 0.0).otherwise(F.stddev_samp(value)).alias("sd"), F.min(value).alias("min"), q.alias("q"), F.max(value).alias("max"))
+    """Count, mean, deviation, range and exact quartiles by group; quartiles by counting, so that no list of values is kept."""
+    d = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.when(F.count(value) == 1, 0.0).otherwise(F.stddev_samp(value)).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"))
     r = lambda c: F.round(c, 6)
-    at = lambda i: F.get("q", F.lit(i))
-    return d.select(*by, "n", r("mean").alias("mean"), r("sd").alias("sd"), r("min").alias("min"), r(at(0)).alias("q1"), r(at(1)).alias("median"), r(at(2)).alias("q3"), r("max").alias("max"), r(at(2) - at(0)).alias("iqr"))
+    d = joined(d, quantiles(df, value, [0.25, 0.5, 0.75], by), by)
+    return d.select(*by, "n", r("mean").alias("mean"), r("sd").alias("sd"), r("min").alias("min"), r("q0").alias("q1"), r("q1").alias("median"), r("q2").alias("q3"), r("max").alias("max"), r(F.col("q2") - F.col("q0")).alias("iqr"))
+
+
+def joined(a: DataFrame, b: DataFrame, by) -> DataFrame:
+    """Two tables of a row a group, null groups included (without groups: one row each)."""
+    if not by:
+        return a.crossJoin(F.broadcast(b))  # one row
+    b = b.withColumnsRenamed({c: f"_by{i}" for i, c in enumerate(by)})
+    return a.join(b, reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[f"_by{i}"]) for i, c in enumerate(by)]), "left").drop(*[f"_by{i}" for i in range(len(by))])
 
 
 def percentile_ladder(df: DataFrame, value: str, percents=(0, 1, 5, 25, 50, 75, 95, 99, 100)) -> DataFrame:
     """Exact linear percentiles, one row each."""
-    p = df.agg(F.percentile(value, F.array(*[F.lit(x / 100) for x in percents])).alias("p"))
-    return p.select(F.explode(F.arrays_zip(F.array(*[F.lit(x) for x in percents]).alias("percent"), F.col("p").alias("value"))).alias("r")).select("r.percent", F.round("r.value", 6).alias("value"))
+    q = quantiles(df, value, [x / 100 for x in percents])
+    rows = F.array(*[F.struct(F.lit(x).alias("percent"), F.round(f"q{i}", 6).alias("value")) for i, x in enumerate(percents)])
+    return q.select(F.explode(rows).alias("r")).select("r.*")
+
+
+def column_report(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Column inventory with the type that all non-blank cells fit (empty, integer, number or text) and the role flags of the name."""
+    cells = parsed(df, columns)
+    kinds = cells.agg(*[x for c in columns for x in (F.count_if(F.col(f"`{c}|s`") != "").alias(f"{c}|n"), F.count_if((F.col(f"`{c}|s`") != "") & F.col(f"`{c}|n`").isNull()).alias(f"{c}|t"), F.count_if(F.col(f"`{c}|s`").rlike("[.eE]") & F.col(f"`{c}|n`").isNotNull()).alias(f"{c}|f"))])
+    kinds = _long(kinds, columns, ["n", "t", "f"]).select("variable", F.when(F.col("n") == 0, "empty").when(F.col("t") > 0, "text").when(F.col("f") > 0, "number").otherwise("integer").alias("dtype"))
+    return column_roles(column_inventory(df, columns).join(kinds, "variable"), "variable")
+
+
+def visit_frequency(df: DataFrame, entity: str, date: str) -> DataFrame:
+    """Full frequency: entities by number of rows and of distinct dates."""
+    per = df.groupBy(entity).agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(date).alias("n_dates"))
+    return per.groupBy("n_dates").agg(F.count(F.lit(1)).alias("n_entities"), F.sum("n_rows").alias("n_rows"), F.min("n_rows").alias("least_rows"), F.max("n_rows").alias("most_rows"))
+
+
+def format_shares(df: DataFrame, patterns: dict[str, str]) -> DataFrame:
+    """Per column: non-blank values, the share that matches its pattern in full, and a masked example (digits as 9, letters as A)."""
+    mask = lambda c: F.regexp_replace(F.regexp_replace(F.min(F.when(~blank(c), strip(c))), "[0-9]", "9"), "[A-Za-z]", "A")
+    wide = df.agg(*[x for c, p in patterns.items() for x in (F.count_if(~blank(c)).alias(f"{c}|n_nonblank"), F.round(format_share(c, p), 6).alias(f"{c}|share"), mask(c).alias(f"{c}|example"))])
+    return _long(wide, list(patterns), ["n_nonblank", "share", "example"])
+
+
+def populated(df: DataFrame, columns: list[str], *by: str) -> DataFrame:
+    """Rows with any of the columns filled, and with none."""
+    return df.groupBy(*by).agg(F.count_if(any_populated(columns)).alias("n_any"), F.count_if(~any_populated(columns)).alias("n_none"))
+
+
+def value_counts_text(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Per column, the counts of its values as one JSON object, values sorted."""
+    g = unpivoted(df, columns).groupBy("variable", "value").agg(F.count(F.lit(1)).alias("n")).filter("value is not null")
+    entries = F.array_sort(F.collect_list(F.struct("value", "n")))
+    return g.groupBy("variable").agg(F.to_json(F.map_from_entries(entries)).alias("counts"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .density import pairs
+from . import blocks, lloyd
+from .audit import joined
+from .ranks import quantiles
 
 
 def nearest(point, centres: list[list[float]]):
@@ -44,43 +47,40 @@ def inertia(df: DataFrame, features: list[str], centres: list[list[float]]) -> D
     return df.agg(F.round(F.sum(nearest([F.col(c) for c in features], centres)["d"]), 6).alias("inertia"))
 
 
-def random_centres(df: DataFrame, ids: str, features: list[str], k: int, seed: int) -> list[list[float]]:
-    return [list(r) for r in df.orderBy(F.xxhash64(ids, F.lit(seed)), ids).limit(k).select(*features).collect()]
+def random_centres(df: DataFrame, ids: str, features: list[str], k: int, seeds: list[int]) -> dict[int, list[list[float]]]:
+    """Per seed, the k rows of least seeded hash: one job for all seeds."""
+    each = df.select(ids, F.array(*[F.col(c).cast("double") for c in features]).alias("x"), F.explode(F.array(*[F.lit(s) for s in seeds])).alias("run")).withColumn("h", F.xxhash64(ids, "run"))
+    first = each.withColumn("at", F.row_number().over(Window.partitionBy("run").orderBy("h", ids))).filter(F.col("at") <= k)
+    out: dict[int, list] = {s: [] for s in seeds}
+    for r in first.select("run", "at", "x").orderBy("run", "at").collect():  # k rows a seed
+        out[r["run"]].append(list(r["x"]))
+    return out
 
 
-def replicate(df: DataFrame, ids: str, features: list[str], k: int, seeds: list[int], rounds: int = 300, tol: float = 1e-4) -> tuple[DataFrame, dict[int, list]]:
-    """Runs of all seeds together: a round scans the rows once for every run that still moves.
+def replicate(df: DataFrame, ids: str, features: list[str], k: int, seeds: list[int], rounds: int = 300, tol: float = 1e-4) -> tuple[DataFrame, dict[int, lloyd.Run]]:
+    """Runs of all seeds side by side, from randomly drawn rows: every run is kept.
 
-    Returns ``id, run, label, d`` (label by centre order of the first feature) and the centres of each run.
+    Returns ``id, features.., run, label, d2`` (label from 1 by centre order of the first feature) and the runs,
+    which say whether they stood still, after how many rounds, and how many clusters are empty.
     """
-    limit = tol * sum(v or 0.0 for v in df.agg(*[F.var_pop(c) for c in features]).head()) / len(features)
-    point = [F.col(c) for c in features]
-    centres = {s: random_centres(df, ids, features, k, s) for s in seeds}
-    labels = lambda some: F.array(*[F.struct(F.lit(s).alias("run"), nearest(point, centres[s]).alias("n")) for s in some])
-    moving = list(seeds)
-    for _ in range(rounds):
-        if not moving:
-            break
-        means = {}
-        for r in df.select(*features, F.explode(labels(moving)).alias("r")).groupBy("r.run", "r.n.label").agg(*[F.avg(c) for c in features]).collect():
-            means[r[0], r[1]] = list(r[2:])
-        still = []
-        for s in moving:
-            new = [means.get((s, i + 1), c) for i, c in enumerate(centres[s])]
-            if sum((a - b) ** 2 for x, y in zip(new, centres[s]) for a, b in zip(x, y)) > limit:
-                still.append(s)
-            centres[s] = new
-        moving = still
-    centres = {s: sorted(c) for s, c in centres.items()}
-    out = df.select(ids, *features, F.explode(labels(seeds)).alias("r")).select(ids, *features, "r.run", F.col("r.n.label").alias("label"), F.col("r.n.d").alias("d2"))
-    return out, centres
-
-
-def best_of(df: DataFrame, ids: str, features: list[str], k: int, starts: int = 10) -> tuple[DataFrame, list[list[float]]]:
-    """The run of least inertia among several starts, ties to the smaller seed."""
-    runs, centres = replicate(df, ids, features, k, list(range(starts)))
-    best = runs.groupBy("run").agg(F.sum("d2").alias("i")).orderBy(F.round("i", 9), "run").head()["run"]
-    return runs.filter(F.col("run") == best).drop("run"), centres[best]
+    table = lloyd.points(df, ids, features)
+    drawn = random_centres(df, ids, features, k, seeds)
+    runs = {s: lloyd.Run(k, s, start=np.array(drawn[s])) for s in seeds}
+    lloyd.lloyd(table, list(runs.values()), rounds, tol)
+    at = lambda s: nearest([F.get("x", F.lit(j)) for j in range(len(features))], runs[s].centres.tolist())
+    every = table.select("id", "x", F.explode(F.array(*[F.struct(F.lit(s).alias("run"), at(s).alias("n")) for s in seeds])).alias("r"))
+    out = every.select(F.col("id").alias(ids), *[F.get("x", F.lit(j)).alias(c) for j, c in enumerate(features)], "r.run", F.col("r.n.label").alias("label"), F.col("r.n.d").alias("d2"))
+    return out, runs
+
+
+def best_start(df: DataFrame, ids: str, features: list[str], k: int, n: int = 50, seed: int = 0) -> tuple[DataFrame, lloyd.Run]:
+    """k-means++ with n starts: rows with the labels of the run of least inertia, and that run."""
+    table = lloyd.points(df, ids, features)
+    runs = [lloyd.Run(k, seed + i) for i in range(n)]
+    lloyd.plus_plus(table, runs)
+    lloyd.lloyd(table, runs)
+    top = lloyd.best(runs)
+    return lloyd.labelled(table, [top]).select(F.col("id").alias(ids), *[F.get("x", F.lit(j)).alias(c) for j, c in enumerate(features)], (F.get("codes", F.lit(0)) + 1).alias("label")), top
 
 
 def run_summary(runs: DataFrame) -> DataFrame:
@@ -118,14 +118,14 @@ def davies_bouldin(df: DataFrame, label: str, features: list[str], max_labels: i
     return r.agg(F.round(F.avg("r"), 6).alias("davies_bouldin"))
 
 
-def silhouette(df: DataFrame, ids: str, vec: str, label: str, max_rows: int = 100_000) -> DataFrame:
-    """Exact mean silhouette by Euclidean distance; pairs are summed by (row, cluster) before the shuffle."""
-    p = pairs(df, ids, vec, (label,), max_rows=max_rows, both=True)
-    per = p.groupBy("i", f"{label}_i", f"{label}_j").agg(F.avg("d").alias("m"))
-    own = F.col(f"{label}_i") == F.col(f"{label}_j")
-    s = per.groupBy("i").agg(F.max(F.when(own, F.col("m"))).alias("a"), F.min(F.when(~own, F.col("m"))).alias("b"))
-    value = F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return s.agg(F.round(F.avg(value), 6).alias("silhouette"))
+def silhouette(df: DataFrame, ids: str, vec: str, label: str, max_labels: int = 10_000) -> DataFrame:
+    """Exact mean silhouette by Euclidean distance; sums per row and cluster leave the tasks, pairs never (the number of labels is checked)."""
+    names = [r[0] for r in df.select(label).distinct().limit(max_labels + 1).collect()]
+    if len(names) > max_labels:
+        raise ValueError(f"more than {max_labels} clusters")
+    code = F.coalesce(*[F.when(F.col(label).eqNullSafe(F.lit(v)), F.lit(i)) for i, v in enumerate(names)], F.lit(-1))
+    value = blocks.silhouettes(df.withColumn("_codes", F.array(code)), ids, vec, "_codes", [len(names)])[0] if names else None
+    return df.sparkSession.createDataFrame([(None if value is None else round(value, 6),)], "silhouette double")
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -154,18 +154,10 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
     return _ari(cells, ["one"]).drop("one")
 
 
-def pairwise_ari(runs: DataFrame, ids: str) -> DataFrame:
-    """Adjusted Rand index of every pair of runs."""
-    a = runs.select(ids, F.col("run").alias("run_a"), F.col("label").alias("la"))
-    b = runs.select(ids, F.col("run").alias("run_b"), F.col("label").alias("lb"))
-    cells = a.join(b, ids).filter("run_a < run_b").groupBy("run_a", "run_b", "la", "lb").agg(F.count(F.lit(1)).alias("n"))
-    return _ari(cells, ["run_a", "run_b"])
-
-
-def ordered_labels(df: DataFrame, label: str, value: str) -> DataFrame:
+def ordered_labels(df: DataFrame, label: str, value: str, centre: str | None = None) -> DataFrame:
     """Labels renumbered from 1 by mean value: k rows."""
     g = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("m"))
-    return g.select(label, "n", F.row_number().over(Window.orderBy("m", label)).alias("canonical"))
+    return g.select(label, "n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("m", label)).alias("canonical"), *([F.col("m").alias(centre)] if centre else []))
 
 
 def first_appearance(runs: DataFrame, index: str) -> DataFrame:
@@ -174,29 +166,23 @@ def first_appearance(runs: DataFrame, index: str) -> DataFrame:
     return first.select("run", "label", (F.row_number().over(Window.partitionBy("run").orderBy("_f")) - 1).alias("canonical"))
 
 
-def partition_prints(runs: DataFrame, ids: str, index: str) -> DataFrame:
-    """Fingerprint of each run's partition: order-free sums of hashes of (id, canonical label), so that no list of ids is kept."""
-    named = runs.join(first_appearance(runs, index), ["run", "label"])
-    h = F.xxhash64(F.col(ids), F.col("canonical").cast("int"))
-    return named.groupBy("run").agg(F.sha2(F.concat_ws("|", F.sum(F.shiftright(h, 20)), F.sum(F.pmod(h, F.lit(1 << 20))), F.count(F.lit(1))), 256).alias("fingerprint"))
-
-
-def partition_frequency(prints: DataFrame) -> DataFrame:
-    g = prints.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n_runs"), F.array_join(F.array_sort(F.collect_list("run")), ",").alias("runs"))
-    return g.select("n_runs", "runs", F.round(F.col("n_runs") * 100.0 / F.sum("n_runs").over(Window.partitionBy(F.lit(0))), 6).alias("pct"))
-
-
-def cumulative_runs(summary: DataFrame, checkpoints=(10, 20, 30), value: str = "inertia") -> DataFrame:
-    """Mean and sd of a metric over the first runs, at checkpoints."""
-    at = summary.select("*", F.explode(F.array(*[F.lit(c) for c in checkpoints])).alias("first_runs")).filter("run < first_runs")
-    return at.groupBy("first_runs").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp(value), F.lit(0.0)), 6).alias("sd"))
+def profile(df: DataFrame, label: str, value: str, support: tuple[str, ...] = ()) -> DataFrame:
+    """Per cluster: size, share, centre less the mean of all, mean, deviation, range, exact quartiles, and medians of further columns."""
+    g = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"), F.sum(value).alias("_s"), F.count(value).alias("_c"))
+    everything = Window.partitionBy(F.lit(0))  # a row a cluster
+    share = F.col("n") * 100.0 / F.sum("n").over(everything)
+    centre = F.col("mean") - F.sum("_s").over(everything) / F.sum("_c").over(everything)
+    q = quantiles(df, value, [0.25, 0.5, 0.75], [label]).select(label, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"))
+    g = joined(g.withColumn("percent", share).withColumn("centre_minus_mean", centre), q, [label])
+    for c in support:
+        g = joined(g, quantiles(df, c, [0.5], [label]).withColumnRenamed("q0", f"median_{c}"), [label])
+    return g.select(label, "n", *[F.round(c, 6).alias(c) for c in ("percent", "centre_minus_mean", "mean", "sd", "min", "q1", "median", "q3", "max", *(f"median_{c}" for c in support))])
 
 
-def profile(df: DataFrame, label: str, value: str, support: tuple[str, ...] = ()) -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"), q.alias("q"), F.min(value).alias("min"), F.max(value).alias("max"), *[F.percentile(c, 0.5).alias(f"median_{c}") for c in support])
-    share = F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(F.lit(0)))
-    return g.select(label, "n", F.round(share, 6).alias("percent"), *[F.round(c, 6).alias(c) for c in ("mean", "sd", "min", "max")], *[F.round(F.get("q", F.lit(i)), 6).alias(n) for i, n in enumerate(("q1", "median", "q3"))], *[F.round(f"median_{c}", 6).alias(f"median_{c}") for c in support])
+def assignment_table(df: DataFrame, ids: str, label: str, value: str) -> DataFrame:
+    """Rows with the cluster's rank by ascending mean, and that mean as the centre."""
+    ranked = ordered_labels(df, label, value, "centre").select(label, F.col("canonical").alias("ordered_rank"), F.round("centre", 6).alias("centre"))
+    return df.select(ids, label, value).join(F.broadcast(ranked), label)  # a row a cluster
 
 
 def check_assignment(df: DataFrame, ids: str, label: str, k: int) -> DataFrame:
@@ -204,6 +190,20 @@ def check_assignment(df: DataFrame, ids: str, label: str, k: int) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(ids).alias("n_ids"), F.count_if(F.col(label).isNull()).alias("n_unlabelled"), F.count_distinct(label).alias("n_clusters"), F.coalesce(F.bool_and(F.col(label).between(1, k)), F.lit(True)).alias("labels_in_range"))
 
 
+def validate_assignment(df: DataFrame, roster: DataFrame, first: str, second: str, label: str, value: str, k: int) -> DataFrame:
+    """The ten checks of a finished assignment of pairs of ids: counts of rows, of either id and of pairs, each pair once, non-finite
+    values, empty clusters, members in all, centres strictly ascending by label, and the same pairs as the roster."""
+    v = F.col(value).cast("double")
+    one = df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(first).alias("n_first"), F.count_distinct(second).alias("n_second"), F.count_if(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))).alias("n_nonfinite"))
+    pairs = df.groupBy(first, second).agg(F.count(F.lit(1)).alias("c")).agg(F.count(F.lit(1)).alias("n_pairs"), F.coalesce(F.max("c") == 1, F.lit(True)).alias("each_once"))
+    per = df.filter(F.col(label).between(1, k)).groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("m"))
+    before = F.lag("m").over(Window.partitionBy(F.lit(0)).orderBy(label))  # a row a cluster
+    groups = per.withColumn("_b", before).agg((F.lit(k) - F.count(F.lit(1))).alias("n_empty"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_members"), F.coalesce(F.bool_and(F.coalesce(F.col("m") > F.col("_b"), F.lit(True))), F.lit(True)).alias("centres_ascend"))
+    both = df.select(first, second).distinct().withColumn("_a", F.lit(1)).join(roster.select(first, second).distinct().withColumn("_r", F.lit(1)), [first, second], "full")
+    same = both.agg(F.coalesce(F.bool_and(F.col("_a").isNotNull() & F.col("_r").isNotNull()), F.lit(True)).alias("same_pairs"))
+    return one.crossJoin(pairs).crossJoin(groups).crossJoin(same)  # one row each
+
+
 def tail_overlap(primary: DataFrame, refit: DataFrame, ids: str) -> DataFrame:
     """Agreement and adjusted Rand index of a refit on fewer rows."""
     both = primary.select(ids, F.col("label").alias("la")).join(refit.select(ids, F.col("label").alias("lb")), ids)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,40 +56,89 @@ def check_standardized(df: DataFrame, features: list[str], tolerance: float = 1e
         raise ValueError(f"mean 0 and deviation 1 missed by {bad}")
 
 
+def gram(df: DataFrame, features: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, means and covariance matrix: each task hands on one row with its sums and products, taken about the first
+    row of the table, so that little cancels.  Width costs matrix products, not compiled expressions."""
+    p = len(features)
+    x = df.select(F.array(*[F.col(c).cast("double") for c in features]).alias("x")).filter(F.forall("x", lambda v: v.isNotNull()))
+    first = x.head()
+    if first is None:
+        return 0, np.full(p, np.nan), np.full((p, p), np.nan)
+    base, upper = np.array(first[0]), np.triu_indices(p)
+
+    def run(batches):
+        n, s, w = 0, np.zeros(p), np.zeros((p, p))
+        for batch in batches:
+            own = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, p) - base
+            n, s, w = n + len(own), s + own.sum(0), w + own.T @ own
+        yield pa.RecordBatch.from_arrays([pa.array([np.r_[n, s, w[upper]].tolist()], pa.list_(pa.float64()))], names=["t"])
+
+    total = x.mapInArrow(run, "t array<double>").select(F.posexplode("t").alias("at", "v")).groupBy("at").agg(F.sum("v")).collect()  # as many rows as sums
+    t = np.zeros(1 + p + len(upper[0]))
+    for at, v in total:
+        t[at] = v
+    n, s, w = int(t[0]), t[1:p + 1], np.zeros((p, p))
+    w[upper] = t[p + 1:]
+    w = w + np.triu(w, 1).T - np.outer(s, s) / n
+    return n, base + s / n, w / (n - 1) if n > 1 else np.full((p, p), np.nan)
+
+
 def covariances(df: DataFrame, features: list[str]) -> DataFrame:
-    """Upper triangle of the covariance matrix from one aggregation."""
-    cells = [(a, b) for i, a in enumerate(features) for b in features[i:]]
-    wide = df.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.covar_samp(a, b), 6).alias("covariance")) for a, b in cells]).alias("c"))
-    return wide.select(F.explode("c").alias("c")).select("c.*")
-
-
-def components(df: DataFrame, features: list[str], share: float = 0.85):
-    """Eigenvalues, shares, kept count, loadings and means: p*p sums in Spark, the small eigenproblem here."""
-    pairs = [(i, j) for i in range(len(features)) for j in range(i, len(features))]
-    row = df.agg(F.array(*[F.covar_samp(features[i], features[j]) for i, j in pairs]), F.array(*[F.avg(c) for c in features])).head()
-    cov = np.zeros((len(features),) * 2)
-    for (i, j), v in zip(pairs, row[0]):
-        cov[i, j] = cov[j, i] = v
+    """Upper triangle of the sample covariance matrix, a row a pair of features."""
+    _, _, c = gram(df, features)
+    rows = [(a, features[j], round(float(c[i, j]), 6)) for i, a in enumerate(features) for j in range(i, len(features))]
+    return df.sparkSession.createDataFrame(rows, "a string, b string, covariance double")
+
+
+@dataclass
+class Components:
+    """Eigenvalues in falling order, their shares, how many are kept, and the loadings (a column a component)."""
+
+    features: list[str]
+    values: np.ndarray
+    ratio: np.ndarray
+    keep: int
+    vectors: np.ndarray
+    means: np.ndarray
+
+    def scree(self, spark) -> DataFrame:
+        """A row a component: eigenvalue, share, cumulative share, kept."""
+        rows = [(f"PC{i + 1}", float(v), float(r), float(c), i < self.keep) for i, (v, r, c) in enumerate(zip(self.values, self.ratio, np.cumsum(self.ratio)))]
+        return spark.createDataFrame(rows, "component string, eigenvalue double, ratio double, cumulative double, kept boolean")
+
+    def loadings(self, spark) -> DataFrame:
+        """A row a feature and kept component."""
+        rows = [(c, f"PC{k + 1}", float(self.vectors[i, k])) for i, c in enumerate(self.features) for k in range(self.keep)]
+        return spark.createDataFrame(rows, "feature string, component string, loading double")
+
+    def scores(self, df: DataFrame) -> DataFrame:
+        """Other columns, and the kept scores as ``PC1..``: one matrix product a batch."""
+        rest = [c for c in df.columns if c not in self.features]
+        names, means, weights = [f"PC{k + 1}" for k in range(self.keep)], self.means, self.vectors[:, : self.keep]
+        p = len(self.features)
+        x = df.select(*rest, F.array(*[F.col(c).cast("double") for c in self.features]).alias("_x"))
+        schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*rest).schema] + [f"{n} double" for n in names])
+
+        def run(batches):
+            for batch in batches:
+                s = (batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(-1, p) - means) @ weights
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), *(pa.array(s[:, k]) for k in range(len(names)))], names=[*rest, *names])
+
+        return x.mapInArrow(run, schema)
+
+
+def components(df: DataFrame, features: list[str], share: float = 0.85) -> Components:
+    """The fewest components whose cumulative share reaches ``share``: p*p sums in Spark, the small eigenproblem here."""
+    _, means, cov = gram(df, features)
     values, vectors = np.linalg.eigh(cov)
     values, vectors = values[::-1], vectors[:, ::-1]
     # Sign rule: the loading of largest magnitude is positive.
     vectors = vectors * np.sign(vectors[np.abs(vectors).argmax(0), range(len(features))])
     ratio = values / values.sum()
-    keep = int(np.searchsorted(np.cumsum(ratio), share - 1e-12)) + 1
-    return values, ratio, keep, vectors, row[1]
-
-
-def pca(df: DataFrame, features: list[str], share: float = 0.85):
-    """Scores of the fewest components that reach the share, and scree rows (eigenvalue, share, cumulative)."""
-    values, ratio, keep, vectors, means = components(df, features, share)
-    rest = [c for c in df.columns if c not in features]
-    centred = F.array(*[F.col(c) - float(m) for c, m in zip(features, means)])
-    weights = lambda k: F.array(*[F.lit(float(x)) for x in vectors[:, k]])
-    score = lambda k: F.aggregate(F.zip_with("_x", weights(k), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    scores = df.select(*rest, centred.alias("_x")).select(*rest, *[score(k).alias(f"PC{k + 1}") for k in range(keep)])
-    return scores, list(zip(values.tolist(), ratio.tolist(), np.cumsum(ratio).tolist()))
+    keep = min(len(features), int(np.searchsorted(np.cumsum(ratio), share - 1e-12)) + 1)
+    return Components(features, values, ratio, keep, vectors, means)
 
 
-def loadings(df: DataFrame, features: list[str], share: float = 0.85) -> list[dict]:
-    _, _, keep, vectors, _ = components(df, features, share)
-    return [{"feature": c, **{f"PC{k + 1}": float(vectors[i, k]) for k in range(keep)}} for i, c in enumerate(features)]
+def pca_totals(c: Components, spark) -> DataFrame:
+    """What the eigenvalues must add up to: total variance, and the sum of squared covariances."""
+    return spark.createDataFrame([(len(c.values), round(float(c.values.sum()), 6), round(float((c.values ** 2).sum()), 6))], "n_components int, total_variance double, squared double")

@@ -19,7 +19,7 @@ def _held(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="spark-ranks-", dir="/tmp")
     path = f"{folder}/ranks-{uuid.uuid4().hex}"
@@ -84,26 +84,54 @@ def average_ranks(df: DataFrame, value: str, by: str, descending: bool, toleranc
     return df.withColumn("_run", run).withColumn("_n", F.row_number().over(w)).withColumn("avg_rank", F.avg("_n").over(Window.partitionBy(by, "_run"))).drop("_run", "_n")
 
 
-def exact_quantile(df: DataFrame, value: str, q: float, buckets: int = 4096) -> float | None:
-    """Linear quantile of a huge column in two passes: counts of equal-width buckets, then only the buckets that hold the rank."""
-    lo, hi, n = df.agg(F.min(value), F.max(value), F.count(value)).head()
-    if not n:
-        return None
-    place = q * (n - 1)
-    if lo == hi:
-        return float(lo)
-    b = F.least(F.floor((F.col(value) - lo) / (hi - lo) * buckets), F.lit(buckets - 1)).cast("int")
-    seen, need = 0, []
-    for k, c in sorted(tuple(r) for r in df.filter(F.col(value).isNotNull()).groupBy(b.alias("b")).count().collect()):  # a row a bucket
-        if seen <= math.floor(place) < seen + c or seen <= math.ceil(place) < seen + c:
-            need.append((k, seen))
-        seen += c
-    inside = df.filter(b.isin([k for k, _ in need]))
-    if sum(1 for _ in need) and inside.count() > 1_000_000 and hi - lo > 1e-12:
-        ranked = global_rank(inside.select(F.col(value).cast("double").alias("v")), [F.col("v")])
-        picked = {r["rank"] - 1 + need[0][1]: r["v"] for r in ranked.filter(F.col("rank").isin(math.floor(place) - need[0][1] + 1, math.ceil(place) - need[0][1] + 1)).collect()}
-        low, high = picked[math.floor(place)], picked[math.ceil(place)]
-    else:
-        v = sorted(r[0] for r in inside.select(value).collect())  # at most a million values
-        low, high = v[math.floor(place) - need[0][1]], v[math.ceil(place) - need[0][1]]
-    return float(low + (high - low) * (place - math.floor(place)))
+def quantiles(df: DataFrame, value: str, qs: list[float], by=(), accuracy: int = 10_000) -> DataFrame:
+    """``by.., q0, q1..``: exact linear quantiles of every group, all at once, in three scans and without any list of values.
+
+    A mergeable sketch brackets each rank to within a few parts in ``accuracy``; the next scan counts what lies below
+    each bracket and the distinct values inside it, a few parts in ``accuracy`` of a group's rows; ranks then pick among those.
+    The sketch's bound makes the bracket hold the rank, or miss it by one neighbour in a small group, which is counted too.
+    Null values and NaN are left out.
+    """
+    by, k = list(by), len(qs)
+    rows = df.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(by)], F.col(value).cast("double").alias("_v")).filter("_v is not null and not isnan(_v)")
+    keys = [f"_g{i}" for i in range(len(by))]
+    near = 3 / accuracy
+    marks = [x for q in qs for x in (max(0.0, q - near), min(1.0, q + near))]
+    sketch = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.percentile_approx("_v", marks, accuracy).alias("_m"))
+
+    def meet(a: DataFrame, b: DataFrame, *more: str) -> DataFrame:
+        on = [*keys, *more]
+        if not on:
+            return a.crossJoin(F.broadcast(b))  # one row
+        b = b.withColumnsRenamed({c: f"{c}_r" for c in on})
+        return a.join(b, [F.col(c).eqNullSafe(F.col(f"{c}_r")) for c in on]).drop(*[f"{c}_r" for c in on])
+
+    low, high = (lambda i: F.get("_m", F.lit(2 * i))), (lambda i: F.get("_m", F.lit(2 * i + 1)))
+    seen = meet(rows, sketch)
+    v = F.col("_v")
+    counted = seen.groupBy(*keys).agg(F.first("_n").alias("_n"), *[x for i in range(k) for x in (F.count_if(v < low(i)).alias(f"_b{i}"), F.max(F.when(v < low(i), v)).alias(f"_p{i}"), F.min(F.when(v > high(i), v)).alias(f"_x{i}"))])
+    each = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q"), F.col(f"_b{i}").alias("below"), F.col(f"_p{i}").alias("before"), F.col(f"_x{i}").alias("after")) for i, q in enumerate(qs)])
+    ranks = counted.select(*keys, "_n", F.explode(each).alias("_e")).select(*keys, "_n", F.col("_e.i").alias("_i"), (F.col("_e.q") * (F.col("_n") - 1)).alias("_spot"), F.col("_e.below").alias("_below"), F.col("_e.before").alias("_before"), F.col("_e.after").alias("_after"))
+    inside = seen.select(*keys, "_v", F.explode(F.filter(F.array(*[F.struct(F.lit(i).alias("i"), v.between(low(i), high(i)).alias("in")) for i in range(k)]), lambda e: e["in"])).alias("_e"))
+    held = inside.groupBy(*keys, F.col("_e.i").alias("_i"), "_v").agg(F.count(F.lit(1)).alias("_c"))
+    to = F.sum("_c").over(Window.partitionBy(*keys, "_i").orderBy("_v"))
+    picked = meet(held.withColumn("_to", to), ranks, "_i").withColumn("_to", F.col("_to") + F.col("_below"))
+    at = lambda place: F.max(F.when((F.col("_to") - F.col("_c") <= place) & (place < F.col("_to")), v))
+    floor, ceil = F.floor("_spot"), F.ceil("_spot")
+    each = picked.groupBy(*keys, "_i").agg(at(floor).alias("_lo"), at(ceil).alias("_hi"), F.first("_before").alias("_before"), F.first("_after").alias("_after"), F.first("_spot").alias("_spot"))
+    lo, hi = F.coalesce("_lo", "_before"), F.coalesce("_hi", "_after")
+    each = each.withColumn("_q", lo + (hi - lo) * (F.col("_spot") - F.floor("_spot")))
+    out = each.groupBy(*keys).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"q{i}") for i in range(k)])
+    return out.withColumnsRenamed(dict(zip(keys, by)))
+
+
+def exact_quantile(df: DataFrame, value: str, q: float) -> float | None:
+    """Linear quantile of a huge column."""
+    return quantiles(df, value, [q]).head()[0]
+
+
+def gap_audit(df: DataFrame, value: str, ids: str, n: int = 10) -> DataFrame:
+    """The n largest gaps between neighbours in sorted order, with both values; ties go to the smaller value."""
+    gaps = adjacent_gaps(df, value, ids)
+    top = gaps.orderBy(F.desc("gap"), value, ids).limit(n)
+    return top.select(ids, (F.col(value) - F.col("gap")).alias("before"), F.col(value).alias("after"), "gap")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import blank, in_order, number, strip, unique_join
+from ..functions.guards import guarded, message, unique
 
 # Codes of reasons.
 VALID, QC, MINUS1, MINUS4, BLANK = "VALID", "UNRESOLVED_DUPLICATE_QC", "MINUS1", "MINUS4", "BLANK"
@@ -33,19 +34,20 @@ def absence(reasons: Column, documented: Column) -> Column:
     return F.when(~documented, UNAVAILABLE).when(has(QC), QC).when(has(MINUS1), MINUS1).when(has(MINUS4), MINUS4).otherwise(BLANK)
 
 
-def _resolved(df: DataFrame, keys: list[str], order: list[Column], documented: Column, source: str, vector: Column, result: Column, ok: Column, reasons: Column, derived: bool) -> DataFrame:
-    rows = df.select(*keys, F.struct(*order).alias("_o"), documented.alias("_doc"), F.col(source).alias("_src"), vector.alias("_v"), result.alias("_r"), ok.alias("_ok"), reasons.alias("_why"))
+def _resolved(df: DataFrame, keys: list[str], order: list[Column], documented: Column, source: str, vector: Column, result: Column, ok: Column, reasons: Column, derived) -> DataFrame:
+    rows = df.select(*keys, F.struct(*order).alias("_o"), documented.alias("_doc"), F.col(source).alias("_src"), vector.alias("_v"), result.alias("_r"), ok.alias("_ok"), reasons.alias("_why"), (F.lit(derived) if isinstance(derived, bool) else derived).alias("_der"))
     # Distinct vectors are told by the least and the greatest, so that no list of them is kept.
     g = rows.groupBy(*keys).agg(
         F.count("_ok").alias("n_candidates"), F.count_if("_ok").alias("n_valid"), F.min(F.when(F.col("_ok"), F.col("_v"))).alias("_lo"), F.max(F.when(F.col("_ok"), F.col("_v"))).alias("_hi"),
         F.max(F.when(F.col("_ok"), F.col("_r"))).alias("_r"), F.min_by(F.when(F.col("_ok"), F.col("_src")), F.when(F.col("_ok"), F.col("_o"))).alias("_best"), F.min_by("_src", "_o").alias("_any"),
-        F.array_distinct(F.flatten(F.collect_set("_why"))).alias("_why"), F.bool_and("_doc").alias("_doc"))
+        F.array_distinct(F.flatten(F.collect_set("_why"))).alias("_why"), F.bool_and("_doc").alias("_doc"), F.bool_or("_der").alias("_der"))
     conflict = F.col("_lo") != F.col("_hi")
     single = F.col("n_valid") > 0
-    none = F.lit(FAILED) if derived else absence(F.col("_why"), F.col("_doc"))
+    none = F.when(F.col("_der"), FAILED).otherwise(absence(F.col("_why"), F.col("_doc")))
     reason = F.when(F.col("n_candidates") == 0, UNAVAILABLE).when(conflict, QC).when(single, F.lit("")).otherwise(none)
-    words = ("CONFLICTING_COMPONENT_VECTORS", "IDENTICAL_COMPLETE_COMPONENTS", "UNIQUE_COMPLETE_COMPONENT_ROW", "NO_COMPLETE_COMPONENT_ROW") if derived else ("CONFLICTING_VALUES", "IDENTICAL_VALID_VALUES", "UNIQUE_VALID_VALUE", "NO_VALID_VALUE")
-    status = F.when(F.col("n_candidates") < 2, F.lit(None)).when(conflict, f"UNRESOLVED_{words[0]}").when(F.col("n_valid") > 1, f"RESOLVED_{words[1]}").when(single, f"RESOLVED_{words[2]}").otherwise(words[3])
+    pairs = (("CONFLICTING_COMPONENT_VECTORS", "CONFLICTING_VALUES"), ("IDENTICAL_COMPLETE_COMPONENTS", "IDENTICAL_VALID_VALUES"), ("UNIQUE_COMPLETE_COMPONENT_ROW", "UNIQUE_VALID_VALUE"), ("NO_COMPLETE_COMPONENT_ROW", "NO_VALID_VALUE"))
+    word = lambda i, before="": F.when(F.col("_der"), before + pairs[i][0]).otherwise(before + pairs[i][1])
+    status = F.when(F.col("n_candidates") < 2, F.lit(None)).when(conflict, word(0, "UNRESOLVED_")).when(F.col("n_valid") > 1, word(1, "RESOLVED_")).when(single, word(2, "RESOLVED_")).otherwise(word(3))
     return g.select(*keys, "n_candidates", "n_valid", F.when(single & ~conflict, F.col("_r")).alias("value"), reason.alias("reason"), F.when(conflict, F.lit(None)).when(single, F.col("_best")).otherwise(F.col("_any")).alias("source"), status.alias("resolution"))
 
 
@@ -63,6 +65,57 @@ def resolve_derived(df: DataFrame, keys: list[str], cells: list[Column], derive,
     return _resolved(df, keys, order, F.lit(True), source, F.struct(*[p["value"].alias(f"v{i}") for i, p in enumerate(parts)]), derive(*[p["value"] for p in parts]), ok, F.transform("_c", lambda x: x["reason"]), True)
 
 
+# What a resolved value carries along, in order.
+PROVENANCE = ["SOURCE_FILE", "SOURCE_PHASE", "SOURCE_VISCODE", "SOURCE_VISCODE2", "SOURCE_DATE", "SOURCE_VISIT_CLASS", "MISSING_REASON"]
+
+
+def candidate_rows(records: DataFrame, entities: DataFrame, spec: DataFrame, entity: str, fields: list[str], max_spec: int = 10_000) -> DataFrame:
+    """Candidates of every (entity, variable): records of the variable's file, in the entity's entry phase, of one of its visit classes.
+
+    ``records``: ``entity, file, phase, code, code2, date, visit_class, source_row`` and text fields; ``entities``: ``entity, entry_phase``;
+    ``spec``: ``variable, file, classes (array), fields (array), mode`` (direct, sum or difference), whose size is checked before it is
+    broadcast.  All variables in one equi-join; the cells are normalised on the way.
+    """
+    n = spec.count()
+    if n > max_spec:
+        raise ValueError(f"{n} variables; at most {max_spec} are broadcast")
+    cells = F.map_from_arrays(F.array(*[F.lit(f) for f in fields]), F.array(*[F.col(f) for f in fields]))
+    own = records.select(entity, "file", F.trim("phase").alias("phase"), "code", "code2", "date", "visit_class", "source_row", cells.alias("_cells"))
+    own = own.join(entities.select(entity, F.col("entry_phase").alias("phase")), [entity, "phase"])
+    wanted = spec.select("variable", "file", F.explode("classes").alias("visit_class"), "fields", "mode")
+    met = own.join(F.broadcast(wanted), ["file", "visit_class"])
+    return met.withColumn("cells", F.transform("fields", lambda f: normal_cell(F.element_at("_cells", f)))).drop("_cells")
+
+
+def resolve_variables(candidates: DataFrame, entity: str) -> DataFrame:
+    """``entity, variable, value, reason`` and the provenance of the row that was used, for all variables in one grouping.
+
+    Direct values and component vectors follow the rules of ``resolve_direct`` and ``resolve_derived``; the best row is the
+    earliest dated one, then that of the smallest source row."""
+    derived = F.col("mode") != "direct"
+    values = F.transform("cells", lambda c: c["value"])
+    total = F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+    result = F.when(F.col("mode") == "difference", F.get(values, F.lit(0)) - F.get(values, F.lit(1))).otherwise(total)
+    ok = F.forall("cells", lambda c: c["reason"] == VALID)
+    source = F.struct("file", "phase", F.trim("code").alias("code"), F.trim("code2").alias("code2"), "date", "visit_class", "source_row")
+    rows = candidates.withColumn("_source", source)
+    order = [F.col("date").isNull(), F.col("date"), F.col("source_row")]
+    return _resolved(rows, [entity, "variable"], order, F.lit(True), "_source", values, result, ok, F.transform("cells", lambda c: c["reason"]), derived)
+
+
+def provenance_table(resolved: DataFrame, entities: DataFrame, spec: DataFrame, entity: str) -> DataFrame:
+    """One row an entity: each variable's value and its seven provenance columns; a value without source has empty ones."""
+    names = [r[0] for r in spec.select("variable").orderBy("variable").collect()]  # the size was checked
+    files = {r[0]: r[1] for r in spec.select("variable", "file").collect()}
+    own = lambda v, c: F.max(F.when(F.col("variable") == v, c))
+    text = lambda v, f: F.coalesce(own(v, F.col(f"source.{f}").cast("string")), F.lit("")).alias(f"{v}_{f}")
+    parts = {"SOURCE_PHASE": "phase", "SOURCE_VISCODE": "code", "SOURCE_VISCODE2": "code2", "SOURCE_DATE": "date", "SOURCE_VISIT_CLASS": "visit_class"}
+    columns = []
+    for v in names:
+        columns += [own(v, F.col("value")).alias(v), F.lit(files[v]).alias(f"{v}_SOURCE_FILE"), *[text(v, f).alias(f"{v}_{c}") for c, f in parts.items()], F.coalesce(own(v, F.col("reason")), F.lit(UNAVAILABLE)).alias(f"{v}_MISSING_REASON")]
+    return entities.select(entity).join(resolved, entity, "left").groupBy(entity).agg(*columns)
+
+
 def duplicate_log(resolved: DataFrame, variable: str) -> DataFrame:
     """Rows where several candidates met, and what was done."""
     action = F.when(F.col("resolution").startswith("RESOLVED_"), "USE_VALUE").when(F.col("resolution").startswith("UNRESOLVED_"), "SET_MISSING").otherwise(F.concat(F.lit("SET_MISSING_"), F.col("reason")))
@@ -103,8 +156,11 @@ def reason_counts(resolved: DataFrame, by: list[str], threshold: float = 20.0) -
     return g.withColumn("reconciles", sum(F.col(c) for c in codes) == F.col("n_eligible") - F.col("n_valid")).withColumn("pct_missing", F.round(pct, 6)).withColumn("decision", F.when(pct > threshold, "EXCLUDE").otherwise("RETAIN"))
 
 
-def check_table(table: DataFrame, entity: str, expected_rows: int, variables: list[str]) -> None:
+def checked_table(table: DataFrame, eligible: DataFrame, entity: str, variables: list[str]) -> DataFrame:
+    """The table itself, or a failed job: every variable a column, one row an entity, and exactly the eligible entities."""
     lost = [v for v in variables if v not in table.columns]
-    r = table.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(entity).alias("d")).head()
-    if lost or r["n"] != expected_rows or r["d"] != r["n"]:
-        raise ValueError(f"columns missing {lost}, rows {r['n']} of {expected_rows}, distinct {r['d']}")
+    if lost:
+        raise ValueError(f"columns missing {lost}")
+    own = lambda df, n: df.select(entity).distinct().withColumn(n, F.lit(1))
+    other = own(table, "a").join(own(eligible, "b"), entity, "full").filter("a is null or b is null").select(entity, F.when(F.col("a").isNull(), "missing").otherwise("not eligible").alias("problem"))
+    return guarded(table, unique(table, [entity]), message(other, "entities", [entity, "problem"]))

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cells import blank, classify, number, strip
+from ..functions.cells import blank, classify, date_of, normal_name, number, strip
+from ..functions.guards import join_many_to_one
+from .audit import ID_NAMES, VISIT_NAMES
 
 
 def visit_class(code: str, code2: str) -> Column:
@@ -73,3 +75,43 @@ def sequence_checks(df: DataFrame, entity: str, date: str, number_: str, elapsed
     w = Window.partitionBy(entity).orderBy(number_)
     t = df.withColumn("_d", F.lag(date).over(w)).withColumn("_n", F.row_number().over(w))
     return t.agg(F.count_if(F.col(date) < F.col("_d")).alias("n_decreasing"), F.count_if(F.col("_n") != F.col(number_)).alias("n_misnumbered"), F.count_if((F.col("_n") == 1) & (F.col(elapsed) != 0)).alias("n_first_not_zero"))
+
+
+def tagged_union(frames: dict[str, DataFrame], tag: str = "file") -> DataFrame:
+    """All tables below each other with the name of their file; columns that a table lacks are null."""
+    named = [df.withColumn(tag, F.lit(name)) for name, df in frames.items()]
+    out = named[0]
+    for df in named[1:]:
+        out = out.unionByName(df, allowMissingColumns=True)
+    return out
+
+
+def recommendations(rows: DataFrame, rules: DataFrame, documents: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Visit rows (``field, category``) with the documented definition of the class and what it means for the field.
+
+    ``rules``: ``category, field_kind, recommendation`` (a null kind holds for every field, and goes before a kind's own rule);
+    ``documents``: ``category, definition, source``; both dictionaries, whose keys must be unique and whose size is checked.
+    Rows have ``field_kind``; without a rule the answer is UNRESOLVED.
+    """
+    for name, d in (("rules", rules), ("documents", documents)):
+        if d.count() > max_rows:
+            raise ValueError(f"{name}: more than {max_rows} rows")
+    any_kind = rules.filter("field_kind is null").select("category", F.col("recommendation").alias("_any"))
+    own = rules.filter("field_kind is not null").select("category", "field_kind", F.col("recommendation").alias("_own"))
+    out = join_many_to_one(rows, any_kind, ["category"], "left")
+    out = join_many_to_one(out, own, ["category", "field_kind"], "left")
+    out = join_many_to_one(out, documents, ["category"], "left")
+    return out.withColumn("recommendation", F.coalesce("_any", "_own", F.lit("UNRESOLVED"))).drop("_any", "_own")
+
+
+def ordering_label(field: Column, outcomes: list[str]) -> Column:
+    """Whether a field, by its name, can order an entity's records."""
+    n = normal_name(field)
+    return classify([(n.isin(outcomes), "OUTCOME_ONLY"), (n.isin(ID_NAMES), "IDENTIFIER_ONLY"), (n.isin(VISIT_NAMES), "WITH_VISIT_CODE_RULES"), (n == "VISDATE", "DATE_CANDIDATE")], "LIKELY_METADATA")
+
+
+def ordering_fields(df: DataFrame, columns: list[str], outcomes: list[str]) -> DataFrame:
+    """Per column: rows, non-blank cells, cells that parse as dates, and the label."""
+    wide = df.agg(*[F.struct(F.lit(c).alias("field"), F.count(F.lit(1)).alias("n_rows"), F.count_if(~blank(c)).alias("n_nonblank"), F.count(date_of(c)).alias("n_dates")).alias(f"s{i}") for i, c in enumerate(columns)])
+    rows = wide.select(F.explode(F.array(*[f"s{i}" for i in range(len(columns))])).alias("s")).select("s.*")
+    return rows.withColumn("label", ordering_label(F.col("field"), outcomes))

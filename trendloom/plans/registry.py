@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cells
-from ..operators import audit, clusters, density, features, ranks, reporting, resolve, review, selection, sensitivity, trends, visits
+from ..operators import audit, clusters, density, features, ranks, reporting, resolve, review, selection, sensitivity, stability, trends, visits
 from ..sources import tables
 
 # Shared derivations.
@@ -196,8 +196,8 @@ QUERIES = {
     "standardize": lambda s, d: features.standardize(_t(s, d, "supplier").select("s_suppkey", "s_acctbal"), ["s_acctbal"]).select("s_suppkey", F.round("s_acctbal", 6).alias("z")),
     "median_impute": lambda s, d: features.median_impute(_t(s, d, "part").select("p_partkey", F.when(F.col("p_size") > 5, F.col("p_size").cast("double")).alias("size")), ["size"]),
     "impute_summary": lambda s, d: features.impute_summary(_t(s, d, "part").select("p_partkey", F.when(F.col("p_size") > 5, F.col("p_size").cast("double")).alias("size")), ["size"]),
-    "covariances": lambda s, d: features.covariances(_vectors(s, d, 8), [f"x{i}" for i in range(8)]),
-    "pca_scores": lambda s, d: features.pca(_vectors(s, d).drop("label"), XS)[0],
+    "covariances": lambda s, d: features.covariances(_vectors(s, d), XS),
+    "pca_scores": lambda s, d: features.components(_vectors(s, d), XS).scores(_vectors(s, d).drop("label")),
     "distance_audit": lambda s, d: density.distance_audit(_balances(s, d), "s_suppkey", "v"),
     "density": lambda s, d: density.density_grid(_balances(s, d), "s_suppkey", "v", 1, 250.005).select("s_suppkey", "rho"),
     "density_peaks": lambda s, d: density.peaks(_balances(s, d), "s_suppkey", "v", d_c=250.005)[0].select("s_suppkey", "rho", F.round("delta", 6).alias("delta"), F.round("gamma", 6).alias("gamma")),
@@ -209,9 +209,9 @@ QUERIES = {
     "davies_bouldin": lambda s, d: clusters.davies_bouldin(_vectors(s, d), "label", XS),
     "silhouette": lambda s, d: clusters.silhouette(_whole_vectors(s, d), "vec_id", "v", "label"),
     "adjusted_rand": lambda s, d: clusters.adjusted_rand(_vectors(s, d, 1).withColumn("half", (F.col("x0") > 0).cast("int")), "label", "half"),
-    "pairwise_ari": lambda s, d: clusters.pairwise_ari(_runs(s, d), "vec_id"),
+    "pairwise_ari": lambda s, d: stability.pairwise_ari(_runs(s, d), "vec_id"),
     "first_appearance": lambda s, d: clusters.first_appearance(_runs(s, d), "vec_id"),
-    "partition_frequency": lambda s, d: clusters.partition_frequency(clusters.partition_prints(_runs(s, d), "vec_id", "vec_id")),
+    "partition_frequency": lambda s, d: stability.partition_table(stability.partition_digests(_runs(s, d), "vec_id", "vec_id")).select("n_runs", "runs", "pct"),
     "canonical_labels": lambda s, d: clusters.ordered_labels(_vectors(s, d, 1), "label", "x0"),
     "cluster_profile": lambda s, d: clusters.profile(_t(s, d, "customer"), "c_mktsegment", "c_acctbal"),
     "contingency": lambda s, d: clusters.contingency(_t(s, d, "part"), "p_size", "p_brand"),
@@ -369,7 +369,7 @@ SQL = {
     "standardize": "select s_suppkey, round((s_acctbal - avg(s_acctbal) over ()) / stddev_pop(s_acctbal) over (), 6) as z from supplier",
     "median_impute": "select p_partkey, coalesce(v, median(v) over ()) as size from (select p_partkey, case when p_size > 5 then p_size::double end as v from part)",
     "impute_summary": "select 'size' as feature, count(*) - count(v) as n_missing, round((count(*) - count(v)) * 100.0 / count(*), 6) as pct_missing, median(v) as median, min(v) as min_before, max(v) as max_before, least(min(v), median(v)) as min_after, greatest(max(v), median(v)) as max_after from (select case when p_size > 5 then p_size::double end as v from part)",
-    "covariances": f"with v as {VECTORS} " + " union all ".join(f"select 'x{i}' as a, 'x{j}' as b, round(covar_samp(x{i}, x{j}), 6) as covariance from v" for i in range(8) for j in range(i, 8)),
+    "covariances": "with l as (select vec_id, unnest(range(64)) as i, unnest(embedding)::double as x from embeddings) select 'x' || a.i as a, 'x' || b.i as b, round(covar_samp(a.x, b.x), 6) as covariance from l a join l b on a.vec_id = b.vec_id and a.i <= b.i group by a.i, b.i",
     "distance_audit": f"select count(*) as n_pairs, count(*) filter (d = 0) as n_zero, round(min(d) filter (d > 0), 6) as min_positive, round(max(d), 6) as max, round(avg(d), 6) as mean from {PAIRS} where i < j",
     "density": f"select * from {RHO}",
     "density_peaks": f"with r as {RHO}, p as {PAIRS}, x as (select r.s_suppkey, r.rho, min(d) filter (o.rho > r.rho) as near, max(d) as far from r join p on p.i = r.s_suppkey join r o on o.s_suppkey = p.j group by all) select s_suppkey, rho, round(coalesce(near, far), 6) as delta, round(rho * coalesce(near, far), 6) as gamma from x",
@@ -384,7 +384,7 @@ SQL = {
     "first_appearance": f"select run, label, (row_number() over (partition by run order by f) - 1)::int as canonical from (select run, label, min(vec_id) as f from {RUNS} group by run, label)",
     "partition_frequency": f"with r as {RUNS}, f as (select run, label, row_number() over (partition by run order by min(vec_id)) as c from r group by run, label), p as (select run, string_agg(vec_id || ':' || c, ',' order by vec_id) as print from r join f using (run, label) group by run) select count(*) as n_runs, string_agg(run, ',' order by run) as runs, round(count(*) * 100.0 / sum(count(*)) over (), 6) as pct from p group by print",
     "canonical_labels": f"select label, n, row_number() over (order by m, label)::int as canonical from (select label, count(*) as n, avg(x0) as m from {VECTORS} group by label)",
-    "cluster_profile": "select c_mktsegment, n, round(n * 100.0 / sum(n) over (), 6) as percent, mean, sd, min, max, q1, median, q3 from (select c_mktsegment, " + DESCRIBED.format("c_acctbal") + " from customer group by c_mktsegment)",
+    "cluster_profile": "select c_mktsegment, n, round(n * 100.0 / sum(n) over (), 6) as percent, round((select avg(c_acctbal) from customer c where c.c_mktsegment = x.c_mktsegment) - (select avg(c_acctbal) from customer), 6) as centre_minus_mean, mean, sd, min, max, q1, median, q3 from (select c_mktsegment, " + DESCRIBED.format("c_acctbal") + " from customer group by c_mktsegment) x",
     "contingency": "select p_size, p_brand, count(*) as n from part group by all",
     "check_assignment": "select count(*) as n_rows, count(distinct vec_id) as n_ids, count(*) filter (label is null) as n_unlabelled, count(distinct label) as n_clusters, coalesce(bool_and(label between 1 and 8), true) as labels_in_range from embeddings",
     "baseline_compare": "with a as (select c_mktsegment as metric, avg(c_acctbal) as value from customer group by 1), b as (select metric, avg(value) as mean, min(value) as low, max(value) as high from (select c_mktsegment as metric, c_nationkey, avg(c_acctbal) as value from customer group by all) group by metric) select metric, round(value, 6) as value, round(mean, 6) as mean, round(value - mean, 6) as difference, round(case when mean <> 0 then (value - mean) * 100 / mean else 0 end, 6) as pct, case when abs(value - mean) <= 1e-12 then 'equal' when value > mean then 'better' else 'worse' end as direction, case when value < low then 'below' when value > high then 'above' else 'within' end as range from a join b using (metric)",
