@@ -331,18 +331,18 @@ def test_pii_finds_added_kinds(spark):
 def test_pii_estimation_against_numpy():
     rng = np.random.default_rng(1)
     truth = rng.random(400) < 0.7
-    v = np.where(rng.random((400, 6)) < 0.8, np.where(truth[:, None], 2, 0), 1)
+    v = np.where(rng.random((400, 7)) < 0.8, np.where(truth[:, None], 2, 0), 1)
     patterns = sorted(Counter((tuple(map(int, r)), (0,)) for r in v).items())
     post, true, false, share = pii.estimate([(a, b, n) for (a, b), n in patterns], rounds=30)
-    t, f, s = np.tile(pii.TRUE_VOTES, (6, 1)), np.tile(pii.FALSE_VOTES, (6, 1)), pii.TRUE_SHARE
+    t, f, s = np.array(pii.TRUE_VOTES), np.array(pii.FALSE_VOTES), pii.TRUE_SHARE
     for _ in range(30):
-        a = s * np.prod(t[np.arange(6), v], 1)
-        b = (1 - s) * np.prod(f[np.arange(6), v], 1)
+        a = s * np.prod(t[np.arange(7), v], 1)
+        b = (1 - s) * np.prod(f[np.arange(7), v], 1)
         w = a / (a + b)
         s = (w.sum() + 30 * pii.TRUE_SHARE) / (400 + 30)
         for x in range(3):
-            t[:, x] = ((v == x) * w[:, None]).sum(0) + 30 * pii.TRUE_VOTES[x]
-            f[:, x] = ((v == x) * (1 - w)[:, None]).sum(0) + 30 * pii.FALSE_VOTES[x]
+            t[:, x] = ((v == x) * w[:, None]).sum(0) + 30 * np.array(pii.TRUE_VOTES)[:, x]
+            f[:, x] = ((v == x) * (1 - w)[:, None]).sum(0) + 30 * np.array(pii.FALSE_VOTES)[:, x]
         t /= w.sum() + 30
         f /= (1 - w).sum() + 30
     assert share == pytest.approx(s) and np.allclose(true, t) and np.allclose(false, f)

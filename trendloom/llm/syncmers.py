@@ -1,15 +1,17 @@
 """Document fingerprints by closed syncmers (native SQL).
 
-A k-mer of k consecutive words is an anchor when the least of its inner s-mer
+Tokens are words; characters of scripts without spaces, and those of unbroken runs of more than 32 letters,
+are tokens each.  A k-mer of k consecutive tokens is an anchor when the least of its inner s-mer
 hashes stands first or last in it: a choice that needs no context, so an edit
 moves only anchors that it touches.  The fingerprint holds all anchors of the
 whole text in order, ``hash@position``.  Two anchors match if they and the
 anchors before them have equal hashes at equal distances, wherever the passage
 has moved; likeness is the Jaccard similarity of these matches.
 
-Defined cases: null text is empty; in a text of fewer than k words every word
-is an anchor; where no k-mer is selected the one of least hash is; with no words the fingerprint is empty, like only
-another empty one; repeated rows keep a row each; an empty table gives no rows.
+Defined cases: null text is empty; in a text of fewer than k tokens every token
+is an anchor; where no k-mer is selected the one of least hash is; with no tokens the fingerprint is empty, like only
+another empty one; very long texts are taken whole; rows of one doc_id, and null doc_ids, which come last, stand in the
+order of their texts' hashes; repeated rows keep a row each; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,12 +22,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Scripts that put no space between words.
+SPACELESS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
+LETTER = rf"[\p{{L}}\p{{N}}&&[^{SPACELESS}]]"
+TOKEN = rf"[{SPACELESS}]|(?<!{LETTER}){LETTER}{{1,32}}+(?!{LETTER})|{LETTER}"
+
+
 def anchors(df: DataFrame, text: str, out: str, k: int = 5, s: int = 2) -> DataFrame:
-    """Add ``out``: all anchors (position in words, hash) of the column ``text``, in order."""
+    """Add ``out``: all anchors (position in tokens, hash) of the column ``text``, in order."""
     if not 2 <= k - s <= 2 * s:
         raise ValueError("k - s must lie between 2 and 2 s")
     span, w, m, f = k - s, f"_{out}_w", f"_{out}_s", f"_{out}_f"
-    words = F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    words = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
     df = df.withColumn(w, F.transform(words, lambda x: F.xxhash64(x)))
     n = F.size(w)
     df = df.withColumn(m, F.when(n >= k, F.transform(F.sequence(F.lit(0), n - s), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(s)]))))
