@@ -215,16 +215,43 @@ class Scorer:
         return total, np.diff(offsets)
 
 
+def fit_groups(texts: dict[str, list[str]], order: int = 4, together: int = 8, max_bytes: int = 4 << 30) -> list[dict]:
+    """One table for every few languages: a key is stored under the languages of its group alone, so that all tables together
+    grow with the number of languages, not with its square.  Their size is checked, since they are broadcast."""
+    langs = sorted(texts)
+    models = [fit({x: texts[x] for x in langs[i:i + together]}, order) for i in range(0, len(langs), together)] or [fit({}, order)]
+    size = model_bytes(models)
+    if size > max_bytes:
+        raise ValueError(f"tables of {size} bytes for {len(langs)} languages; at most {max_bytes} are broadcast")
+    return models
+
+
+def model_bytes(models: list[dict]) -> int:
+    return sum(a.nbytes for m in models for level in m["levels"] for a in level)
+
+
+class Scorers:
+    """All groups of languages, one after the other."""
+
+    def __init__(self, models: list[dict]):
+        self.own = [Scorer(m) for m in models]
+        self.langs = [x for s in self.own for x in s.langs]
+
+    def code_lengths(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = [s.code_lengths(texts) for s in self.own]
+        return np.concatenate([f[0] for f in found], 1), found[0][1]
+
+
 def identify(docs: DataFrame, sample_bytes: int = 1_000_000, longest: int = 50_000, order: int = 4, seed: int = 5) -> DataFrame:
     """``held_out, lang_pred, score`` added to the columns of docs."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(sample_rows(docs, sample_bytes, longest, seed), order))
+    model = docs.sparkSession.sparkContext.broadcast(fit_groups(sample_rows(docs, sample_bytes, longest, seed), order))
     new = ["held_out", "lang_pred", "score"]
     rest = [c for c in docs.columns if c not in new]
     rows = docs.select(*rest).withColumn("held_out", held_out())
     schema = StructType([*rows.schema.fields[:-1], StructField("held_out", BooleanType()), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def predict(batches):
-        scorer = Scorer(model.value)
+        scorer = Scorers(model.value)
         langs = np.array([*scorer.langs, "und"], object)
         for batch in batches:
             text = batch.column("text")
