@@ -44,14 +44,15 @@ def _quantiles(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.unique(keys[at[at < len(keys)]]) if len(keys) else keys
 
 
-def shard(docs: DataFrame, shards: int = 40, ranges: int = 512, oversample: int = 16, seed: int = 11) -> DataFrame:
-    """``doc_id, size, text_crc32, law, shard, slot, grown_shard``."""
+def shard(docs: DataFrame, shards: int = 40, ranges: int = 512, range_bytes: int = 64 << 20, oversample: int = 16, seed: int = 11) -> DataFrame:
+    """``doc_id, size, text_crc32, law, shard, slot, grown_shard``; there are at least ``ranges``, and more as bytes grow, so that a range's window does not grow with the table."""
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     high = F.shiftleft(F.shiftright(F.xxhash64(F.coalesce("text", F.lit(""))), 32), 32)
     rows = checkpointed(docs.select("doc_id", (F.octet_length(raw) + 16).cast("long").alias("size"), F.crc32(raw).cast("long").alias("text_crc32"), high.alias("high")))
     low = F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.monotonically_increasing_id()), F.lit(1 << 32))  # places in a written table do not change
     rows = checkpointed(rows.select("doc_id", "size", "text_crc32", F.col("high").bitwiseOR(low).alias("key")))
     total = rows.agg(F.sum("size")).head()[0] or 0
+    ranges = max(ranges, -(-total // range_bytes))
     cuts = _quantiles(_weighted_sample(rows, ranges * oversample, total, seed), ranges)
     limit, again = 2 * total / ranges, 0
     while True:
