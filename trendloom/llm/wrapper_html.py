@@ -9,7 +9,7 @@ template texts with their paths) then cleans every page of the host.
 Elements article and main are a hint: if any of them holds text, only the
 outermost ones are walked, all of them, with the wrapper.  A template node
 loses its own text only; its children are judged for themselves, but inline
-elements in a line of varying text stay.
+elements in a line of varying text stay, and so do headings inside an article that recur on a host's pages.
 
 Defined cases: null html is empty, with empty text and n_chars 0; a page of a
 host with no wrapper falls back on element kinds; repeated rows keep a row
@@ -32,9 +32,10 @@ from pyspark.sql import functions as F
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 DROP = set("script style noscript template nav footer header aside form button select option textarea iframe svg canvas object head title dialog menu".split())
 BLOCK = set("address article blockquote body caption dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 html li main ol p pre section summary table tbody td tfoot th thead tr ul hr".split())
-NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|cookies?|newsletter|subscribe|sidebar|menu|nav(?:bar|igation)?|breadcrumbs?|footer|comments?|replies|popup|modal)(?:$|[\s_-])", re.I)
+NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|cookies?|newsletter|subscribe|sidebar|menu|nav(?:bar|igation)?|breadcrumbs?|footer|comments?(?:[_-]?(?:section|list|area|thread|container|wrap(?:per)?|box|block|form))?|disqus|replies|popup|modal)(?:$|[\s_-](?!policy|guide|rules))", re.I)
 # Words that also have plain meanings: they count only as the whole class, or joined by a hyphen or underscore.
 WEAK = re.compile(r"^(?:promo|banner|consent|notice|header|reply|related|share|social|widget)s?(?:[_-][\w-]*)?$", re.I)
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 SPACE = re.compile(r"\s+")
 
 
@@ -195,7 +196,7 @@ def evidence(pages) -> tuple[int, dict[str, int]]:
 def induce(pages: list[str]) -> list[str]:
     """Template keys: constant in most alignments of different pages."""
     total, same = evidence(pages)
-    return sorted(k for k, n in same.items() if total >= 2 and n * 3 >= total * 2)
+    return sorted(k for k, n in same.items() if total and n * 3 >= total * 2)
 
 
 def main_roots(root: Node) -> list[tuple[Node, str]]:
@@ -230,7 +231,8 @@ def extract(html: str, template: set[str]) -> str:
         if block:
             end()
         own = own_text(n) if template else ""
-        constant = bool(own) and not (inside and not block) and template_key(path, own) in template
+        heading = main and n.tag in HEADINGS  # a heading that recurs in the articles of a host names the slot below it, and stays
+        constant = bool(own) and not heading and not (inside and not block) and template_key(path, own) in template
         line = bool(own) and not constant or inside and not block
         for k in n.kids:
             if isinstance(k, str):
@@ -267,7 +269,7 @@ def wrappers(pages: DataFrame, per_group: int = 16, seed: int = 9, max_broadcast
 
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), "html").filter("html is not null")
     rows = rows.withColumn("place", F.struct(F.xxhash64(F.lit(seed), F.xxhash64("html")).alias("h"), "page_id"))
-    hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("place.h").alias("different"), F.min("place").alias("first")).filter("n > 2")
+    hosts = rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("place.h").alias("different"), F.min("place").alias("first")).filter("n > 1")
     hosts = checkpointed(hosts.select("host", "first", F.greatest(F.lit(1), F.floor(F.col("different") / per_group)).alias("groups")))
     u = F.pmod(F.col("place.h"), F.lit(1 << 30)) / float(1 << 30)
     group = F.when(F.col("place").eqNullSafe(F.col("first")), F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).otherwise(F.array(F.floor(u * F.col("groups"))))
@@ -280,7 +282,7 @@ def wrappers(pages: DataFrame, per_group: int = 16, seed: int = 9, max_broadcast
 
     found = dealt.groupBy("host", "group").agg(F.collect_set("html").alias("g")).select("host", learn("g").alias("r"))
     found = checkpointed(found.select("host", "r.*"))
-    total = found.groupBy("host").agg(F.sum("pairs").alias("total")).filter("total >= 2")
+    total = found.groupBy("host").agg(F.sum("pairs").alias("total")).filter("total >= 1")
     counts = found.select("host", F.explode("same").alias("k")).groupBy("host", "k.key").agg(F.sum("k.n").alias("n"))
     return counts.join(total, "host").filter("n * 3 >= total * 2").groupBy("host").agg(F.collect_list("key").alias("template"))
 
