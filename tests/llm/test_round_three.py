@@ -17,9 +17,9 @@ def test_texts_without_spaces_have_anchors(spark):
     for r in got.values():
         assert r.fingerprint.count(",") > 200 and r.near_edited > 0.4 and r.near_next < 0.1
     words = spark.createDataFrame([("Ein Wort, zwei_drei; 4you! " + "x" * 32 + " " + "y" * 33,)], "t string")
-    tokens = words.select(F.regexp_extract_all("t", F.lit(syncmers.TOKEN), F.lit(0))).head()[0]
+    tokens = words.select(syncmers.tokens("t")).head()[0]
     assert tokens == ["Ein", "Wort", "zwei", "drei", "4you", "x" * 32, *"y" * 33]
-    assert spark.createDataFrame([("abc漢字def ไทย",)], "t string").select(F.regexp_extract_all("t", F.lit(syncmers.TOKEN), F.lit(0))).head()[0] == ["abc", "漢", "字", "def", *"ไทย"]
+    assert spark.createDataFrame([("abc漢字、def ไทย",)], "t string").select(syncmers.tokens("t")).head()[0] == ["abc", "漢", "字", "def", *"ไทย"]
 
 
 def test_many_languages_in_linear_space():

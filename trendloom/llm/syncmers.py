@@ -22,10 +22,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-# Scripts that put no space between words.
-SPACELESS = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}"
+# Code points of scripts that put no space between words: Thai to Tibetan, Myanmar, Khmer, kana, Han.
+SPACELESS = r"\u0E00-\u0FFF\u1000-\u109F\u1780-\u17FF\u3041-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
 LETTER = rf"[\p{{L}}\p{{N}}&&[^{SPACELESS}]]"
-TOKEN = rf"[{SPACELESS}]|(?<!{LETTER}){LETTER}{{1,32}}+(?!{LETTER})|{LETTER}"
+TOKEN = rf"[{SPACELESS}&&[\p{{L}}\p{{N}}]]|(?<!{LETTER}){LETTER}{{1,32}}+(?!{LETTER})|{LETTER}"
+SPECIAL = rf"[{SPACELESS}]|[\p{{L}}\p{{N}}]{{33}}"  # only such texts need more than words
+
+
+def tokens(text) -> "F.Column":
+    words = F.filter(F.split(text, r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    return F.when(F.col(text).rlike(SPECIAL), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))).otherwise(words)
 
 
 def anchors(df: DataFrame, text: str, out: str, k: int = 5, s: int = 2) -> DataFrame:
@@ -33,8 +39,7 @@ def anchors(df: DataFrame, text: str, out: str, k: int = 5, s: int = 2) -> DataF
     if not 2 <= k - s <= 2 * s:
         raise ValueError("k - s must lie between 2 and 2 s")
     span, w, m, f = k - s, f"_{out}_w", f"_{out}_s", f"_{out}_f"
-    words = F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
-    df = df.withColumn(w, F.transform(words, lambda x: F.xxhash64(x)))
+    df = df.withColumn(w, F.transform(tokens(text), lambda x: F.xxhash64(x)))
     n = F.size(w)
     df = df.withColumn(m, F.when(n >= k, F.transform(F.sequence(F.lit(0), n - s), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(s)]))))
     at = lambda i, j: F.get(m, i + j)
