@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,16 +107,43 @@ def calinski_harabasz(df: DataFrame, label: str, features: list[str]) -> DataFra
 
 
 def davies_bouldin(df: DataFrame, label: str, features: list[str], max_labels: int = 10_000) -> DataFrame:
-    """Mean distance to the own centre, then the worst ratio per cluster over pairs of the k centres (k is checked)."""
-    m = df.groupBy(label).agg(*[F.avg(c).alias(f"m_{c}") for c in features])
-    if m.count() > max_labels:
+    """Mean distance to the own centre, then the worst ratio per cluster over pairs of the k centres (k is checked).
+
+    Two passes in which a task hands on one row a label, so that width costs array work, not compiled expressions."""
+    spark, p = df.sparkSession, len(features)
+    rows = df.filter(F.col(label).isNotNull()).select(F.col(label).cast("string").alias("g"), F.array(*[F.col(c).cast("double") for c in features]).alias("x")).filter(F.forall("x", lambda v: v.isNotNull()))
+    if rows.select("g").distinct().limit(max_labels + 1).count() > max_labels:
         raise ValueError(f"more than {max_labels} clusters")
-    dist = F.sqrt(sum((F.col(c) - F.col(f"m_{c}")) ** 2 for c in features))
-    s = df.join(F.broadcast(m), label).groupBy(label).agg(F.avg(dist).alias("s"), *[F.first(f"m_{c}").alias(f"m_{c}") for c in features])
-    a, b = s.alias("a"), s.alias("b")
-    gap = F.sqrt(sum((F.col(f"a.m_{c}") - F.col(f"b.m_{c}")) ** 2 for c in features))
-    r = a.join(F.broadcast(b), F.col(f"a.{label}") != F.col(f"b.{label}")).groupBy(F.col(f"a.{label}")).agg(F.max((F.col("a.s") + F.col("b.s")) / gap).alias("r"))
-    return r.agg(F.round(F.avg("r"), 6).alias("davies_bouldin"))
+
+    def sums(of):
+        """Per label, the sum of ``of(label, vectors)`` over its rows, added up by Spark."""
+
+        def run(batches):
+            total: dict[str, np.ndarray] = {}
+            for batch in batches:
+                x, g = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, p), np.array(batch.column("g").to_pylist(), object)
+                for own in set(g):
+                    total[own] = total.get(own, 0) + of(own, x[g == own])
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v.tolist() for v in total.values()], pa.list_(pa.float64()))], names=["g", "t"])
+
+        out: dict[str, dict] = {}
+        for g, at, v in rows.mapInArrow(run, "g string, t array<double>").select("g", F.posexplode("t").alias("at", "v")).groupBy("g", "at").agg(F.sum("v")).collect():  # a row a label and sum
+            out.setdefault(g, {})[at] = v
+        return {g: np.array([t[i] for i in range(len(t))]) for g, t in out.items()}
+
+    first = sums(lambda _, x: np.r_[len(x), x.sum(0)])
+    means = {g: t[1:] / t[0] for g, t in first.items()}
+    inside = sums(lambda g, x: np.array([np.sqrt(((x - means[g]) ** 2).sum(1)).sum()]))
+    names = sorted(means)
+    if len(names) < 2:
+        return spark.createDataFrame([(None,)], "davies_bouldin double")
+    m, s = np.array([means[g] for g in names]), np.array([inside[g][0] / first[g][0] for g in names])
+    worst = []
+    for i in range(len(names)):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = (s[i] + s) / np.sqrt(((m - m[i]) ** 2).sum(1))
+        worst.append(np.delete(r, i).max())
+    return spark.createDataFrame([(round(float(np.mean(worst)), 6),)], "davies_bouldin double")
 
 
 def silhouette(df: DataFrame, ids: str, vec: str, label: str, max_labels: int = 10_000) -> DataFrame:
