@@ -262,6 +262,35 @@ def test_ann_defined_cases(spark):
     assert ann.search(df.limit(0)).count() == 0
 
 
+def test_ann_every_dimension(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.standard_normal(3 + i % 3).tolist()) for i in range(120)]
+    got = defaultdict(list)
+    for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5, block=16).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert sorted(got) == list(range(0, 120, 20))
+    for q, found in got.items():
+        a = np.array(rows[q][1])
+        want = sorted((-float(a @ np.array(v)), i) for i, v in rows if len(v) == len(a) and i != q)[:5]
+        assert [i for i, _ in found] == [i for _, i in want] and np.allclose([s for _, s in found], [-s for s, _ in want])
+
+
+def test_ann_counts_collisions_in_windows_only():
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((400, 6))
+    block = ann.Block(np.arange(400), x, ann.projections(6, 24, 5), float(np.linalg.norm(x, axis=1).max()))
+    mids = rng.integers(0, 401, 24)
+    width = 80
+    while True:
+        low = np.clip(mids - width // 2, 0, 400 - width)
+        hits = np.bincount(np.concatenate([a[i:i + width] for a, i in zip(block.order, low)]), minlength=400)
+        if (hits >= 9).sum() >= 60 or width == 400:
+            break
+        width = min(400, width * 17 // 16 + 1)
+    assert block.collide(mids, 9, 60, 80).tolist() == np.flatnonzero(hits >= 9).tolist()
+    assert block.touched == 24 * width < 24 * 400
+
+
 def test_html(spark):
     page = "<html><body><nav>Menu</nav><div class='cookie-notice'>We use</div><article><h1>T&amp;t</h1><p>a <b>b\n c</b><p>d<br>e</article><div class=comments><p>no</p></div><footer>f</footer></body></html>"
     df = spark.createDataFrame([(1, "http://h/x", page), (2, None, None), (3, "http://h/y", "")], "page_id long, url string, html string")
