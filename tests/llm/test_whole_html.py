@@ -1,5 +1,8 @@
 """Pages whose boilerplate only the wrapper of the host can tell."""
 
+import random
+import time
+
 from trendloom.llm import wrapper_html
 
 WORDS = "amber birch cedar delta ember fjord grove haven inlet jetty knoll larch".split()
@@ -57,3 +60,48 @@ def test_depth_headers_and_plain_class_words():
     assert wrapper_html.extract(page, set()) == "Title\n\na\n\nb"
     many = [f"<article>{'<div>' * 1500}words of page {i} here{'</div>' * 1500}<p>same line</p></article>" for i in range(3)]
     assert [wrapper_html.extract(p, set(wrapper_html.induce(many))) for p in many] == [f"words of page {i} here" for i in range(3)]
+
+
+def _tree(rng, depth):
+    tag = rng.choice(["div", "p", "ul", "span"])
+    inner = "".join(_tree(rng, depth - 1) for _ in range(rng.choice([0, 2, 5, 7]) if depth else 0))
+    return f"<{tag}>{rng.choice(['', 'a', 'b', 'c'])}{inner}</{tag}>"
+
+
+def _best_match(a, b):
+    """Simple tree matching, written out."""
+    if (a.tag, a.kind) != (b.tag, b.kind):
+        return 0
+    w = [[0] * (len(b.sub) + 1) for _ in range(len(a.sub) + 1)]
+    for i, x in enumerate(a.sub):
+        for j, y in enumerate(b.sub):
+            w[i + 1][j + 1] = max(w[i][j + 1], w[i + 1][j], w[i][j] + _best_match(x, y))
+    return 1 + (a.own == b.own != "") + w[-1][-1]
+
+
+def test_alignment_is_the_best_tree_matching():
+    rng = random.Random(4)
+    for _ in range(80):
+        seen: dict = {}
+        a, b = (wrapper_html.parse(_tree(rng, 3)) for _ in range(2))
+        for t in (a, b):
+            wrapper_html.number(t, seen)
+        score, _ = wrapper_html.align(a, b, {})
+        assert score == _best_match(a, b)
+
+
+def test_many_different_children_align():
+    rng = random.Random(5)
+    item = lambda: f"<li><a>{rng.random()}</a><p>{rng.choice(['Read more', rng.random()])}</p></li>"
+    pages = [f"<ul><li>Latest</li>{''.join(item() for _ in range(400))}</ul>" for _ in range(2)]
+    start = time.time()
+    template = set(wrapper_html.induce(pages))
+    assert time.time() - start < 20  # one alignment a pair of children took minutes
+    text = wrapper_html.extract(pages[0], template)
+    assert "Latest" not in text and "Read more" not in text and len(text.split("\n\n")) >= 400
+
+
+def test_text_outside_main_stays_where_main_holds_little():
+    body = "".join(f"<p>Paragraph {i} of the story that stands outside.</p>" for i in range(8))
+    assert wrapper_html.extract(f"<main><p>By A. Writer</p></main>{body}", set()).startswith("By A. Writer\n\nParagraph 0")
+    assert wrapper_html.extract(f"<main>{body}</main><p>Other pages</p>", set()).endswith("outside.")

@@ -6,8 +6,8 @@ texts are counted over all pairs of the host.  Aligned nodes with equal text are
 nodes whose text varies are content slots.  The wrapper of a host (digests of
 template texts with their paths) then cleans every page of the host.
 
-Elements article and main are a hint: if any of them holds text, only the
-outermost ones are walked, all of them, with the wrapper.  A template node
+Elements article and main are a hint: if they hold at least a third of the text that the
+wrapper leaves on the page, only the outermost ones are walked, all of them; else the whole page is.  A template node
 loses its own text only; its children are judged for themselves, but inline
 elements in a line of varying text stay, and so do headings inside an article that recur on a host's pages.
 
@@ -40,7 +40,7 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "kind", "kids", "text", "own", "sub", "full", "cls", "word", "id")
+    __slots__ = ("tag", "kind", "kids", "text", "own", "sub", "full", "cls", "word", "id", "shape", "chars")
 
     def __init__(self, tag, kind=""):
         self.tag, self.kind, self.kids, self.text = tag, kind, [], []
@@ -52,6 +52,7 @@ class Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root")
+        self.root.chars = 0
         self.stack = [self.root]
         self.open: dict[str, int] = {}
 
@@ -75,6 +76,7 @@ class Tree(HTMLParser):
         self.open[self.stack.pop().tag] -= 1
 
     def handle_data(self, data):
+        self.root.chars += len(data)
         self.stack[-1].kids.append(data)
 
 
@@ -116,6 +118,56 @@ def number(n: Node, seen: dict, inside: bool = False) -> None:
     n.cls = seen.setdefault((n.tag, n.kind), len(seen))
     n.word = seen.setdefault(n.own, len(seen)) if n.own else -1
     n.id = seen.setdefault((n.cls, n.own, tuple(k.id for k in n.sub)), len(seen))
+    n.shape = seen.setdefault((n.cls, None, tuple(k.shape for k in n.sub)), len(seen))
+
+
+def texts(n: Node) -> list[int]:
+    """Texts of a subtree in document order, -1 where a node has none."""
+    out, todo = [], [n]
+    while todo:
+        k = todo.pop()
+        out.append(k.word)
+        todo.extend(reversed(k.sub))
+    return out
+
+
+def known_scores(x: list[Node], y: list[Node], same: np.ndarray, done: dict) -> np.ndarray:
+    """Match scores of many pairs at once, -1 where only an alignment of the pair can tell.
+
+    Subtrees without a common text score by their shapes alone, so one alignment serves all pairs of two shapes.
+    In subtrees of one shape whose common texts all stand in equal places every node
+    and every common text is matched, and no match can do better.
+    """
+    a, b = [texts(k) for k in x], [texts(k) for k in y]
+    spots = []
+    for side in (a, b):
+        rows: dict[int, dict[int, int]] = {}
+        for i, words in enumerate(side):
+            for w in words:
+                if w >= 0:
+                    of = rows.setdefault(w, {})
+                    of[i] = of.get(i, 0) + 1
+        spots.append(rows)
+    common = np.zeros(same.shape, np.int64)
+    for w in spots[0].keys() & spots[1].keys():
+        left, right = spots[0][w], spots[1][w]
+        common[np.ix_([*left], [*right])] += np.minimum(np.array([*left.values()])[:, None], np.array([*right.values()]))
+    out = np.full(same.shape, -1, np.int64)
+    plain = done.setdefault("plain", {})
+    for i, j in np.argwhere(same & (common == 0)).tolist():
+        key = x[i].shape, y[j].shape
+        if key not in plain:
+            plain[key] = align(x[i], y[j], done)[0]
+        out[i, j] = plain[key]
+    for shape in {k.shape for k in x} & {k.shape for k in y}:
+        i, j = [i for i, k in enumerate(x) if k.shape == shape], [j for j, k in enumerate(y) if k.shape == shape]
+        left, right = np.array([a[k] for k in i]), np.array([b[k] for k in j])
+        level = np.zeros((len(i), len(j)), np.int64)
+        for u, v in zip(left.T, right.T):
+            level += (u[:, None] == v) & (u[:, None] >= 0)
+        own, cells = common[np.ix_(i, j)], np.ix_(i, j)
+        out[cells] = np.where(level == own, left.shape[1] + level, out[cells])
+    return out
 
 
 def align(a: Node, b: Node, done: dict) -> tuple[int, list]:
@@ -145,6 +197,10 @@ def align(a: Node, b: Node, done: dict) -> tuple[int, list]:
         words = np.array([k.word for k in x])[:, None]
         s = same + (same & (words >= 0) & (words == np.array([k.word for k in y]))).astype(np.int64)
         deep = np.array([bool(k.sub) for k in x])[:, None] & np.array([bool(k.sub) for k in y])
+        if np.count_nonzero(same & deep) > 16:
+            known = known_scores(x, y, same & deep, done)
+            s = np.where(same & deep & (known >= 0), known, s)
+            deep &= known < 0
         for i, j in np.argwhere(same & deep).tolist():
             s[i, j] = align(x[i], y[j], done)[0]
         w = np.zeros((len(x) + 1, len(y) + 1), np.int64)
@@ -227,6 +283,7 @@ def extract(html: str, template: set[str]) -> str:
         """``inside``: the element stands in a line of varying text, which stays whole; ``main``: in an article."""
         if dropped(n, main):
             return
+        main = main or n.tag in ("article", "main")
         block = n.tag in BLOCK
         if block:
             end()
@@ -248,9 +305,15 @@ def extract(html: str, template: set[str]) -> str:
     for n, path in main_roots(root):
         walk(n, path, main=True)
     end()
-    if not blocks:
+    # The marks of article and main are believed while they hold at least a third of what would be left without them.
+    held = sum(map(len, blocks))
+    if not blocks or 3 * held < root.chars:
+        marked = blocks.copy()
+        blocks.clear()
         walk(root, "")
         end()
+        if marked and 3 * held >= sum(map(len, blocks)):
+            return "\n\n".join(marked)
     return "\n\n".join(blocks)
 
 
