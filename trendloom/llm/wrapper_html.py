@@ -36,7 +36,6 @@ NOISE = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|sponsor(?:ed)?|c
 # Words that also have plain meanings: they count only as the whole class, or joined by a hyphen or underscore.
 WEAK = re.compile(r"^(?:promo|banner|consent|notice|header|reply|related|share|social|widget)s?(?:[_-][\w-]*)?$", re.I)
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
-SPACE = re.compile(r"\s+")
 
 
 class Node:
@@ -56,6 +55,10 @@ class Tree(HTMLParser):
         self.stack = [self.root]
         self.open: dict[str, int] = {}
 
+    def updatepos(self, i, j):
+        """Line numbers are not asked for."""
+        return j
+
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK and self.stack[-1].tag == "p" or tag in ("li", "tr", "td", "th", "dt", "dd", "option") and self.stack[-1].tag == tag:
             self.open[self.stack.pop().tag] -= 1
@@ -102,7 +105,7 @@ def step(path: str, n: Node) -> str:
 
 
 def own_text(n: Node) -> str:
-    return SPACE.sub(" ", "".join(k for k in n.kids if isinstance(k, str))).strip()
+    return " ".join("".join([k for k in n.kids if isinstance(k, str)]).split())
 
 
 def kids(n: Node) -> list[Node]:
@@ -192,7 +195,13 @@ def align(a: Node, b: Node, done: dict) -> tuple[int, list]:
     pairs = [*zip(x[:lo], y[:lo]), *zip(x[len(x) - hi:], y[len(y) - hi:])]
     score = 1 + (a.word == b.word >= 0) + sum(p.full for p, _ in pairs)
     x, y = x[lo:len(x) - hi], y[lo:len(y) - hi]
-    if x and y:
+    if len(x) == len(y) == 1:
+        got = 0
+        if x[0].cls == y[0].cls:
+            got = align(x[0], y[0], done)[0] if x[0].sub and y[0].sub else 1 + (x[0].word == y[0].word >= 0)
+            pairs.append((x[0], y[0]))
+        score += got
+    elif x and y:
         same = np.array([k.cls for k in x])[:, None] == np.array([k.cls for k in y])
         words = np.array([k.word for k in x])[:, None]
         s = same + (same & (words >= 0) & (words == np.array([k.word for k in y]))).astype(np.int64)
@@ -274,7 +283,7 @@ def extract(html: str, template: set[str]) -> str:
     parts: list[str] = []
 
     def end():
-        t = SPACE.sub(" ", "".join(parts)).strip()
+        t = " ".join("".join(parts).split())
         if t:
             blocks.append(t)
         parts.clear()
