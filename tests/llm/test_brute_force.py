@@ -375,3 +375,16 @@ def test_pii_estimation_against_numpy():
         t /= w.sum() + 30
         f /= (1 - w).sum() + 30
     assert share == pytest.approx(s) and np.allclose(true, t) and np.allclose(false, f)
+
+
+def test_ranks_of_another_vocabulary_are_refused():
+    import base64
+
+    path, files = tokenizer_path(), ranks()
+    with open(files["ranks"], "rb") as f:
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    packing.check_ranks(path, table)
+    a, b = list(table)[1000:1002]
+    for other in (table | {a: table[b], b: table[a]}, table | {b"never seen": 50256}, {k: v for k, v in table.items() if k != a}):
+        with pytest.raises(ValueError, match="differ"):
+            packing.check_ranks(path, other)

@@ -3,6 +3,8 @@
 import re
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline
 from trendloom.llm import mixing
 
@@ -33,3 +35,16 @@ def test_near_duplicates_with_null_and_repeated_ids(spark):
     got = sorted(((r.doc_id, r.text) for r in out), key=str)
     want = [(None, text(0)), (5, text(1)), (4, text(2) + " end"), (6, text(3)), (7, text(4)), (None, text(5)), (9, None)]
     assert got == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("shards", [1, 3, 8])
+def test_mixed_takes_what_mix_says(spark, shards):
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(1 + 53 * i % 300)) + "  \n", "en", "abcd"[0 if i % 3 else i % 4], None) for i in range(120)]
+    rows += [(200, " " + "long " * 4000, "en", "b", None), (201, None, "en", "a", None), (None, "two words", "en", None, 9), (202, "twice", "en", "e", 5)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    taken = Counter({r.doc_id: r.taken for r in mixing.mix(docs, shards=shards).collect()})
+    whole, got = {r[0]: r[1] for r in rows}, Counter()
+    for r in mixing.mixed(docs, shards=shards).collect():
+        got[r.doc_id] += len(WORDS.findall(r.text or ""))
+        assert (r.text or "") in (whole[r.doc_id] or "") and (r.text == whole[r.doc_id] or r.n_chars == len(r.text))
+    assert +got == +taken and max(taken.values()) > 4000

@@ -99,26 +99,49 @@ def _placed(sized: DataFrame, weights, share, max_repeat, block, rows_per_bucket
     return sized.withColumn("upto", F.sum("size").over(within)).join(info, ["source_key", "bucket"]), quotas
 
 
-def mixed(docs: DataFrame, weights=(5.0, 2.0, 1.0), share=1.5, max_repeat=2.0, block=16, seed=7, rows_per_bucket=20000) -> DataFrame:
-    """The rows of the mix itself: each source's seeded stream, run through until its quota of words is met.
+def _with_shards(placed: DataFrame, quotas: DataFrame, shards: int) -> DataFrame:
+    """The quotas of a source's shards beside each of its rows: ``shards`` structs, in order of their blocks."""
+    own = shard_quotas(quotas, shards)
+    per = own.groupBy("source_key").agg(F.array_sort(F.collect_list(F.struct("shard", "first", "n_blocks", "before", "quota"))).alias("shards"))  # a row a source
+    return placed.join(per, "source_key")
+
+
+def mixed(docs: DataFrame, weights=(5.0, 2.0, 1.0), share=1.5, max_repeat=2.0, block=16, seed=7, rows_per_bucket=20000, shards: int = 1) -> DataFrame:
+    """The rows of the mix itself: of each document the words that ``mix`` takes with the same parameters.
 
-    A source passes whole as often as its quota holds its size; then documents
-    follow in seeded order, and the last one is cut to the words still missing.
+    A document comes whole as often as all its blocks are taken.  What is taken of it
+    once more is a run of words in each shard that it lies in, a row each, with the white space before its
+    words (and behind the last).  Every shard ends within a document, so one shard a source cuts least.
     A row without words takes nothing and stays once.
     """
-    placed, _ = _placed(_sized(docs, seed, F.struct(*docs.columns).alias("row")), weights, share, max_repeat, block, rows_per_bucket)
-    quota = F.least(F.col("quota") * block, F.floor(F.col("source_size") * F.lit(float(max_repeat))))
-    placed = placed.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(quota / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
-    rest = quota - F.col("passes") * F.col("source_size") - (F.col("base") + F.col("upto") - F.col("size"))
-    placed = placed.withColumn("extra", F.greatest(F.lit(0), F.least(rest, "size")).cast("long"))
-    copies = F.when(F.col("size") == 0, F.array(F.col("size"))).otherwise(
-        F.concat(F.array_repeat("size", F.col("passes").cast("int")), F.filter(F.array("extra"), lambda x: x > 0)))
-    each = placed.select("row", "size", F.explode(copies).alias("words"))
-    head = F.array_join(F.slice(F.split("row.text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), 1, F.greatest(F.lit(1), F.col("words")).cast("int")), "")
-    cut = F.col("words") < F.col("size")
-    new = {"text": F.when(cut, head).otherwise(F.col("row.text"))}
+    placed, quotas = _placed(_sized(docs, seed, F.struct(*docs.columns).alias("row")), weights, share, max_repeat, block, rows_per_bucket)
+    end = F.col("base") + F.col("upto")
+    placed = _with_shards(placed, quotas, shards).withColumn("start", end - F.col("size"))
+    stop = lambda q: (q["first"] + q["n_blocks"]) * block
+
+    def part(q):
+        """A document's words in one shard: ``lo`` to ``hi`` are taken ``each`` times, ``lo`` to ``more`` once more."""
+        lo, hi = F.greatest(F.col("start"), q["first"] * block), F.least(end, stop(q))
+        each = F.floor(q["quota"] / q["n_blocks"])
+        more = (q["first"] + q["quota"] - each * q["n_blocks"]) * block
+        inside = lambda x: (x - F.col("start")).cast("long")
+        return F.struct(inside(lo).alias("lo"), inside(hi).alias("hi"), each.cast("int").alias("each"), inside(F.greatest(lo, F.least(hi, more))).alias("more"))
+
+    touched = F.filter("shards", lambda q: (q["n_blocks"] > 0) & (q["first"] * block < end) & (stop(q) > F.col("start")))
+    placed = placed.withColumn("parts", F.transform(touched, part)).withColumn("whole", F.array_min(F.transform("parts", lambda q: q["each"])))
+    span = lambda lo, hi: F.struct(lo.cast("long").alias("lo"), hi.cast("long").alias("hi"))
+    again = F.flatten(F.transform("parts", lambda q: F.concat(F.array_repeat(span(q["lo"], q["hi"]), q["each"] - F.col("whole")), F.filter(F.array(span(q["lo"], q["more"])), lambda x: x["hi"] > x["lo"]))))
+    all_words = span(F.lit(0), F.col("size"))
+    copies = F.when(F.col("size") == 0, F.array(all_words)).otherwise(F.concat(F.array_repeat(all_words, F.col("whole")), again))
+    each = placed.select("row", "size", F.explode(copies).alias("x"))
+    words = F.split("row.text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
+    to_end = F.greatest(F.col("size") + 1, F.lit(1))  # what follows the last word is a piece of its own
+    count = F.when(F.col("x.hi") == F.col("size"), to_end).otherwise(F.col("x.hi")) - F.col("x.lo")
+    run = F.array_join(F.slice(words, (F.col("x.lo") + 1).cast("int"), count.cast("int")), "")
+    cut = F.col("x.hi") - F.col("x.lo") < F.col("size")
+    new = {"text": F.when(cut, run).otherwise(F.col("row.text"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(cut, F.char_length(head)).otherwise(F.col("row.n_chars")).cast("long")
+        new["n_chars"] = F.when(cut, F.char_length(run)).otherwise(F.col("row.n_chars")).cast("long")
     return each.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
@@ -129,9 +152,7 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), share=1.5, max_repeat=2.0, blo
     ones in seeded order once more, until the shard's integer quota is met.
     """
     placed, quotas = _placed(checkpointed(_sized(docs, seed)), weights, share, max_repeat, block, rows_per_bucket)
-    own = shard_quotas(quotas, shards)
-    per = own.groupBy("source_key").agg(F.array_sort(F.collect_list(F.struct("shard", "first", "n_blocks", "before", "quota"))).alias("shards"))  # a row a source
-    placed = placed.join(per, "source_key")
+    placed = _with_shards(placed, quotas, shards)
 
     def upto(x):
         """Words taken from the first x words of the stream."""

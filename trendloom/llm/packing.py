@@ -12,6 +12,7 @@ packed once each; an empty table gives no rows.
 from __future__ import annotations
 
 import base64
+import json
 import os
 import zlib
 
@@ -26,8 +27,29 @@ from .common import checkpointed
 _LOADED: dict = {}
 
 
+def check_ranks(path: str, ranks: dict[bytes, int]) -> None:
+    """Raise unless a byte-level tokenizer file holds these ranks, merges in their order, and nothing that changes texts or splits before."""
+    with open(path, encoding="utf-8") as f:
+        told = json.load(f)
+    model, added = told["model"], {t["content"] for t in told["added_tokens"]}
+    # Byte-level files write each byte as a character: printable ones as themselves, the others from U+0100 upwards.
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    byte = {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(sorted(set(range(256)) - set(plain)))}
+    raw = lambda token: bytes(byte[c] for c in token)
+    vocabulary = {raw(t): i for t, i in model["vocab"].items() if t not in added}
+    if vocabulary != ranks:
+        raise ValueError(f"{len(vocabulary.items() ^ ranks.items())} entries differ between the tokenizer file and its ranks")
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    order = [ranks[raw(a + b)] for a, b in pairs]
+    if any(a >= b for a, b in zip(order, order[1:])):
+        raise ValueError("merges of the tokenizer file do not follow the ranks")
+    before = told["pre_tokenizer"]
+    if told["normalizer"] or model["ignore_merges"] or before["type"] != "ByteLevel" or before["add_prefix_space"] or not before["use_regex"]:
+        raise ValueError("the tokenizer file prepares texts in another way")
+
+
 def _encoder(path: str, ranks: str | None, pattern: str | None):
-    """Texts to lists of ids.  With a ranks file of the same vocabulary, a faster library gives the same ids."""
+    """Texts to lists of ids.  With a ranks file of the same vocabulary, a faster library gives the same ids; another vocabulary is refused."""
     key = (path, ranks, pattern)
     if key not in _LOADED:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -40,6 +62,7 @@ def _encoder(path: str, ranks: str | None, pattern: str | None):
 
             with open(ranks, "rb") as f:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            check_ranks(path, table)
             special = {t.content: i for i, t in tok.get_added_tokens_decoder().items()}
             enc = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens=special)
             _LOADED[key] = lambda texts: [enc.encode(t, allowed_special="all") for t in texts]
