@@ -173,8 +173,8 @@ def plain_components(rows):
     return sorted((d, len(s), find(d)) for d, s in rows)
 
 
-@pytest.mark.parametrize(("frequent", "block"), [(64, 1024), (0, 1024), (0, 16)])
-def test_jaccard_families(spark, frequent, block):
+@pytest.mark.parametrize(("frequent", "block", "wide_key"), [(64, 1024, 256), (0, 1024, 256), (0, 16, 256), (1 << 40, 16, 2), (1 << 40, 1024, 1 << 40)])
+def test_jaccard_families(spark, frequent, block, wide_key):
     """A family of which some pairs are similar enough and most are not, another of copies, and a chain."""
     import random
 
@@ -190,7 +190,7 @@ def test_jaccard_families(spark, frequent, block):
     texts += [" ".join(base[:60]) + " " + " ".join(f"u{i}.{j}" for j in range(60)) for i in range(100)]
     texts += ["same text of seven words for all"] * 30 + ["short one", "SHORT one", "short two"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = sorted(tuple(r) for r in jaccard.join_components(df, frequent=frequent, block=block).collect())
+    got = sorted(tuple(r) for r in jaccard.join_components(df, frequent=frequent, block=block, wide_key=wide_key).collect())
     assert got == plain_components([(i, shingles(t)) for i, t in enumerate(texts)])
 
 

@@ -15,8 +15,8 @@ similar sets share a key in: extended, but linear in the set.
 
 Classes that share a key are first folded around a head drawn for each key; keys whose
 classes then all lie in one component are done, so a group of thousands of copies costs
-stars, not its pairs.  What is left is paired key by key (rare tokens) or compared in
-blocks (combinations).  Parity maps rule pairs out before whole sets are compared.
+stars, not its pairs.  What is left is paired key by key (rare tokens of few classes) or compared in
+blocks (combinations, and tokens that seem rare in a large corpus but that many classes still hold).  Parity maps rule pairs out before whole sets are compared.
 
 Defined cases: null, empty or blank text has the empty set, ``n_shingles`` 0 and
 is its own component; fewer than five words are one shingle; repeated rows fall
@@ -283,11 +283,12 @@ def _near(held: list, i: int, percent: int):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, gid[may])), pa.array(np.maximum(a, gid[may]))], names=["a", "b"])
 
 
-def join_components(docs: DataFrame, percent: int = 80, width: int = 5, frequent: int = 64, rounds: int = 1, heads_each: int = 4, block: int = 1024) -> DataFrame:
+def join_components(docs: DataFrame, percent: int = 80, width: int = 5, frequent: int = 64, rounds: int = 1, heads_each: int = 4, block: int = 1024, wide_key: int = 256) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row.
 
     ``frequent``: count above its share from which a cell is frequent.  ``rounds``, ``heads_each``: folding rounds, and
-    heads that a class is compared with in each, before all remaining pairs are tested; any numbers give the same result.
+    heads that a class is compared with in each, before all remaining pairs are tested.  ``wide_key``: open classes of one
+    token above which they are compared in blocks of ``block``, in place of row pairs.  Any numbers give the same result.
     """
     spark = docs.sparkSession
     tables = Tables(spark)
@@ -297,7 +298,7 @@ def join_components(docs: DataFrame, percent: int = 80, width: int = 5, frequent
     raw = tables.write(_indexed(docs, width, percent, heavy), "raw")
     classes = raw.filter("n > 0").groupBy("gid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("rare").alias("rare"), F.first("combos").alias("combos"), F.first("map").alias("map"))
     classes = tables.write(classes.withColumn("empty_id", F.col("doc_id").isNull()), "classes")
-    # Rare tokens have few classes, so that a list of one is small; combinations may have any number.
+    # Rare tokens have few classes (up to a cell's share of all tokens), so that a list of one is small; combinations may have any number.
     rare = classes.select("gid", "n", F.explode("rare").alias("key"))
     rare = rare.groupBy("key").agg(F.collect_list(F.struct("n", "gid")).alias("own")).filter("size(own) > 1").select("key", F.explode("own").alias("x")).select("key", "x.gid", "x.n", F.lit(False).alias("combo"))
     combos = classes.select("gid", "n", F.explode("combos").alias("key"))
@@ -316,6 +317,9 @@ def join_components(docs: DataFrame, percent: int = 80, width: int = 5, frequent
         named = posts.drop("comp").join(comps, F.col("gid") == F.col("node"), "left").select("key", "gid", "n", "combo", F.coalesce("comp", "gid").alias("comp"))
         mixed = named.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 <> c1").select("key")
         posts = tables.write(named.join(mixed, "key", "left_semi"), "open")
+    # Tokens of many classes, which a full sketch takes for rare in a very large corpus, go in blocks as well.
+    wide = posts.filter("not combo").groupBy("key").count().filter(F.col("count") > wide_key).select("key", F.lit(True).alias("wide"))
+    posts = tables.write(posts.join(wide, "key", "left").withColumn("combo", F.col("combo") | F.coalesce("wide", F.lit(False))).drop("wide"), "open")
     x, y = (posts.filter("not combo").alias(c) for c in "xy")
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.gid") < F.col("y.gid")) & (F.col("x.comp") != F.col("y.comp")) & close(F.col("x.n"), F.col("y.n")))
     rest = rest.select(F.col("x.gid").alias("a"), F.col("y.gid").alias("b")).distinct()
