@@ -99,10 +99,10 @@ def frequent_cells(docs: DataFrame, width: int, least: int) -> np.ndarray | None
             for s in shingles.sets(batch.column("text"), width, hasher):
                 _count(cells, s)
                 total += len(s)
-        part = np.minimum(cells, 65535).astype(np.uint16).reshape(BLOCKS, -1)
+        part = np.minimum(cells, 65535, out=cells).reshape(BLOCKS, -1)
         full = [b for b in range(BLOCKS) if part[b].any()]
         if full:
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([zlib.compress(part[b].tobytes(), 1) for b in full], pa.binary()), pa.array([total] + [0] * (len(full) - 1), pa.int64())], names=["block", "counts", "total"])
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([zlib.compress(part[b].astype(np.uint16).tobytes(), 1) for b in full], pa.binary()), pa.array([total] + [0] * (len(full) - 1), pa.int64())], names=["block", "counts", "total"])
 
     def add(batches):
         sums, total = {}, 0

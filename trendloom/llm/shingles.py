@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SEGMENT = 1 << 21
+SEGMENT = 1 << 18  # bytes handled at once: a worker keeps tables and sums of 64-bit numbers for each
 _U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
