@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import distance
-from . import blocks
+from . import blocks, line
 from .ranks import _held, global_rank, positions
 
 LADDER = (0, 1, 5, 25, 50, 75, 95, 99, 100)
@@ -46,16 +46,19 @@ def densities(df: DataFrame, ids: str, vec: str, limits: list[float]) -> DataFra
 
 
 def density_grid(df: DataFrame, ids: str, vec: str, dims: int, d_c: float) -> DataFrame:
-    """The same for any number of rows in few dimensions: cells of width d_c, equi-join with the neighbouring cells."""
-    cell = [F.floor(F.get(vec, F.lit(k)) / d_c).alias(f"c{k}") for k in range(dims)]
-    rows = df.select(F.col(ids).alias("i"), F.col(vec).alias("vi"), *cell)
-    near = rows
+    """The same in few dimensions.  One dimension: running counts along the order.  Else cells of width d_c, whose places (equal rows are one) meet those of the neighbouring cells."""
+    if dims == 1:
+        return line.density(df, ids, vec, d_c)
+    places = df.groupBy(F.col(vec).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    cell = [F.floor(F.get("v", F.lit(k)) / d_c).alias(f"c{k}") for k in range(dims)]
+    rows = places.select("v", "n", *cell)
+    near = rows.drop("n")
     for k in range(dims):
         near = near.withColumn(f"c{k}", F.explode(F.array(F.col(f"c{k}") - 1, F.col(f"c{k}"), F.col(f"c{k}") + 1)))
-    other = rows.select(F.col("i").alias("j"), F.col("vi").alias("vj"), *[f"c{k}" for k in range(dims)])
-    hit = near.join(other, [f"c{k}" for k in range(dims)]).filter((F.col("i") != F.col("j")) & (distance("vi", "vj") < d_c))
-    counts = hit.groupBy(F.col("i").alias(ids)).agg(F.count(F.lit(1)).alias("rho"))
-    return df.select(ids, vec).join(counts, ids, "left").withColumn("rho", F.coalesce("rho", F.lit(0)))
+    other = rows.withColumnRenamed("v", "w")
+    hit = near.join(other, [f"c{k}" for k in range(dims)]).filter(distance("v", "w") < d_c)
+    counts = hit.groupBy(F.col("v").alias(vec)).agg((F.sum("n") - 1).alias("rho"))
+    return df.select(ids, vec).join(counts, vec, "left").select(ids, vec, F.coalesce("rho", F.lit(0)).alias("rho"))
 
 
 def separation(rho: DataFrame, ids: str, vec: str) -> DataFrame:
