@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import json
 import math
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.tails import f_quantile
-from . import blocks, lloyd
+from . import blocks, line, lloyd
 from .ranks import average_ranks
 
 # The index names; the last two are graphical and never vote.
@@ -132,7 +133,7 @@ def two_splits(rows: DataFrame, ks: list[int], groups: dict[int, list[tuple]], s
 
 
 class Statistics:
-    """What the indices are made of: everything that takes a pass over the rows, for all k at once."""
+    """What the indices are made of: everything that takes a pass over the rows, for all k at once; all pairs of one feature come from running sums."""
 
     def __init__(self, df: DataFrame, ids: str, features: list[str], ks: list[int], starts: int = 10, seed: int = 0):
         self.ks, self.p = list(ks), len(features)
@@ -159,13 +160,34 @@ class Statistics:
             near.append(math.sqrt(sum(np.linalg.norm(np.diag(g[2]) / max(1, g[0])) for g in gs)) / k)
         own, fitted, inside = distances_to_means(self.rows, [self.groups[k] for k in self.fitted], [self.centres[k] for k in self.fitted], spots, near)
         self.own, self.to_centre, self.inside = (dict(zip(self.fitted, v)) for v in (own, fitted, inside))
+        self._starts, self._seed = min(3, starts), seed
+
+    # Passes that only some indices need are made when one asks.
+    @cached_property
+    def _pairs(self) -> tuple[dict, dict]:
         gaps = [np.linalg.norm(c[:, None] - c[None], axis=2) for c in (self.centres[k] for k in self.fitted)]
-        self.whole, stats = blocks.label_statistics(self.rows, "id", "x", "codes", gaps)
-        self.pairs = dict(zip(self.fitted, stats))
-        sums = blocks.extreme_sums(self.rows, "id", "x", [self.pairs[k]["nw"] for k in self.fitted], self.whole["n"])
-        self.extremes = dict(zip(self.fitted, sums))
-        self.silhouette = dict(zip(self.fitted, blocks.silhouettes(self.rows, "id", "x", "codes", self.fitted)))
-        self.splits = two_splits(self.rows, self.fitted, self.groups, min(3, starts), seed)
+        whole, stats = (line if self.p == 1 else blocks).label_statistics(self.rows, "id", "x", "codes", gaps)
+        return whole, dict(zip(self.fitted, stats))
+
+    @property
+    def whole(self) -> dict:
+        return self._pairs[0]
+
+    @property
+    def pairs(self) -> dict:
+        return self._pairs[1]
+
+    @cached_property
+    def extremes(self) -> dict:
+        return dict(zip(self.fitted, blocks.extreme_sums(self.rows, "id", "x", [self.pairs[k]["nw"] for k in self.fitted], self.whole["n"])))
+
+    @cached_property
+    def silhouette(self) -> dict:
+        return dict(zip(self.fitted, blocks.silhouettes(self.rows, "id", "x", "codes", self.fitted)))
+
+    @cached_property
+    def splits(self) -> dict:
+        return two_splits(self.rows, self.fitted, self.groups, self._starts, self._seed)
 
     def means(self, k: int) -> np.ndarray:
         return np.array([g[1] for g in self.groups[k]])
@@ -270,6 +292,8 @@ FORMULAS = {
 
 def index_values(s: Statistics) -> tuple[dict[str, dict[int, float]], dict[str, str]]:
     """Value of every index at every k, and the message of each index that failed."""
+    for part in ("_pairs", "extremes", "silhouette", "splits"):  # a pass that fails is no failure of an index
+        getattr(s, part)
     values, errors = {}, {}
     for name in INDICES:
         values[name] = {}
