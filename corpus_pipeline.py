@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from trendloom.llm import jaccard, langid, mixing, packing, pii
-from trendloom.llm.common import shared_folder, table
+from trendloom.llm.common import shared_folder, small_batches, table
 from trendloom.llm.queries import ranks, tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -20,6 +20,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def language_id(spark, docs, sf_dir):
     """Documents without a recognised language go; ``lang`` becomes the predicted one."""
+    small_batches(spark)  # stages run when they are written, so the session keeps the setting
     out = langid.identify(docs.select(*COLUMNS))
     return out.filter("lang_pred <> 'und'").withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
@@ -50,6 +51,7 @@ def mix(spark, docs, sf_dir):
 
 def pack(spark, docs, sf_dir):
     """Pieces of packed sequences."""
+    small_batches(spark)
     return packing.pack(docs, tokenizer_path(), **ranks())
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import Tables
+from .common import Tables, batches_of
 from .components import components
 
 MAP_BITS = 2048  # of the smallest parity map
@@ -290,6 +290,11 @@ def join_components(docs: DataFrame, percent: int = 80, width: int = 5, frequent
     heads that a class is compared with in each, before all remaining pairs are tested.  ``wide_key``: open classes of one
     token above which they are compared in blocks of ``block``, in place of row pairs.  Any numbers give the same result.
     """
+    with batches_of(docs.sparkSession):  # every table is written before this returns
+        return _joined(docs, percent, width, frequent, rounds, heads_each, block, wide_key)
+
+
+def _joined(docs: DataFrame, percent: int, width: int, frequent: int, rounds: int, heads_each: int, block: int, wide_key: int) -> DataFrame:
     spark = docs.sparkSession
     tables = Tables(spark)
     docs = docs.select("doc_id", "text")
