@@ -181,7 +181,7 @@ QUERIES = {
     "separation_grid": lambda s, d: density.separation_grid(density.density_grid(_balances(s, d), "s_suppkey", "v", 1, 250.005), "s_suppkey", "v", 1).select("s_suppkey", "rho", F.round("delta", 6).alias("delta")),
     "seed_candidates": _seed_candidates,
     "cutoff_sensitivity": _sensitivity,
-    "largest_gaps": lambda s, d: ranks.gap_audit(_t(s, d, "customer"), "c_acctbal", "c_custkey").select("c_custkey", *[F.round(c, 6).alias(c) for c in ("before", "after", "gap")]),
+    "largest_gaps": lambda s, d: ranks.gap_audit(_t(s, d, "customer"), "c_acctbal", "c_custkey", digits=6),
     "gap_ladder": lambda s, d: audit.percentile_ladder(ranks.adjacent_gaps(_t(s, d, "customer"), "c_acctbal", "c_custkey"), "gap"),
     "pca_totals": lambda s, d: features.pca_totals(features.components(_vectors(s, d), XS), s),
     "pca_scree": lambda s, d: features.components(_vectors(s, d), XS).scree(s),
