@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .ranks import _dealt
+from .ranks import _dealt, _held
 
 
 def edge(v: np.ndarray, d: float) -> np.ndarray:
@@ -160,3 +160,145 @@ def label_statistics(df: DataFrame, ids: str, vec: str, codes: str, gaps: list[n
         out.append({"nw": sum(int(got["n"][j]) * (int(got["n"][j]) - 1) // 2 for j in own), "sw": got["sw"][i], "max_within": max((got["most"][j] - got["least"][j] for j in own if got["n"][j] > 1), default=-float("inf")),
                     "min_between": got["low"][i], "hubert": got["product"][i] / pairs if pairs else float("nan")})
     return whole, out
+
+
+class Places:
+    """Different values of one dimension with their numbers of rows, in order, cut into blocks of about ``rows`` places; the driver holds one row a block.
+
+    Blocks of which all pairs lie within a distance, or none, are counted by their totals.  A pair of blocks that
+    the distance cuts goes to a task, and as blocks do not overlap there are at most two of them a block.
+    """
+
+    def __init__(self, df: DataFrame, vec: str, rows: int = 16_384):
+        x = F.get(vec, F.lit(0)).cast("double") + F.lit(0.0)
+        places = df.groupBy(x.alias("x")).agg(F.count(F.lit(1)).alias("n"))
+        blocks = max(1, -(-places.count() // rows))
+
+        def pack(batches):
+            held = [(b.column("x").to_numpy(), b.column("n").to_numpy()) for b in batches if b.num_rows]
+            if held:
+                x, n = (np.concatenate(z) for z in zip(*held))
+                yield pa.RecordBatch.from_arrays([pa.array([v]) for v in (x[0], x[-1], int(n.sum()), float((n * (x - x[0])).sum()), x.tobytes(), n.tobytes())], names=["low", "high", "n", "s", "xs", "ns"])
+
+        packed = places.repartitionByRange(blocks, "x").sortWithinPartitions("x").mapInArrow(pack, "low double, high double, n long, s double, xs binary, ns binary")
+        self.parts = _held(packed)  # a row a block
+        got = sorted(tuple(r) for r in self.parts.select("low", "high", "n", "s").collect())
+        self.low, self.high, above = (np.array([r[j] for r in got], float) for j in (0, 1, 3))
+        self.n = np.array([r[2] for r in got], np.int64)
+        self.s = above + self.n * (self.low - self.low[len(got) // 2])
+
+    def within(self, limits: np.ndarray, sums: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per limit: pairs of rows at most so far apart, and (``sums``) the sums of their distances and of all greater ones."""
+        limits, blocks = np.asarray(limits, float), len(self.n)
+        count, under, over = np.zeros(len(limits), np.int64), np.zeros(len(limits)), np.zeros(len(limits))
+        n, s = np.r_[0, np.cumsum(self.n)], np.r_[0.0, np.cumsum(self.s)]
+        cut = set()
+        for i, t in enumerate(limits.tolist()):
+            # For block a: those before ``whole`` lie within the limit, those from ``none`` beyond it.
+            whole, none = _beyond(self.high, self.low, t), _beyond(self.low, self.high, t)
+            first = np.arange(blocks) + 1
+            inside = np.maximum(whole, first)
+            count[i] += int((self.n * (n[inside] - n[first])).sum())
+            if sums:
+                under[i] += float((self.n * (s[inside] - s[first]) - self.s * (n[inside] - n[first])).sum())
+                over[i] += float((self.n * (s[-1] - s[none]) - self.s * (n[-1] - n[none])).sum())
+            own = np.flatnonzero((self.high - self.low > t) | sums)  # blocks whose own pairs are to be looked at
+            count[i] += int((self.n * (self.n - 1) // 2).sum() - (self.n[own] * (self.n[own] - 1) // 2).sum())
+            cut.update((a, a) for a in own.tolist())
+            cut.update((a, b) for a in range(blocks) for b in range(inside[a], none[a]))
+        for i, c, u, o in self._cut(sorted(cut), limits, sums):
+            count[i], under[i], over[i] = count[i] + c, under[i] + u, over[i] + o
+        return count, under, over
+
+    def _cut(self, cells: list[tuple[int, int]], limits: np.ndarray, sums: bool) -> list[tuple]:
+        spark = self.parts.sparkSession
+        plan = [(c, side, float(self.low[cell[side]])) for c, cell in enumerate(cells) for side in ((0,) if cell[0] == cell[1] else (0, 1))]
+        wanted = spark.createDataFrame(plan, "c int, side int, low double")
+        tasks = max(1, min(len(cells), 4 * spark.sparkContext.defaultParallelism), len(cells) // 64)
+        rows = self.parts.join(F.broadcast(wanted), "low").select("c", "side", "xs", "ns").repartition(tasks, "c").sortWithinPartitions("c", "side")  # a few rows a block
+
+        def run(batches):
+            total = [np.zeros(len(limits), np.int64), np.zeros(len(limits)), np.zeros(len(limits))]
+            now, held = None, []
+            for batch in batches:
+                for c, x, n in zip(*(batch.column(j).to_pylist() for j in (0, 2, 3))):
+                    if held and c != now:
+                        _add_cell(total, limits, sums, *held)
+                        held = []
+                    now, held = c, [*held, (np.frombuffer(x), np.frombuffer(n, np.int64))]
+            if held:
+                _add_cell(total, limits, sums, *held)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(limits)), pa.int32()), pa.array(total[0]), pa.array(total[1]), pa.array(total[2])], names=["i", "c", "u", "o"])
+
+        return [tuple(r) for r in rows.mapInArrow(run, "i int, c long, u double, o double").groupBy("i").agg(F.sum("c"), F.sum("u"), F.sum("o")).collect()]
+
+    def distances(self, places: list[int], fan: int = 16) -> dict[int, float]:
+        """Distances at places (from 0) of the sorted list of all pairs: every pass parts each bracket of doubles into ``fan``, until it is one double."""
+        widest = float(self.high[-1] - self.low[0])
+        bits = lambda v: int(np.float64(v).view(np.int64))
+        value = lambda b: float(np.int64(b).view(np.float64))
+        held = {p: (-1, bits(widest)) for p in set(places)}  # up to the first there are too few pairs, up to the second enough
+        while open_ := [p for p, (low, high) in held.items() if high - low > 1]:
+            asked = {}
+            for p in open_:
+                low, high = held[p]
+                even = {low + (high - low) * j // fan for j in range(1, fan)}
+                if high >> 52 > max(low, 0) + (1 << 52) >> 52:  # over several powers of two, evenly by value too
+                    even |= {0} | {bits(value(max(low, 0)) + (value(high) - value(max(low, 0))) * j / fan) for j in range(1, fan)}
+                asked[p] = sorted(b for b in even if low < b < high)
+            every = sorted(set().union(*asked.values()))
+            counts = dict(zip(every, self.within(np.array([value(b) for b in every]))[0].tolist()))
+            for p in open_:
+                low, high = held[p]
+                held[p] = max([low, *(b for b in every if low < b < high and counts[b] <= p)]), min([high, *(b for b in every if low < b < high and counts[b] > p)])
+        return {p: value(high) for p, (_, high) in held.items()}
+
+
+def _beyond(edges: np.ndarray, starts: np.ndarray, t: float) -> np.ndarray:
+    """For every start, the first place of ascending edges that lies more than t above it as doubles are subtracted."""
+    last = len(edges) - 1
+    p = np.searchsorted(edges, starts + t, "right")
+    while (more := (p <= last) & (edges[np.minimum(p, last)] - starts <= t)).any():
+        p = p + more
+    while (less := (p > 0) & (edges[np.maximum(p - 1, 0)] - starts > t)).any():
+        p = p - less
+    return p
+
+
+def _add_cell(total: list[np.ndarray], limits: np.ndarray, sums: bool, a: tuple, b: tuple | None = None) -> None:
+    """Adds a pair of blocks, for every limit that cuts it; b is None for a block's own pairs."""
+    xa, na, (xb, nb), own = *a, b or a, b is None
+    upto, far = np.r_[0, np.cumsum(nb)], np.r_[0.0, np.cumsum(nb * (xb - xb[0]))]
+    after, alike = (np.arange(len(xa)) + 1, int((na * (na - 1) // 2).sum())) if own else (np.zeros(len(xa), int), 0)
+    gap, back, ends = xa - xb[0], -xa[::-1], -xb[[0, -1]]
+    for i, t in enumerate(limits.tolist()):
+        if not (sums or t < xb[-1] - xa[0] if own else xb[0] - xa[-1] <= t < xb[-1] - xa[0]):
+            continue
+        begin, end = len(xa) - _beyond(back, ends, t)  # rows before have nothing of b within the limit, rows after have all
+        p = np.full(len(xa), len(xb))
+        p[:begin], p[begin:end] = 0, _beyond(xb, xa[begin:end], t)
+        c = upto[p] - upto[after]
+        total[0][i] += int((na * c).sum()) + alike
+        if sums:
+            total[1][i] += float((na * (far[p] - far[after] - gap * c)).sum())
+            total[2][i] += float((na * (far[-1] - far[p] - gap * (upto[-1] - upto[p]))).sum())
+
+
+def extreme_sums(df: DataFrame, vec: str, counts: list[int], n: int) -> list[tuple[float, float]]:
+    """As of :func:`blocks.extreme_sums`: for each count m, the sum of the m smallest and of the m largest distances of all n pairs."""
+    if not any(counts):
+        return [(0.0, 0.0) for _ in counts]
+    places = Places(df, vec)
+    found = places.distances([p for m in counts if m for p in (m - 1, n - m)])
+    limits = sorted(set(found.values()))
+    got = dict(zip(limits, zip(*(v.tolist() for v in places.within(np.array(limits), True)))))
+    out = []
+    for m in counts:
+        if not m:
+            out.append((0.0, 0.0))
+            continue
+        low, high = found[m - 1], found[n - m]
+        count, under, _ = got[low]
+        upto, _, over = got[high]
+        out.append((under - (count - m) * low, over + (m - (n - upto)) * high))
+    return out

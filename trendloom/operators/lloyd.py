@@ -42,10 +42,10 @@ class Run:
 
 
 def points(df: DataFrame, ids: str, features: list[str], *keep: str) -> DataFrame:
-    """``id, h, x, keep..`` as a written table; rows with a missing or non-finite feature are refused."""
+    """``id, h, x, keep..`` as a written table, spread over all tasks, as few rows are much work; rows with a missing or non-finite feature are refused."""
     fine = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf")) for c in features]
     checked = F.when(sum((~f).cast("int") for f in fine) > 0, F.raise_error(F.concat(F.lit("missing or non-finite feature in row "), F.col(ids).cast("string"))).cast("array<double>")).otherwise(F.array(*[F.col(c).cast("double") for c in features]))
-    return _held(df.select(F.col(ids).alias("id"), F.xxhash64(ids).alias("h"), checked.alias("x"), *keep))
+    return _held(df.select(F.col(ids).alias("id"), F.xxhash64(ids).alias("h"), checked.alias("x"), *keep).repartition("h"))
 
 
 def uniform(h: np.ndarray, seed: int, step: int) -> np.ndarray:

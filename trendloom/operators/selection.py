@@ -179,7 +179,8 @@ class Statistics:
 
     @cached_property
     def extremes(self) -> dict:
-        return dict(zip(self.fitted, blocks.extreme_sums(self.rows, "id", "x", [self.pairs[k]["nw"] for k in self.fitted], self.whole["n"])))
+        counts, n = [self.pairs[k]["nw"] for k in self.fitted], self.whole["n"]
+        return dict(zip(self.fitted, line.extreme_sums(self.rows, "x", counts, n) if self.p == 1 else blocks.extreme_sums(self.rows, "id", "x", counts, n)))
 
     @cached_property
     def silhouette(self) -> dict:
